@@ -35,15 +35,17 @@ def cipher_keys(ciphers: DataFrame, key_inits: DataFrame, hot_rows: int = HOT_RO
 def stitch_fragments(calls: DataFrame, keys: list[str], order: list[str], is_end, piece: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Concatenate the pieces up to each end call: ``(keys…, part, n_pieces, whole)``.
 
-    A run is numbered by the end calls before it; pieces after the last end have no result.
+    A run is numbered by the end calls before it; pieces after the last end have no result and are dropped before
+    anything is collected, so a group is never larger than one finished value.
     """
     flagged = calls.withColumn("_end", is_end)
+    ends = flagged.filter("_end").groupBy(*keys).agg(F.count("*").alias("_n_ends"))
     scanned = running(flagged, keys, order, [Running("_ends", "sum", F.col("_end").cast("int"))], hot_rows)
-    part = F.col("_ends") - F.col("_end").cast("int")
     pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(piece).alias("piece"))))
-    return (scanned.withColumn("part", part).groupBy(*keys, "part")
-            .agg(F.bool_or("_end").alias("_closed"), F.count("*").alias("n_pieces"), pieces.alias("_p"))
-            .filter("_closed").select(*keys, "part", "n_pieces", F.transform("_p", lambda x: x["piece"]).alias("pieces")))
+    return (scanned.withColumn("part", F.col("_ends") - F.col("_end").cast("int")).join(ends, keys)
+            .filter("part < _n_ends").groupBy(*keys, "part")
+            .agg(F.count("*").alias("n_pieces"), pieces.alias("_p"))
+            .select(*keys, "part", "n_pieces", F.transform("_p", lambda x: x["piece"]).alias("pieces")))
 
 
 def join_bytes(pieces):
