@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,32 +99,66 @@ def sample_every(df: DataFrame, keys: list[str], order: list[str], mod: int, hot
     return n.filter(F.pmod(F.col("_n"), F.lit(mod)) == (1 % mod)).drop("_n")
 
 
-def rate_limited(df: DataFrame, key: str, ts: str, window_ms: int = 1500) -> DataFrame:
+CHUNK_MS = 3_600_000
+
+
+def rate_limited(df: DataFrame, key: str, ts: str, window_ms: int = 1500, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Keep a row only if ``window_ms`` have passed since the last kept row of its key.
 
-    The anchor is the last *kept* row, so each key is an ordered scan. Keys are call sites; before the scan the rows
-    of a key are reduced to one per millisecond, because later rows of the same millisecond are never kept, and a key
-    with a gap of at least the window is cut there: after such a gap the next row is always kept.
+    The anchor is the last *kept* row, so the rule is sequential, but only one number is carried: the time of that
+    row. Rows are reduced to one per key and millisecond (later ones are never kept) and cut into time chunks. Each
+    chunk first reports where it would end for every possible first kept row, the chunks of a key are then chained
+    over that small table, and each chunk finally marks its kept rows. A busy key is spread over its chunks.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    slim = df.groupBy(key, ms.alias("_ms")).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_row"))
-    p = running(slim, [key], ["_ms"], [Running("_prev", "prev", F.col("_ms"))])
-    cut = F.col("_prev").isNull() | (F.col("_ms") - F.col("_prev") >= window_ms)
-    seg = running(p.withColumn("_cut", cut.cast("int")), [key], ["_ms"], [Running("_seg", "sum", F.col("_cut"))])
-    kept = (seg.select(key, "_seg", "_ms").groupBy(key, "_seg").applyInPandas(
-        _keep_spaced(key, window_ms), f"{key} {seg.schema[key].dataType.simpleString()}, _seg long, _ms long"))
-    return seg.join(kept, [key, "_seg", "_ms"], "left_semi").select(key, "_row.*").select(*df.columns)
-
-
-def _keep_spaced(key: str, window_ms: int):
-    def run(pdf):
-        pdf = pdf.sort_values("_ms")
-        last, keep = None, []
-        for t in pdf["_ms"]:
-            ok = last is None or t - last >= window_ms
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep][[key, "_seg", "_ms"]]
+    rest = [c for c in df.columns if c != key]
+    slim = (df.groupBy(key, ms.alias("_ms")).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_row"))
+            .withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms)))
+    ktype = f"`{key}` {df.schema[key].dataType.simpleString()}"
+    times = slim.select(key, "_chunk", "_ms")
+    exits = times.groupBy(key, "_chunk").applyInPandas(_chunk_exits(key, window_ms, chunk_ms), f"{ktype}, _chunk long, _first long, _last long")
+    entry = exits.groupBy(key).applyInPandas(_chain_chunks(key, window_ms), f"{ktype}, _chunk long, _first long")
+    kept = times.join(entry, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(_mark_kept(key, window_ms), f"{ktype}, _ms long")
+    return slim.join(kept, [key, "_ms"], "left_semi").select(key, "_row.*").select(*df.columns)
+
+
+def _chunk_exits(key: str, window_ms: int, chunk_ms: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_ms"].to_numpy())
+        nxt = np.searchsorted(t, t + window_ms)
+        last = np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if nxt[i] < len(t):
+                last[i] = last[nxt[i]]
+        chunk = int(pdf["_chunk"].iloc[0])
+        # a row can be the first kept one only near the start of its chunk
+        n = min(len(t), int(np.searchsorted(t, chunk * chunk_ms + window_ms)) + 1)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": chunk, "_first": t[:n], "_last": t[last[:n]]})
+    return run
+
+
+def _chain_chunks(key: str, window_ms: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_chunk", "_first"])
+        free_at, rows = None, []
+        for chunk, part in pdf.groupby("_chunk", sort=True):
+            first = part["_first"].to_numpy()
+            i = 0 if free_at is None else int(np.searchsorted(first, free_at))
+            if i < len(first):
+                rows.append((pdf[key].iloc[0], chunk, first[i]))
+                free_at = part["_last"].to_numpy()[i] + window_ms
+        return pd.DataFrame(rows, columns=[key, "_chunk", "_first"])
+    return run
+
+
+def _mark_kept(key: str, window_ms: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_ms"].to_numpy())
+        i, kept = int(np.searchsorted(t, pdf["_first"].iloc[0])), []
+        while i < len(t):
+            kept.append(t[i])
+            i = int(np.searchsorted(t, t[i] + window_ms))
+        return pd.DataFrame({key: pdf[key].iloc[0], "_ms": kept})
     return run
 
 
