@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from privaudit.functions.scalars import (_col, capitalize, leaf_is_plausible, may_be_base64, url_quote_plus)
+from privaudit.functions.scalars import (_col, capitalize, leaf_is_plausible, may_be_base64, to_base64, url_quote_plus)
 
 MAX_DEPTH = 8
 
@@ -33,7 +33,7 @@ def encoded_variants(value) -> Column:
     def hexed(c):
         return F.lower(F.hex(F.encode(c, "UTF-8")))
 
-    b64 = F.base64(F.encode(v, "UTF-8"))
+    b64 = to_base64(F.encode(v, "UTF-8"))
     trimmed = F.left(b64, F.length(b64) - 4)
     pairs = {
         "normal": text(v), "capitalize": text(cap), "upper": text(up), "lower": text(low),
@@ -84,24 +84,21 @@ def is_container(data) -> Column:
     return F.coalesce(head.rlike("^(1F8B08|425A68|7801|789C|78DA|504B0304|504B0708)"), F.lit(False))
 
 
-def unwrap_payload(data) -> Column:
-    """Undo base64, percent-encoding and compression once, in that order.
+def unwrap_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Undo base64, percent-encoding and compression of a binary column once, in that order.
 
     Only rows that start like a container are shipped to Python.
     """
-    raw = _col(data)
-    text = F.try_validate_utf8(raw.cast("string"))
-    short = F.length(raw) <= 4
-    plain = F.when(~short & may_be_base64(text), F.unbase64(text)).otherwise(raw)
-    text2 = F.try_validate_utf8(plain.cast("string"))
-    escapes = F.regexp_count(text2, F.lit("%[0-7][0-9a-fA-F]")) > 5
-    ascii_only = ~text2.rlike(r"[^\x00-\x7f]")
+    long = F.length(payload) > 4
+    d = df.withColumn("_t", F.when(long, F.try_validate_utf8(F.col(payload).cast("string"))))
+    d = d.withColumn("_p", F.when(may_be_base64("_t"), F.unbase64("_t")).otherwise(F.col(payload)))
+    d = d.withColumn("_t", F.when(long, F.try_validate_utf8(F.col("_p").cast("string"))))
+    escaped = (F.regexp_count("_t", F.lit("%[0-7][0-9a-fA-F]")) > 5) & ~F.col("_t").rlike(r"[^\x00-\x7f]")
     # '+' is literal in percent-encoded paths, so it is protected before the form decoder sees it
-    decoded = F.try_url_decode(F.replace(text2, F.lit("+"), F.lit("%2B")))
-    plain = F.when(~short & F.coalesce(escapes & ascii_only, F.lit(False)),
-                   F.coalesce(F.encode(decoded, "UTF-8"), plain)).otherwise(plain)
-    packed = F.when(~short & is_container(plain), plain)
-    return F.coalesce(_unpack_batch(packed), plain)
+    decoded = F.try_url_decode(F.replace("_t", F.lit("+"), F.lit("%2B")))
+    d = d.withColumn("_p", F.when(escaped, F.coalesce(F.encode(decoded, "UTF-8"), F.col("_p"))).otherwise(F.col("_p")))
+    d = d.withColumn("_u", _unpack_batch(F.when(long & is_container("_p"), F.col("_p"))))
+    return d.withColumn(payload, F.coalesce("_u", "_p")).drop("_t", "_p", "_u")
 
 
 # --- structured payloads --------------------------------------------------------------------------

@@ -99,6 +99,11 @@ def b64url_to_bytes(c) -> Column:
     return F.when(t != "", F.try_to_binary(padded, F.lit("base64")))
 
 
+def to_base64(c) -> Column:
+    """Base64 on one line; Spark breaks long output into 76-character lines."""
+    return F.translate(F.base64(_col(c)), "\r\n", "")
+
+
 def char_entropy(c) -> Column:
     """Shannon entropy of a string in bits per character.
 
@@ -119,9 +124,10 @@ def may_be_base64(c) -> Column:
     padded_ok = F.when(s.endswith("="), F.length(body) % 4 != 0).otherwise(F.length(s) % 4 == 0)
     shape = s.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(s) > 6) & padded_ok
     hexish = s.rlike("^[0-9a-fA-F]+$")
-    round_trip = F.base64(F.try_to_binary(s, F.lit("base64"))) == s
-    ent = char_entropy(s)
-    checked = F.when(shape & ~hexish, round_trip & (ent > 4.1) & (ent < 6.0))
+    round_trip = to_base64(F.try_to_binary(s, F.lit("base64"))) == s
+    # wrapped in an array so that the entropy is computed once
+    texty = F.exists(F.array(char_entropy(s)), lambda ent: (ent > 4.1) & (ent < 6.0))
+    checked = F.when(shape & ~hexish, round_trip & texty)
     return F.coalesce(checked, F.lit(False))
 
 
@@ -159,11 +165,9 @@ def capitalize(c) -> Column:
 def has_printable_run(c, n: int = 33) -> Column:
     """Some ``n``-byte chunk is all printable ASCII, or the data ends with four zero bytes."""
     text = F.decode(_col(c), "ISO-8859-1")
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(text) - 1) / n).cast("int")),
-        lambda i: F.substr(text, i * n + 1, F.lit(n)))
-    run = F.when(F.length(text) > 0, F.exists(chunks, lambda x: x.rlike(r"^[\x20-\x7e\t\n\r\x0b\x0c]+$")))
-    return F.coalesce(run, F.lit(False)) | F.coalesce(text.endswith("\x00\x00\x00\x00"), F.lit(False))
+    p = r"[\x20-\x7e\t\n\r\x0b\x0c]"
+    run = text.rlike(rf"^(?:[\s\S]{{{n}}})*?(?:{p}{{{n}}}|{p}{{1,{n - 1}}}\z)")
+    return F.coalesce(run | text.endswith("\x00\x00\x00\x00"), F.lit(False))
 
 
 def printable_ratio(c) -> Column:

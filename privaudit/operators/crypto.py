@@ -125,7 +125,6 @@ def inspect_calls(calls: DataFrame) -> DataFrame:
 
 def is_part_of(part, whole, n: int = 66):
     """The value, or one of its chunks longer than 32 bytes that is not padding only, occurs in the payload."""
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(part) - 1) / n), F.lit(0)).cast("int"))
-    chunks = F.transform(starts, lambda i: F.substr(part, i * n + 1, F.lit(n)))
+    chunks = F.regexp_extract_all(part, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
     piece = F.exists(chunks, lambda p: (F.length(p) > 32) & whole.contains(p) & p.rlike("[^A=]"))
     return (F.length(whole) >= 16) & (whole.contains(part) | piece)

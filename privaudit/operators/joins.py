@@ -28,10 +28,15 @@ def _lengths(df: DataFrame, col: str) -> list[int]:
 
 
 def _substrings(col: str, lengths: list[int]):
-    n = F.length(col)
-    parts = [F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i, s=size: F.substr(F.col(col), i, F.lit(s))))
-             .otherwise(F.array().cast("array<string>")) for size in lengths]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+    """All substrings of the given lengths."""
+    none = F.array().cast("array<string>")
+
+    def of_length(size):
+        # the lookahead finds overlapping pieces in one pass over the text
+        return F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+    parts = [of_length(size) for size in lengths]
+    return F.array_distinct(F.concat(*parts)) if parts else none
 
 
 def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] | None = None,
@@ -84,17 +89,23 @@ def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, va
     Only ids and keys are exploded and shuffled; the text is read again for the surviving candidates.
     """
     on = on or []
-    v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value)
-    worded = broadcast_if_small(v.filter("_word is not null").select(*on, F.col(value_id), "_word"))
-    cand = (docs.select(*on, doc_id, F.explode(F.array_distinct(F.split(F.col(text), WORD_BREAK))).alias("_word"))
-            .join(worded, [*on, "_word"]).select(*on, doc_id, value_id))
-    rest = v.filter("_word is null").withColumn("_gram", F.left(F.col(value), F.lit(GRAM)))
-    if not rest.isEmpty():
-        grams = broadcast_if_small(rest.select(*on, value_id, "_gram"))
-        opaque = (docs.select(*on, doc_id, F.explode(_substrings(text, _lengths(rest, "_gram"))).alias("_gram"))
-                  .join(grams, [*on, "_gram"]).select(*on, doc_id, value_id))
-        cand = cand.unionByName(opaque).distinct()
-    return (cand.join(values.select(*on, value_id, F.col(value).alias("_value")), [*on, value_id])
+    v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value).withColumn("_gram", F.left(F.col(value), F.lit(GRAM)))
+    opaque = F.col("_word").isNull()
+    # one pass tells how large each part of the dictionary is and which gram lengths it needs (at most GRAM of them)
+    facts = v.agg(F.count_if(~opaque).alias("worded"), F.count_if(opaque).alias("opaque"),
+                  F.collect_set(F.when(opaque, F.length("_gram"))).alias("lengths")).first()
+    found = []
+    for n, keys, part, key in ((facts["worded"], F.array_distinct(F.split(F.col(text), WORD_BREAK)), v.filter(~opaque), "_word"),
+                               (facts["opaque"], _substrings(text, sorted(facts["lengths"])), v.filter(opaque), "_gram")):
+        if n:
+            side = part.select(*on, F.col(value_id), key)
+            side = F.broadcast(side) if n <= BROADCAST_ROWS else side
+            found.append(docs.select(*on, doc_id, F.explode(keys).alias(key)).join(side, [*on, key]).select(*on, doc_id, value_id))
+    if not found:
+        vtype = values.schema[value_id].dataType
+        return docs.select(*on, doc_id, F.lit(None).cast(vtype).alias(value_id)).limit(0)
+    cand = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return (cand.distinct().join(values.select(*on, value_id, F.col(value).alias("_value")), [*on, value_id])
             .join(docs.select(*on, doc_id, F.col(text).alias("_text")), [*on, doc_id])
             .filter(F.contains("_text", "_value")).select(*on, doc_id, value_id))
 
