@@ -25,6 +25,11 @@ def any_of(terms) -> str:
     return "|".join(regex_escape(t) for t in terms)
 
 
+def let(value, fn) -> Column:
+    """``fn`` applied to a value that is computed once per row, however often ``fn`` mentions it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def blank(c) -> Column:
     c = _col(c)
     return c.isNull() | (F.trim(c) == "")

@@ -186,9 +186,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, decimals: int = 6, bloc
     nq = max(1, -(-queries.count() // block_rows))
     nb = max(1, -(-base.count() // block_rows))
     q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).cast("long").alias("bb"))
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("bb"))
     b = base.select("match_id", "vec", F.pmod(F.xxhash64("match_id"), F.lit(nb)).alias("bb"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
     part = (q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb"))
             .applyInPandas(_block_top_k(k, decimals, same_id_excluded), "query_id long, match_id long, sim double"))
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "match_id")

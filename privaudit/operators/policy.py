@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from privaudit import dictionaries as D
 from privaudit import schemas
-from privaudit.functions.scalars import _col, any_of, blank, lookup
+from privaudit.functions.scalars import _col, any_of, blank, let, lookup
 from privaudit.operators.joins import first_match, nearest, substring_pairs
 
 # --- HTML -----------------------------------------------------------------------------------------
@@ -130,7 +130,8 @@ def split_long(lines: Column, limit: int = D.MAX_SENTENCE_CHARS) -> Column:
 
 def sentence_array(text) -> Column:
     lines = F.transform(F.split(_col(text), "\n"), clean_line)
-    return F.filter(split_long(F.filter(merge_marker_lines(lines), lambda x: x != "")), lambda x: x != "")
+    merged = let(lines, merge_marker_lines)
+    return F.filter(split_long(F.filter(merged, lambda x: x != "")), lambda x: x != "")
 
 
 def sentences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -274,7 +274,7 @@ def item_taxonomy(spark, sf) -> DataFrame:
 
 
 @query("item_classify", ITEM_SQL + """
-SELECT item, coalesce(CASE WHEN item = 'cat2' THEN 'cat2' END, (SELECT arg_min(category, ord) FROM tx WHERE contains(replace(lower(item), ' ', ''), std) AND item NOT LIKE 'zzz/%' AND item NOT LIKE '昵称%'), '未分类数据') AS category FROM it""")
+SELECT item, coalesce(CASE WHEN item = 'cat2' THEN 'cat2' END, (SELECT arg_min(category, ord) FROM tx WHERE contains(replace(lower(item), ' ', ''), std)), '未分类数据') AS category FROM it""")
 def item_classify(spark, sf):
     return policy.classify_items(item_rows(spark, sf), "item", item_taxonomy(spark, sf))
 
