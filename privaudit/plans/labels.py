@@ -29,20 +29,25 @@ def clause_completeness(spark, sf):
     return c.withColumn("included", F.array_join("included", ",")).withColumn("missing", F.array_join("missing", ","))
 
 
+TREE_NODES = [("1", None, 1), ("1.1", "1", 2), ("1.2", "1", 2), ("1.2.1", "1.2", 3), ("1.2.2", "1.2", 3), ("2", None, 1)]
+
+
 @query("clause_tree_status", """
 WITH t AS (SELECT * FROM (VALUES ('1', NULL, 1), ('1.1', '1', 2), ('1.2', '1', 2), ('1.2.1', '1.2', 3), ('1.2.2', '1.2', 3), ('2', NULL, 1)) v(id, parent, depth)),
-s AS (SELECT l_suppkey AS package, id, depth, parent, bool_or(l_linenumber = length(id) + depth) AS included, bool_or(l_partkey % 997 = depth) AS missing
-      FROM lineitem CROSS JOIN t WHERE l_quantity = 1 GROUP BY ALL),
+s AS (SELECT l_suppkey AS package, id, depth, parent, bool_or(l_quantity = 1 AND l_linenumber = length(id) + depth) AS included, bool_or(l_quantity = 1 AND l_partkey % 997 = depth) AS missing
+      FROM lineitem CROSS JOIN t GROUP BY ALL),
 d3 AS (SELECT package, id, depth, parent, included AND NOT missing AS present FROM s WHERE depth = 3),
 d2 AS (SELECT s.package, s.id, s.depth, s.parent, (included OR coalesce((SELECT bool_or(present) FROM d3 WHERE d3.package = s.package AND d3.parent = s.id), false)) AND NOT missing AS present FROM s WHERE depth = 2),
 d1 AS (SELECT s.package, s.id, s.depth, s.parent, (included OR coalesce((SELECT bool_or(present) FROM d2 WHERE d2.package = s.package AND d2.parent = s.id), false)) AND NOT missing AS present FROM s WHERE depth = 1)
 SELECT package, id, depth, present FROM d1 UNION ALL SELECT package, id, depth, present FROM d2 UNION ALL SELECT package, id, depth, present FROM d3""")
 def clause_tree_status(spark, sf):
-    nodes = [("1", None, 1), ("1.1", "1", 2), ("1.2", "1", 2), ("1.2.1", "1.2", 3), ("1.2.2", "1.2", 3), ("2", None, 1)]
-    tree = spark.createDataFrame(nodes, "id string, parent_id string, depth int")
-    ids = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(d).alias("depth")) for i, _, d in nodes])
-    li = table(spark, sf, "lineitem").filter("l_quantity = 1").select(F.col("l_suppkey").alias("package"), "l_linenumber", "l_partkey", F.explode(ids).alias("t"))
-    st = li.groupBy("package", "t.id").agg(F.bool_or(F.col("l_linenumber") == F.length("t.id") + F.col("t.depth")).alias("included"), F.bool_or(F.col("l_partkey") % 997 == F.col("t.depth")).alias("missing"))
+    tree = spark.createDataFrame(TREE_NODES, "id string, parent_id string, depth int")
+    one = F.col("l_quantity") == 1
+    tests = [x for i, (n, _, d) in enumerate(TREE_NODES) for x in (
+        F.bool_or(one & (F.col("l_linenumber") == len(n) + d)).alias(f"in{i}"), F.bool_or(one & (F.col("l_partkey") % 997 == d)).alias(f"out{i}"))]
+    wide = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("package")).agg(*tests)
+    rows = F.array(*[F.struct(F.lit(n).alias("id"), F.col(f"in{i}").alias("included"), F.col(f"out{i}").alias("missing")) for i, (n, _, _) in enumerate(TREE_NODES)])
+    st = wide.select("package", F.explode(rows).alias("r")).select("package", "r.*")
     return labels.clause_tree_status(st, tree)
 
 
