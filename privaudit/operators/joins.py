@@ -74,10 +74,23 @@ GRAM = 8
 
 
 def _anchored(values: DataFrame, value: str) -> DataFrame:
+    """Add the anchor of each value: ``_kind`` word, start or gram, and ``_key``."""
     words = F.split(F.col(value), WORD_BREAK)
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x: x != "")
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-    return values.withColumn("_word", longest["w"])
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    tail = F.when(F.size(words) > 1, F.nullif(F.regexp_replace(value, "^[A-Za-z0-9]*[^A-Za-z0-9]+", ""), F.lit("")))
+    v = values.withColumn("_word", longest).withColumn("_tail", F.left(tail, F.lit(GRAM)))
+    kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_tail").isNotNull(), "start").otherwise("gram")
+    return v.withColumn("_kind", kind).withColumn("_key", F.coalesce("_word", "_tail", F.left(F.col(value), F.lit(GRAM)))).drop("_word", "_tail")
+
+
+def _text_keys(text: str, kind: str, lengths: list[int]):
+    if kind == "word":
+        return F.array_distinct(F.split(F.col(text), WORD_BREAK))
+    if kind == "gram":
+        return _substrings(text, lengths)
+    starts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?<![A-Za-z0-9])(?=([A-Za-z0-9].{{{n - 1}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(F.concat(*starts))
 
 
 def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, value_id: str, value: str,
@@ -85,26 +98,25 @@ def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, va
     """``(on…, doc_id, value_id)`` pairs where the whole text contains the whole value.
 
     A word that is not at either end of the value must appear as a whole word in any text that contains it, so the
-    longest such word is the join key. Values without an inner word are keyed by their first eight characters.
-    Only ids and keys are exploded and shuffled; the text is read again for the surviving candidates.
+    longest such word is the join key. A value of two words is keyed by the start of its second word, looked up at
+    word starts only; an unbroken value by its first eight characters, looked up everywhere. Only ids and keys are
+    exploded and shuffled; the text is read again for the surviving candidates.
     """
     on = on or []
-    v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value).withColumn("_gram", F.left(F.col(value), F.lit(GRAM)))
-    opaque = F.col("_word").isNull()
-    # one pass tells how large each part of the dictionary is and which gram lengths it needs (at most GRAM of them)
-    facts = v.agg(F.count_if(~opaque).alias("worded"), F.count_if(opaque).alias("opaque"),
-                  F.collect_set(F.when(opaque, F.length("_gram"))).alias("lengths")).first()
+    v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value)
+    # one pass tells how large each part of the dictionary is and which key lengths it needs (at most GRAM per kind)
+    facts = v.groupBy("_kind").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("_kind") != "word", F.length("_key"))).alias("lengths")).collect()
     found = []
-    for n, keys, part, key in ((facts["worded"], F.array_distinct(F.split(F.col(text), WORD_BREAK)), v.filter(~opaque), "_word"),
-                               (facts["opaque"], _substrings(text, sorted(facts["lengths"])), v.filter(opaque), "_gram")):
-        if n:
-            side = part.select(*on, F.col(value_id), key)
-            side = F.broadcast(side) if n <= BROADCAST_ROWS else side
-            found.append(docs.select(*on, doc_id, F.explode(keys).alias(key)).join(side, [*on, key]).select(*on, doc_id, value_id))
+    for f in facts:
+        side = v.filter(F.col("_kind") == f["_kind"]).select(*on, F.col(value_id), "_key")
+        side = F.broadcast(side) if f["n"] <= BROADCAST_ROWS else side
+        keys = _text_keys(text, f["_kind"], sorted(f["lengths"]))
+        found.append(docs.select(*on, doc_id, F.explode(keys).alias("_key")).join(side, [*on, "_key"]).select(*on, doc_id, value_id))
     if not found:
-        vtype = values.schema[value_id].dataType
-        return docs.select(*on, doc_id, F.lit(None).cast(vtype).alias(value_id)).limit(0)
-    cand = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        return docs.select(*on, doc_id, F.lit(None).cast(values.schema[value_id].dataType).alias(value_id)).limit(0)
+    cand = found[0]
+    for more in found[1:]:
+        cand = cand.unionByName(more)
     return (cand.distinct().join(values.select(*on, value_id, F.col(value).alias("_value")), [*on, value_id])
             .join(docs.select(*on, doc_id, F.col(text).alias("_text")), [*on, doc_id])
             .filter(F.contains("_text", "_value")).select(*on, doc_id, value_id))
