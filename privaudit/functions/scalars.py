@@ -204,9 +204,17 @@ def standard_field(c) -> Column:
     return F.coalesce(lookup(D.FIELD_ALIASES, base), field)
 
 
+def literal(x) -> str:
+    """SQL literal of a fixed value."""
+    if x is None or isinstance(x, (bool, int, float)):
+        return "null" if x is None else str(x).lower()
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(mapping: dict, key) -> Column:
     """Value of a fixed dictionary; it travels inside the expression, so no join is planned."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), _col(key))
+    pairs = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), _col(key))
 
 
 def flatten_declared(c) -> Column:

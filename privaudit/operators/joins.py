@@ -22,21 +22,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _lengths(df: DataFrame, col: str) -> list[int]:
-    """Distinct lengths in a dictionary column: at most as many as its longest entry has characters."""
-    return sorted(r[0] for r in df.select(F.length(col)).distinct().collect() if r[0])
+def _lengths(df: DataFrame, col: str):
+    """Distinct lengths in a dictionary column as a scalar subquery; they are no more than its longest entry has characters."""
+    return df.agg(F.array_sort(F.collect_set(F.length(col)))).scalar()
 
 
-def _substrings(col: str, lengths: list[int]):
-    """All substrings of the given lengths."""
-    none = F.array().cast("array<string>")
+def _pieces(text, size):
+    # the lookahead finds overlapping pieces in one pass over the text
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
 
-    def of_length(size):
-        # the lookahead finds overlapping pieces in one pass over the text
-        return F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
-    parts = [of_length(size) for size in lengths]
-    return F.array_distinct(F.concat(*parts)) if parts else none
+def _substrings(col: str, lengths):
+    """All substrings of the given lengths."""
+    usable = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(col)))
+    return F.array_distinct(F.flatten(F.transform(usable, lambda n: _pieces(F.col(col), n))))
 
 
 def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] | None = None,
@@ -49,10 +48,10 @@ def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, on
     on = on or []
     t = texts.select(*on, F.col(text).alias("_text")).filter("_text is not null and _text <> ''").distinct()
     d = terms.select(*on, F.col(term).alias("_term")).filter("_term is not null and _term <> ''").distinct()
-    fwd = (t.withColumn("_term", F.explode(_substrings("_text", _lengths(d, "_term"))))
+    fwd = (t.withColumn("_sizes", _lengths(d, "_term")).withColumn("_term", F.explode(_substrings("_text", F.col("_sizes"))))
            .join(d, [*on, "_term"]).select(*on, "_text", "_term"))
     if both_ways:
-        rev = (d.withColumn("_text", F.explode(_substrings("_term", _lengths(t, "_text"))))
+        rev = (d.withColumn("_sizes", _lengths(t, "_text")).withColumn("_text", F.explode(_substrings("_term", F.col("_sizes"))))
                .join(t, [*on, "_text"]).select(*on, "_text", "_term"))
         fwd = fwd.unionByName(rev).distinct()
     return fwd.withColumnsRenamed({"_text": text, "_term": term})
@@ -62,10 +61,9 @@ def prefix_pairs(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str)
     """Distinct ``(path, prefix)`` where the path starts with the prefix."""
     p = paths.select(F.col(path).alias("_path")).filter("_path is not null").distinct()
     d = prefixes.select(F.col(prefix).alias("_prefix")).filter("_prefix <> ''").distinct()
-    sizes = _lengths(d, "_prefix")
-    heads = F.array_compact(F.array(*[F.when(F.length("_path") >= n, F.left(F.col("_path"), F.lit(n))) for n in sizes])
-                            .cast("array<string>"))
-    return (p.withColumn("_prefix", F.explode(heads)).join(d, "_prefix")
+    usable = F.filter("_sizes", lambda n: n <= F.length("_path"))
+    heads = F.transform(usable, lambda n: F.left(F.col("_path"), n))
+    return (p.withColumn("_sizes", _lengths(d, "_prefix")).withColumn("_prefix", F.explode(heads)).join(d, "_prefix")
             .select(F.col("_path").alias(path), F.col("_prefix").alias(prefix)))
 
 
@@ -74,13 +72,14 @@ GRAM = 8
 
 
 def _anchored(values: DataFrame, value: str) -> DataFrame:
-    """Add the anchor of each value: ``_kind`` word, start or gram, and ``_key``."""
+    """Add the anchor of each value: ``_kind`` word, start, inside or gram, and ``_key``."""
     words = F.split(F.col(value), WORD_BREAK)
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x: x != "")
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     tail = F.when(F.size(words) > 1, F.nullif(F.regexp_replace(value, "^[A-Za-z0-9]*[^A-Za-z0-9]+", ""), F.lit("")))
     v = values.withColumn("_word", longest).withColumn("_tail", F.left(tail, F.lit(GRAM)))
-    kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_tail").isNotNull(), "start").otherwise("gram")
+    kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_tail").isNotNull(), "start") \
+        .when(F.col(value).rlike("^[A-Za-z0-9]+$"), "inside").otherwise("gram")
     return v.withColumn("_kind", kind).withColumn("_key", F.coalesce("_word", "_tail", F.left(F.col(value), F.lit(GRAM)))).drop("_word", "_tail")
 
 
@@ -88,7 +87,7 @@ def _text_keys(text: str, kind: str, lengths: list[int]):
     if kind == "word":
         return F.array_distinct(F.split(F.col(text), WORD_BREAK))
     if kind == "gram":
-        return _substrings(text, lengths)
+        return F.array_distinct(F.concat(*[_pieces(F.col(text), F.lit(n)) for n in lengths]))
     starts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?<![A-Za-z0-9])(?=([A-Za-z0-9].{{{n - 1}}}))"), F.lit(1)) for n in lengths]
     return F.array_distinct(F.concat(*starts))
 
@@ -99,8 +98,9 @@ def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, va
 
     A word that is not at either end of the value must appear as a whole word in any text that contains it, so the
     longest such word is the join key. A value of two words is keyed by the start of its second word, looked up at
-    word starts only; an unbroken value by its first eight characters, looked up everywhere. Only ids and keys are
-    exploded and shuffled; the text is read again for the surviving candidates.
+    word starts only. An unbroken word must lie inside one word of the text, so it is matched against the distinct
+    words of all texts first. Anything else is keyed by its first eight characters, looked up everywhere. Only ids
+    and keys are exploded and shuffled; the text is read again for the surviving candidates.
     """
     on = on or []
     v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value)
@@ -110,8 +110,15 @@ def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, va
     for f in facts:
         side = v.filter(F.col("_kind") == f["_kind"]).select(*on, F.col(value_id), "_key")
         side = F.broadcast(side) if f["n"] <= BROADCAST_ROWS else side
-        keys = _text_keys(text, f["_kind"], sorted(f["lengths"]))
-        found.append(docs.select(*on, doc_id, F.explode(keys).alias("_key")).join(side, [*on, "_key"]).select(*on, doc_id, value_id))
+        lengths = sorted(f["lengths"])
+        if f["_kind"] == "inside":
+            words = docs.select(*on, doc_id, F.explode(_text_keys(text, "word", [])).alias("_w"))
+            vocabulary = words.select("_w").distinct()
+            known = vocabulary.withColumn("_key", F.explode(_substrings("_w", F.array(*[F.lit(n) for n in lengths])))).join(side.select("_key").distinct(), "_key")
+            keyed = words.join(known, "_w")
+        else:
+            keyed = docs.select(*on, doc_id, F.explode(_text_keys(text, f["_kind"], lengths)).alias("_key"))
+        found.append(keyed.join(side, [*on, "_key"]).select(*on, doc_id, value_id))
     if not found:
         return docs.select(*on, doc_id, F.lit(None).cast(values.schema[value_id].dataType).alias(value_id)).limit(0)
     cand = found[0]

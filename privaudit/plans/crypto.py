@@ -8,7 +8,7 @@ from privaudit.functions import payload as P
 from privaudit.functions import scalars as S
 from privaudit.operators import crypto
 from privaudit.plans.registry import query
-from privaudit.session import table
+from privaudit.session import spread, table
 from privaudit.sources import readers
 
 
@@ -146,7 +146,7 @@ def part_of(spark, sf):
 @query("entropy", """
 SELECT doc_id, round(entropy(c), 6) AS bits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY doc_id""")
 def entropy(spark, sf):
-    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.round(S.char_entropy("text"), 6).alias("bits"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").filter("text <> ''").select("doc_id", F.round(S.char_entropy("text"), 6).alias("bits"))
 
 
 @query("base64_detect", """

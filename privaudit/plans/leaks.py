@@ -10,7 +10,7 @@ from privaudit.functions import payload as P
 from privaudit.functions import scalars as S
 from privaudit.operators import fleet, integrate, joins, leaks, report
 from privaudit.plans.registry import query
-from privaudit.session import table
+from privaudit.session import spread, table
 from privaudit.sources.readers import host_from_url
 
 
@@ -451,7 +451,7 @@ def standard_field(spark, sf):
 @query("leak_value_detect", """
 SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def leak_value_detect(spark, sf):
-    docs, values = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    docs, values = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf, "benchmark")
     return joins.text_contains(docs, "doc_id", "text", values.withColumnRenamed("text", "value"), "item_id", "value")
 
 
@@ -463,7 +463,7 @@ SELECT source AS package, doc_id AS leaf_id, k || '-word' AS privacy_field,
        CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS value_preview
 FROM documents CROSS JOIN (SELECT unnest([{quoted(KEYWORDS)}]) AS k) WHERE contains(lower(text), k)""")
 def leak_keyword_detect(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("source").alias("package"), F.col("doc_id").alias("leaf_id"), F.col("text").alias("leaf"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.col("source").alias("package"), F.col("doc_id").alias("leaf_id"), F.col("text").alias("leaf"))
     values = docs.select("package").distinct().select("package", F.explode(F.array(*[F.lit(k) for k in KEYWORDS])).alias("value")) \
         .select("package", F.concat("value", F.lit("-word")).alias("field"), "value", F.lit(True).alias("is_keyword"))
     return leaks.detect_keywords(docs, values).select("package", "leaf_id", "privacy_field", "value_preview")
@@ -532,7 +532,7 @@ lv AS (SELECT source, doc_id, CASE field {' '.join(f"WHEN '{k}' THEN '{v}'" for
 SELECT source, category, risk_level, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM lv GROUP BY ALL""")
 def sensitive_text_risk(spark, sf):
     """Keywords and known passages in whole documents, mapped to categories and to a risk level as plain outbound data."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text"), "doc_id")
     low = F.lower("text")
     # the keyword list is a constant, so it is tested inside one scan
     kw = docs.select("source", "doc_id", F.explode(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in KEYWORDS]))).alias("field"))

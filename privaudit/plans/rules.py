@@ -9,7 +9,7 @@ from privaudit import dictionaries as D
 from privaudit.operators import rules, violations
 from privaudit.plans.leaks import quoted
 from privaudit.plans.registry import query
-from privaudit.session import table
+from privaudit.session import spread, table
 
 # --- label rules ------------------------------------------------------------------------------------
 # package = supplier; part types and brands stand for clause labels by name, code or dotted id
@@ -126,7 +126,7 @@ h AS (SELECT DISTINCT source AS package, name FROM documents JOIN s ON contains(
 
 
 def document_sdks(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("source").alias("package"), "doc_id", F.lower("text").alias("piece"))
+    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text"), "doc_id").select(F.col("source").alias("package"), "doc_id", F.lower("text").alias("piece"))
     names = table(spark, sf, "benchmark").select(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("name"),
                                                  F.concat(F.lit("Co"), F.col("item_id").cast("string")).alias("company"))
     pk = docs.select("package").distinct()

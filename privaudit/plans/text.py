@@ -9,7 +9,7 @@ from privaudit import dictionaries as D
 from privaudit.functions import scalars as S
 from privaudit.operators import evaluate, policy
 from privaudit.plans.registry import query
-from privaudit.session import table
+from privaudit.session import spread, table
 
 # --- HTML -------------------------------------------------------------------------------------------
 
@@ -34,7 +34,7 @@ def _html_sql(col: str) -> str:
 
 @query("html_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", policy.page_text("html").alias("text"))
+    return spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", policy.page_text("html").alias("text"))
 
 
 @query("html_emphasis", """
@@ -89,7 +89,7 @@ l4 AS (SELECT doc_id, i, CASE WHEN mark AND coalesce(next_plain, false) THEN lin
 
 
 def numbered_docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\n([A-Z])", "\n1.2\n$1").alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.regexp_replace("text", r"\n([A-Z])", "\n1.2\n$1").alias("text"))
 
 
 @query("line_merge", LINES_SQL + "SELECT doc_id, line, count(*) AS n FROM l4 GROUP BY 1, 2")
