@@ -79,7 +79,7 @@ def _anchored(values: DataFrame, value: str) -> DataFrame:
     tail = F.when(F.size(words) > 1, F.nullif(F.regexp_replace(value, "^[A-Za-z0-9]*[^A-Za-z0-9]+", ""), F.lit("")))
     v = values.withColumn("_word", longest).withColumn("_tail", F.left(tail, F.lit(GRAM)))
     kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_tail").isNotNull(), "start") \
-        .when(F.col(value).rlike("^[A-Za-z0-9]+$"), "inside").otherwise("gram")
+        .when(F.col(value).rlike(r"^[A-Za-z0-9]+\z"), "inside").otherwise("gram")
     return v.withColumn("_kind", kind).withColumn("_key", F.coalesce("_word", "_tail", F.left(F.col(value), F.lit(GRAM)))).drop("_word", "_tail")
 
 

@@ -97,8 +97,7 @@ def report_records(reports: DataFrame) -> DataFrame:
 
 def read_whole_files(spark: SparkSession, root: str) -> DataFrame:
     """Dumped files as (package, path, content)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{root}/*/files-1", f"{root}/*/files-2"]) \
-        if isinstance(root, str) else spark.read.format("binaryFile").load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/*/files-[12]")
     return df.select(F.regexp_extract("path", r"/([^/]+)/files-[12]/", 1).alias("package"), F.regexp_extract("path", r"(/files-[12]/.*)$", 1).alias("path"), "content")
 
 

@@ -21,10 +21,10 @@ DEFAULT_DELAY = "10 seconds"
 
 # --- plumbing -------------------------------------------------------------------------------------
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table folder as a stream of files."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """A table folder as a stream of files; the number of files per micro-batch bounds what a keyed rule holds at once."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -146,11 +146,11 @@ def consent_stream(df: DataFrame, consent: str, max_gates: int = 5) -> DataFrame
     return _stateful(df.select("package", "ts", "event_id", "api"), "package", fn, f"package {t}, event_id long, api string, phase string, gates int", "gates int")
 
 
-def token_stream(df: DataFrame, pattern: str, max_tokens: int = 10_000) -> DataFrame:
+def token_stream(df: DataFrame, pattern: str) -> DataFrame:
     """Captured values that show up in the same or a later outbound text of the package.
 
-    ``df``: package, seq, role ('in' captures, 'out' is searched), text. The state of a package is its captured
-    values; the oldest leave when there are more than ``max_tokens``, which bounds the state of a live stream.
+    ``df``: package, seq, role ('in' captures, 'out' is searched), text. The state of a package is the set of its
+    captured values.
     """
     import re
     find = re.compile(pattern)
@@ -164,7 +164,7 @@ def token_stream(df: DataFrame, pattern: str, max_tokens: int = 10_000) -> DataF
                 tokens.update(dict.fromkeys(find.findall(text)))
             else:
                 rows.extend((k[0], seq, t) for t in tokens if t in text)
-        state.update((list(tokens)[-max_tokens:],))
+        state.update((list(tokens),))
         yield pd.DataFrame(rows, columns=["package", "seq", "token"])
     t = df.schema["package"].dataType.simpleString()
     return _stateful(df.select("package", "seq", "role", "text"), "package", fn, f"package {t}, seq long, token string", "tokens array<string>")
