@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from privaudit.functions.scalars import let, literal
+
 BROADCAST_ROWS = 200_000
 
 
@@ -69,58 +71,82 @@ def prefix_pairs(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str)
 
 WORD_BREAK = "[^A-Za-z0-9]+"
 GRAM = 8
+INLINE_VALUES = 500
+INLINE_KEYS = 1000
 
 
 def _anchored(values: DataFrame, value: str) -> DataFrame:
-    """Add the anchor of each value: ``_kind`` word, start, inside or gram, and ``_key``."""
+    """Add the anchor of each value: ``_kind`` word, pair, inside or gram, ``_key`` and its ``_shape``."""
     words = F.split(F.col(value), WORD_BREAK)
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x: x != "")
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    tail = F.when(F.size(words) > 1, F.nullif(F.regexp_replace(value, "^[A-Za-z0-9]*[^A-Za-z0-9]+", ""), F.lit("")))
-    v = values.withColumn("_word", longest).withColumn("_tail", F.left(tail, F.lit(GRAM)))
-    kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_tail").isNotNull(), "start") \
+    across = F.nullif(F.regexp_extract(value, "([A-Za-z0-9]{0,3}[^A-Za-z0-9]+[A-Za-z0-9]{1,4})", 1), F.lit(""))
+    v = values.withColumn("_word", longest).withColumn("_pair", across)
+    kind = F.when(F.col("_word").isNotNull(), "word").when(F.col("_pair").isNotNull(), "pair") \
         .when(F.col(value).rlike(r"^[A-Za-z0-9]+\z"), "inside").otherwise("gram")
-    return v.withColumn("_kind", kind).withColumn("_key", F.coalesce("_word", "_tail", F.left(F.col(value), F.lit(GRAM)))).drop("_word", "_tail")
+    v = v.withColumn("_kind", kind).withColumn("_key", F.coalesce("_word", "_pair", F.left(F.col(value), F.lit(GRAM))))
+    sides = F.concat_ws(",", F.length(F.regexp_extract("_key", "^[A-Za-z0-9]*", 0)).cast("string"), F.length(F.regexp_extract("_key", r"[A-Za-z0-9]*\z", 0)).cast("string"))
+    shape = F.when(F.col("_kind") == "pair", sides).otherwise(F.length("_key").cast("string"))
+    return v.withColumn("_shape", F.when(F.col("_kind") != "word", shape)).drop("_word", "_pair")
 
 
-def _text_keys(text: str, kind: str, lengths: list[int]):
-    if kind == "word":
+def _text_keys(text: str, kind: str, shapes: list[str]):
+    """All keys of one kind a text can offer."""
+    if kind in ("word", "inside"):
         return F.array_distinct(F.split(F.col(text), WORD_BREAK))
     if kind == "gram":
-        return F.array_distinct(F.concat(*[_pieces(F.col(text), F.lit(n)) for n in lengths]))
-    starts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?<![A-Za-z0-9])(?=([A-Za-z0-9].{{{n - 1}}}))"), F.lit(1)) for n in lengths]
-    return F.array_distinct(F.concat(*starts))
+        return F.array_distinct(F.concat(*[_pieces(F.col(text), F.lit(n)) for n in shapes]))
+    pats = ["(?s)(?=([A-Za-z0-9]{%s}[^A-Za-z0-9]+[A-Za-z0-9]{%s}))" % tuple(s.split(",")) for s in shapes]
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in pats]))
+
+
+def _candidates(docs: DataFrame, keep: list[str], text: str, side: DataFrame, kind: str, shapes: list[str], keys: list[str] | None):
+    """Docs with every dictionary key they offer, ``keep`` columns and ``_key`` only."""
+    if keys is not None:
+        # few keys: they are looked up inside the scan, and only hits become rows
+        return docs.select(*keep, F.explode(F.array_intersect(_text_keys(text, kind, shapes), _array(keys))).alias("_key"))
+    keyed = docs.select(*keep, F.explode(_text_keys(text, kind, shapes)).alias("_key"))
+    if kind != "inside":
+        return keyed
+    words = keyed.withColumnRenamed("_key", "_w")
+    sizes = F.array(*[F.lit(int(n)) for n in shapes])
+    known = words.select("_w").distinct().withColumn("_key", F.explode(_substrings("_w", sizes))).join(side.select("_key").distinct(), "_key")
+    return words.join(known, "_w").drop("_w")
+
+
+def _array(items: list[str]):
+    return F.expr("array(" + ", ".join(literal(k) for k in items) + ")") if items else F.array().cast("array<string>")
 
 
 def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, value_id: str, value: str,
-                  on: list[str] | None = None) -> DataFrame:
+                  on: list[str] | None = None, inline_values: int = INLINE_VALUES, inline_keys: int = INLINE_KEYS) -> DataFrame:
     """``(on…, doc_id, value_id)`` pairs where the whole text contains the whole value.
 
-    A word that is not at either end of the value must appear as a whole word in any text that contains it, so the
-    longest such word is the join key. A value of two words is keyed by the start of its second word, looked up at
-    word starts only. An unbroken word must lie inside one word of the text, so it is matched against the distinct
-    words of all texts first. Anything else is keyed by its first eight characters, looked up everywhere. Only ids
-    and keys are exploded and shuffled; the text is read again for the surviving candidates.
+    Up to ``inline_values`` distinct values are tested inside one scan of the texts. A larger dictionary is joined on
+    keys: a word that is not at either end of the value must appear as a whole word in any text that contains it, so
+    the longest such word is the key. A value of two words is keyed by the characters around its gap. An unbroken word
+    must lie inside one word of the text, so such words are matched against the distinct words of all texts. Anything
+    else is keyed by its first eight characters. Only ids and keys are exploded and shuffled; the text is read again
+    for the surviving candidates, which are checked in full.
     """
     on = on or []
-    v = _anchored(values.filter(f"{value} is not null and {value} <> ''"), value)
-    # one pass tells how large each part of the dictionary is and which key lengths it needs (at most GRAM per kind)
-    facts = v.groupBy("_kind").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("_kind") != "word", F.length("_key"))).alias("lengths")).collect()
+    given = values.filter(f"{value} is not null and {value} <> ''")
+    few = [r[0] for r in given.select(value).distinct().limit(inline_values + 1).collect()]
+    if len(few) <= inline_values:
+        # the text is bound to one name, so an expression such as lower(text) is evaluated once per row
+        hit = let(F.col(text), lambda t: F.filter(_array(few), lambda x: t.contains(x)))
+        return (docs.select(*on, doc_id, F.explode(hit).alias("_value"))
+                .join(given.select(*on, value_id, F.col(value).alias("_value")), [*on, "_value"]).select(*on, doc_id, value_id))
+    v = _anchored(given, value)
+    # how many keys there are of each kind and which shapes they have: a handful of rows whatever the dictionary
+    facts = v.groupBy("_kind").agg(F.countDistinct("_key").alias("n"), F.collect_set("_shape").alias("shapes")).collect()
     found = []
     for f in facts:
-        side = v.filter(F.col("_kind") == f["_kind"]).select(*on, F.col(value_id), "_key")
-        side = F.broadcast(side) if f["n"] <= BROADCAST_ROWS else side
-        lengths = sorted(f["lengths"])
-        if f["_kind"] == "inside":
-            words = docs.select(*on, doc_id, F.explode(_text_keys(text, "word", [])).alias("_w"))
-            vocabulary = words.select("_w").distinct()
-            known = vocabulary.withColumn("_key", F.explode(_substrings("_w", F.array(*[F.lit(n) for n in lengths])))).join(side.select("_key").distinct(), "_key")
-            keyed = words.join(known, "_w")
-        else:
-            keyed = docs.select(*on, doc_id, F.explode(_text_keys(text, f["_kind"], lengths)).alias("_key"))
+        kind = f["_kind"]
+        side = v.filter(F.col("_kind") == kind).select(*on, F.col(value_id), "_key")
+        keys = [r[0] for r in side.select("_key").distinct().collect()] if kind in ("word", "pair") and f["n"] <= inline_keys else None
+        keyed = _candidates(docs, [*on, doc_id], text, side, kind, sorted(f["shapes"]), keys)
         found.append(keyed.join(side, [*on, "_key"]).select(*on, doc_id, value_id))
-    if not found:
-        return docs.select(*on, doc_id, F.lit(None).cast(values.schema[value_id].dataType).alias(value_id)).limit(0)
     cand = found[0]
     for more in found[1:]:
         cand = cand.unionByName(more)

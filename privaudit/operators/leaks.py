@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from privaudit import dictionaries as D
 from privaudit.functions.payload import encoding_fanout
-from privaudit.functions.scalars import (any_of, blank, is_internal_host, is_real_host, lookup, regex_escape, shorten,
+from privaudit.functions.scalars import (any_of, blank, is_internal_host, is_real_host, lookup, shorten,
                                          signed_bytes_to_binary)
 from privaudit.operators.joins import first_match, prefix_pairs, substring_pairs, text_contains
 
-MAX_INLINE_WORDS = 500
-
 # --- SDK attribution ------------------------------------------------------------------------------
 
 def sdk_domains(sdk: DataFrame) -> DataFrame:
@@ -129,15 +127,7 @@ def detect_keywords(leaves: DataFrame, values: DataFrame) -> DataFrame:
     """Leaves that mention a keyword, ignoring case; all-digit leaves are skipped."""
     kw = values.filter("is_keyword").select("package", "field", F.lower("value").alias("word")).distinct()
     low = leaves.filter(~F.col("leaf").rlike("^[0-9]+$")).withColumn("_low", F.lower("leaf"))
-    words = [r[0] for r in kw.select("word").distinct().limit(MAX_INLINE_WORDS + 1).collect()]
-    if len(words) <= MAX_INLINE_WORDS:
-        # a short word list is tested inside one scan; only leaves with a hit reach the join
-        low = low.filter(F.col("_low").rlike("|".join(regex_escape(w) for w in words) or "$^"))
-        inline = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.col("_low").contains(w))
-        hits = low.select("package", "leaf_id", F.explode(inline).alias("word")).join(kw, ["package", "word"]) \
-            .select("package", "leaf_id", F.xxhash64("field", "word").alias("kid"))
-    else:
-        hits = text_contains(low, "leaf_id", "_low", kw.withColumn("kid", F.xxhash64("field", "word")), "kid", "word", on=["package"])
+    hits = text_contains(low, "leaf_id", "_low", kw.withColumn("kid", F.xxhash64("field", "word")), "kid", "word", on=["package"])
     kws = kw.withColumn("kid", F.xxhash64("field", "word"))
     return (hits.join(kws, ["package", "kid"]).join(leaves, ["package", "leaf_id"])
             .withColumnRenamed("field", "privacy_field").withColumn("encode_type", F.lit("normal"))

@@ -184,7 +184,7 @@ def payload_flatten(spark, sf):
     inner = F.to_json(F.struct(F.col("l_linestatus").alias("mode")))
     js = F.to_json(F.struct(F.concat("l_returnflag", F.lit("-flag")).alias("flag"), F.array(F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")).alias("qty"),
                             F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), inner.alias("inner")).alias("ship")))
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", js.alias("payload"), F.lit("body").alias("meta"))
+    li = spread(table(spark, sf, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", js.alias("payload"), F.lit("body").alias("meta"))
     return P.flatten_payload(li, "payload", "meta", depth=4).select("l_orderkey", "l_linenumber", "leaf_path", "leaf")
 
 

@@ -69,7 +69,7 @@ def sdk_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "l_orderkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)

@@ -25,9 +25,11 @@ def test_text_contains_equals_plain_contains(spark):
         vals.append((j, rng.randint(0, 2), d[2][a:b] if j % 4 else "".join(words(rng, 2))))
     df, vf = spark.createDataFrame(docs, "doc int, pkg int, text string"), spark.createDataFrame(vals, "vid int, pkg int, val string")
     want = {(d, v) for d, _, t in docs for v, _, x in vals if x and x in t}
-    assert {(r.doc, r.vid) for r in joins.text_contains(df.drop("pkg"), "doc", "text", vf.drop("pkg"), "vid", "val").collect()} == want
     keyed = {(p, d, v) for d, p, t in docs for v, q, x in vals if x and p == q and x in t}
-    assert {tuple(r) for r in joins.text_contains(df, "doc", "text", vf, "vid", "val", on=["pkg"]).collect()} == keyed
+    for sizes in ((0, 0), (0, 1000), (1000, 1000)):
+        got = joins.text_contains(df.drop("pkg"), "doc", "text", vf.drop("pkg"), "vid", "val", None, *sizes)
+        assert {(r.doc, r.vid) for r in got.collect()} == want
+        assert {tuple(r) for r in joins.text_contains(df, "doc", "text", vf, "vid", "val", ["pkg"], *sizes).collect()} == keyed
 
 
 def test_substring_pairs_both_ways(spark):
