@@ -84,8 +84,7 @@ def factor_effects(runs: DataFrame, factors: list[str], metric: str = "micro_f1"
 
 def ranked_runs(runs: DataFrame, metric: str = "micro_f1") -> DataFrame:
     """Runs with their gap to the best."""
-    best = runs.agg(F.max(metric).alias("best")).withColumn("_k", F.lit(1))
-    return runs.withColumn("_k", F.lit(1)).join(best, "_k").drop("_k").withColumn("gap", F.col(metric) - F.col("best"))
+    return runs.withColumn("best", runs.agg(F.max(metric)).scalar()).withColumn("gap", F.col(metric) - F.col("best"))
 
 
 def run_difference(runs: DataFrame, run_col: str, a: str, b: str, metrics: list[str]) -> DataFrame:

@@ -125,7 +125,7 @@ def best_thresholds(scores: DataFrame, grid=tuple(D.THRESHOLD_PERCENTS)) -> Data
 
 def multilabel_metrics(pred: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Subset accuracy and micro, macro and weighted F1; ``pred``: row_id, label, pred, truth."""
-    exact = pred.groupBy("row_id").agg(F.bool_and(F.col("pred") == F.col("truth")).alias("ok")).agg(F.avg(F.col("ok").cast("int")).alias("accuracy"))
+    exact = pred.groupBy("row_id").agg(F.bool_and(F.col("pred") == F.col("truth")).alias("ok")).agg(F.avg(F.col("ok").cast("int")))
     per = pred.groupBy("label").agg(
         F.count_if((F.col("pred") == 1) & (F.col("truth") == 1)).alias("tp"),
         F.count_if((F.col("pred") == 1) & (F.col("truth") == 0)).alias("fp"),
@@ -140,11 +140,7 @@ def multilabel_metrics(pred: DataFrame, thresholds: DataFrame | None = None) ->
     agg = per.withColumn("f1", each).withColumn("support", support).agg(
         f1(tp, fp, fn).alias("f1_micro"), F.avg("f1").alias("f1_macro"),
         F.when(F.sum("support") > 0, F.sum(F.col("f1") * F.col("support")) / F.sum("support")).otherwise(0.0).alias("f1_weighted"))
-    parts = [agg, exact]
+    out = agg.withColumn("accuracy", exact.scalar())
     if thresholds is not None:
-        parts.append(thresholds.agg(F.avg("threshold").alias("threshold_mean"), F.stddev_pop("threshold").alias("threshold_std")))
-    # each part is a single row, joined on a constant
-    out = parts[0].withColumn("_k", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+        out = out.withColumn("threshold_mean", thresholds.agg(F.avg("threshold")).scalar()).withColumn("threshold_std", thresholds.agg(F.stddev_pop("threshold")).scalar())
+    return out

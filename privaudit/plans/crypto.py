@@ -260,8 +260,7 @@ def probe_rows(spark, sf):
 @query("flow_index", "SELECT count(*) AS requests, count(*) FILTER (page_id % 4 <> 0) AS responses, count(DISTINCT page_id + 1700000000) AS times FROM pages")
 def flow_index(spark, sf):
     req, res = readers.flow_index(flow_table(spark, sf))
-    a = req.agg(F.count("*").alias("requests"), F.countDistinct("timestamp").alias("times")).withColumn("_k", F.lit(1))
-    return a.join(res.agg(F.count("*").alias("responses")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return req.agg(F.count("*").alias("requests"), F.countDistinct("timestamp").alias("times")).withColumn("responses", res.agg(F.count("*")).scalar())
 
 
 @query("media_strip", """

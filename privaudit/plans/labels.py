@@ -181,8 +181,8 @@ def lin_similarity(spark, sf):
     per = cust.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     k = per.join(n, per.c_nationkey == n.n_nationkey).select(F.concat_ws("/", "n_name", "c_mktsegment").alias("node"), "n")
     up = labels.ancestors(tree, 3).join(k, "node", "left").groupBy(F.col("ancestor").alias("label")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pos"))
-    total = cust.agg(F.count("*").alias("n_rows")).withColumn("_k", F.lit(1))
-    ic = up.withColumn("_k", F.lit(1)).join(total, "_k").select(F.col("label").alias("node"), (-F.log((F.col("n_pos") + 1) / (F.col("n_rows") + 2))).alias("ic"))
+    rows = up.withColumn("n_rows", cust.agg(F.count("*")).scalar())
+    ic = rows.select(F.col("label").alias("node"), (-F.log((F.col("n_pos") + 1) / (F.col("n_rows") + 2))).alias("ic"))
     return labels.lin_similarity(tree, ic, 3).withColumn("sim", F.round("sim", 6))
 
 

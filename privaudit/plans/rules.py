@@ -115,32 +115,23 @@ def gate_candidates(spark, sf):
 
 
 # --- disclosure -------------------------------------------------------------------------------------
-# package = document source; SDK names are the benchmark's first two words
+# package = document source; benchmark items act as the SDKs of a source, named by their first two words
 
 UND_SQL = """
-WITH s AS (SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name, 'Co' || item_id AS company FROM benchmark),
-k AS (SELECT DISTINCT source AS package FROM documents), sh AS (SELECT package, length(package) % 2 = 0 AS ok FROM k),
-x AS (SELECT DISTINCT k.package, name, company FROM k CROSS JOIN s),
-h AS (SELECT DISTINCT source AS package, name FROM documents JOIN s ON contains(lower(text), lower(name)) OR contains(lower(text), lower(company)))
+WITH x AS (SELECT DISTINCT 'src' || (item_id % 20) AS package, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name, 'Co' || item_id AS company FROM benchmark),
+sh AS (SELECT DISTINCT source AS package, length(source) % 2 = 0 AS ok FROM documents),
+h AS (SELECT DISTINCT package, name FROM documents JOIN x ON source = package AND (contains(lower(text), lower(name)) OR contains(lower(text), lower(company))))
 """
 
 
-def document_sdks(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text"), "doc_id").select(F.col("source").alias("package"), "doc_id", F.lower("text").alias("piece"))
-    names = table(spark, sf, "benchmark").select(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("name"),
-                                                 F.concat(F.lit("Co"), F.col("item_id").cast("string")).alias("company"))
-    pk = docs.select("package").distinct()
-    # every package is checked against the whole dictionary of the benchmark
-    keyed = pk.withColumn("_k", F.lit(1)).join(names.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return docs, pk, keyed
-
-
 @query("undisclosed_sdk", UND_SQL + """
-SELECT DISTINCT x.package, x.name AS sdk FROM x JOIN sh ON x.package = sh.package LEFT JOIN h ON h.package = x.package AND h.name = x.name WHERE NOT sh.ok OR h.name IS NULL""")
+SELECT DISTINCT x.package, x.name AS sdk FROM x LEFT JOIN sh ON x.package = sh.package LEFT JOIN h ON h.package = x.package AND h.name = x.name WHERE NOT coalesce(sh.ok, false) OR h.name IS NULL""")
 def undisclosed_sdk(spark, sf):
-    docs, pk, sdks = document_sdks(spark, sf)
-    sharing = pk.withColumn("sharing_declared", F.length("package") % 2 == 0)
-    return rules.undisclosed_sdks(sdks, docs.withColumnRenamed("doc_id", "piece_id"), sharing)
+    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text"), "doc_id").select(F.col("source").alias("package"), F.col("doc_id").alias("piece_id"), F.lower("text").alias("piece"))
+    two = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
+    sdks = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("package"), two.alias("name"), F.concat(F.lit("Co"), F.col("item_id").cast("string")).alias("company"))
+    sharing = table(spark, sf, "documents").select(F.col("source").alias("package")).distinct().withColumn("sharing_declared", F.length("package") % 2 == 0)
+    return rules.undisclosed_sdks(sdks, docs, sharing)
 
 
 BROAD_SQL = """

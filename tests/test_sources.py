@@ -35,8 +35,8 @@ def test_reports_and_sinks(spark, tmp_path):
     sinks.write_table(recs, out)
     sinks.write_table(recs.limit(1).withColumnRenamed("host", "h").selectExpr("'new' package", "privacy_field", "h host"), out)
     assert {r.package for r in spark.read.parquet(out).collect()} == {"com.a", "new"}
-    nested = sinks.nested_reports(recs.select("package").distinct(), recs).first()
-    assert len(json.loads(nested.report)["records"]) == 2
+    sinks.write_leak_reports(recs.groupBy("package").count(), recs, str(tmp_path / "lr"))
+    assert spark.read.json(str(tmp_path / "lr" / "records")).count() == 2 and spark.read.json(str(tmp_path / "lr" / "summary")).first()["count"] == 2
     sinks.write_csv(recs, str(tmp_path / "csv"))
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("*.csv"))
     assert text.startswith("﻿package")
