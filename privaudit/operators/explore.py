@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from privaudit import dictionaries as D
 from privaudit.functions.scalars import _col
-from privaudit.operators.scans import HOT_ROWS, Running, numbered, run_lengths, running
+from privaudit.operators.scans import HOT_ROWS, Running, numbered, prepare, run_lengths, running
 
 
 def _first_seen(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -63,13 +63,14 @@ def stuck_runs(steps: DataFrame, keys: list[str], order: list[str], hot_rows: in
 
     ``steps``: keys, order, state_id, xml_score, img_same, recovered.
     """
-    p = running(steps, keys, order, [Running("_prev_state", "prev", F.col("state_id"))], hot_rows)
+    base, hot_rows = prepare(steps, keys, order, hot_rows)
+    p = running(base, keys, order, [Running("_prev_state", "prev", F.col("state_id"))], hot_rows)
     vote = stuck_vote(F.col("state_id") == F.col("_prev_state"), "xml_score", "img_same")
     p = p.withColumn("is_stuck", vote & ~F.coalesce("recovered", F.lit(False))).drop("_prev_state")
     q = running(p, keys, order, [Running("_was", "prev", F.col("is_stuck"))], hot_rows)
     r = run_lengths(q, keys, order, F.col("_was").isNull() | (F.col("_was") != F.col("is_stuck")), "_len", hot_rows=hot_rows)
     n = F.when(F.col("is_stuck"), F.col("_len")).otherwise(0)
-    return r.withColumn("was_stuck", F.coalesce("_was", F.lit(False))).withColumn("stuck_run", n).withColumn("trapped", n >= trapped_at).drop("_was", "_len")
+    return r.withColumn("was_stuck", F.coalesce("_was", F.lit(False))).withColumn("stuck_run", n).withColumn("trapped", n >= trapped_at).drop("_was", "_len", "_chunk")
 
 
 def step_scores(stuck: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -87,10 +88,11 @@ def step_scores(stuck: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def repeat_runs(steps: DataFrame, keys: list[str], order: list[str], action: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """How often the current action has been repeated in a row (0 for its first use)."""
-    p = running(steps, keys, order, [Running("_prev", "prev", F.col(action)), Running("_n", "count")], hot_rows)
+    base, hot_rows = prepare(steps, keys, order, hot_rows)
+    p = running(base, keys, order, [Running("_prev", "prev", F.col(action)), Running("_n", "count")], hot_rows)
     p = p.withColumn("_s", (F.col("_n") == 1) | ~F.col("_prev").eqNullSafe(F.col(action))).drop("_n", "_prev")
     r = run_lengths(p, keys, order, F.col("_s"), "_len", hot_rows=hot_rows)
-    return r.withColumn("repeat_count", F.col("_len") - 1).drop("_len", "_s")
+    return r.withColumn("repeat_count", F.col("_len") - 1).drop("_len", "_s", "_chunk")
 
 
 def sample_every(df: DataFrame, keys: list[str], order: list[str], mod: int, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -16,14 +16,6 @@ from pyspark.sql import Window as W
 
 from privaudit.functions.scalars import let, literal
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side has at most ``max_rows`` rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _lengths(df: DataFrame, col: str):
     """Distinct lengths in a dictionary column as a scalar subquery; they are no more than its longest entry has characters."""
     return df.agg(F.array_sort(F.collect_set(F.length(col)))).scalar()

@@ -61,10 +61,26 @@ def split_hot_groups(df: DataFrame, keys: list[str], position: str, hot_rows: in
     return joined.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], chunk.alias("_chunk")), True
 
 
+def prepare(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """Frame and limit for several scans over the same groups, so that group sizes are looked up once."""
+    if "_chunk" in df.columns or hot_rows == 0:
+        return df, hot_rows
+    base, split = split_hot_groups(df, keys, order[0], hot_rows)
+    return (base, hot_rows) if split else (df, 0)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running],
             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Running values per group in the given order (first ordering column: number or timestamp)."""
-    base, split = split_hot_groups(df, keys, order[0], hot_rows)
+    """Running values per group in the given order (first ordering column: number or timestamp).
+
+    A frame that already carries ``_chunk`` keeps it; ``hot_rows = 0`` says that no group is hot.
+    """
+    if "_chunk" in df.columns:
+        base, split = df, True
+    elif hot_rows == 0:
+        base, split = df, False
+    else:
+        base, split = split_hot_groups(df, keys, order[0], hot_rows)
     part = [*keys, "_chunk"] if split else keys
     w = W.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -116,14 +132,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "run_pos",
                 run_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position inside the current run, where ``starts`` marks the first row of a run."""
-    flagged = df.withColumn("_start", F.coalesce(starts, F.lit(False)))
+    base, hot_rows = prepare(df, keys, order, hot_rows)
+    flagged = base.withColumn("_start", F.coalesce(starts, F.lit(False)))
     first = running(flagged, keys, order, [Running("_n", "count"), Running("_run", "sum", F.col("_start").cast("int"))],
                     hot_rows)
     second = running(first, keys, order, [Running("_n0", "last", F.when(F.col("_start"), F.col("_n")))], hot_rows)
     res = second.withColumn(out, F.col("_n") - F.coalesce(F.col("_n0"), F.lit(1)) + 1)
     if run_id:
         res = res.withColumnRenamed("_run", run_id)
-    return res.drop("_start", "_n", "_n0", "_run")
+    return res.drop("_start", "_n", "_n0", "_run", *([] if "_chunk" in df.columns else ["_chunk"]))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, tie: str, right_cols: list[str],

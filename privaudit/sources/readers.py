@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from privaudit import dictionaries as D
 from privaudit import schemas
-from privaudit.functions.scalars import (any_of, blank, is_skipped_host, is_static_script, keeps_response_body, parse_ts)
+from privaudit.functions.scalars import (blank, is_skipped_host, is_static_script, keeps_response_body, parse_ts)
 
 BAD = "_corrupt_record"
 
@@ -272,7 +271,3 @@ def read_corpus(spark: SparkSession, path: str, split: str) -> DataFrame:
 def host_from_url(c):
     """Host part of a URL."""
     return F.regexp_extract(c, r"^[a-zA-Z]+://([^/:?#]+)", 1)
-
-
-def skipped_hosts_pattern() -> str:
-    return "(" + any_of(D.SKIPPED_HOST_SUFFIXES) + ")$"

@@ -84,3 +84,18 @@ def test_trapped_after_ten_stuck_steps(spark):
     st = explore.stuck_runs(spark.createDataFrame(rows_, "run_id int, step int, state_id string, xml_score double, img_same boolean, recovered boolean"), ["run_id"], ["step"])
     got = {r.step: (r.stuck_run, r.trapped) for r in st.collect()}
     assert got[11] == (11, True) and got[10] == (10, True) and got[9] == (9, False) and got[13] == (0, False) and got[14] == (1, False)
+
+
+@pytest.mark.parametrize("hot_rows", [9, 10**9])
+def test_stuck_and_repeat_runs_on_a_hot_run(hot, hot_rows):
+    s = hot.select(F.col("key").alias("run_id"), "ts", "event_id", F.col("event_type").alias("state_id"), (F.col("value") / 50).alias("xml_score"), (F.col("event_id") % 2 == 0).alias("img_same"), F.lit(False).alias("recovered"))
+    want, prev, n, act, rep = {}, {}, {}, {}, {}
+    for r in s.orderBy("run_id", "ts", "event_id").collect():
+        votes = (prev.get(r.run_id) == r.state_id) + (r.xml_score > 0.97) + r.img_same
+        n[r.run_id] = n.get(r.run_id, 0) + 1 if votes >= 2 else 0
+        rep[r.run_id] = rep[r.run_id] + 1 if prev.get(r.run_id) == r.state_id else 0
+        prev[r.run_id] = r.state_id
+        want[r.event_id] = (n[r.run_id], rep[r.run_id])
+    a = {r.event_id: r.stuck_run for r in explore.stuck_runs(s, ["run_id"], ["ts", "event_id"], hot_rows).collect()}
+    b = {r.event_id: r.repeat_count for r in explore.repeat_runs(s, ["run_id"], ["ts", "event_id"], "state_id", hot_rows).collect()}
+    assert {k: (a[k], b[k]) for k in a} == want
