@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Without that setting, a session on one machine (a test) gets a folder of its own and a cluster one in its warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="privaudit-")
+        master = spark.sparkContext.master
+        one_machine = master.startswith("local") and not master.startswith("local-cluster")
+        base = tempfile.mkdtemp(prefix="privaudit-") if one_machine else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
