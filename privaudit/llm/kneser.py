@@ -34,7 +34,10 @@ START, STOP = "﷐", "﷑"
 PIECE = 1 << 20
 
 
-def pack(n_blocks: int):
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+
+def pack():
     """Arrow batches of (doc_id, lang, text) to rows (block, body): the documents of one block, compressed together."""
     def run(batches):
         press = zstandard.ZstdCompressor(level=6)
@@ -45,7 +48,7 @@ def pack(n_blocks: int):
             ids, bodies = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])) as w:
+                with pa.ipc.new_stream(sink, DOCUMENTS) as w:
                     w.write_batch(pa.RecordBatch.from_arrays([b.column(i).take(pa.array(order[lo:hi])) for i in range(3)], names=["doc_id", "lang", "text"]))
                 ids.append(int(block[order[lo]]))
                 bodies.append(press.compress(sink.getvalue()))
@@ -55,9 +58,10 @@ def pack(n_blocks: int):
 
 
 def unpack(rows: pa.Table) -> pa.Table:
+    """The documents of a block; none where only its labels or answers are given."""
     undo = zstandard.ZstdDecompressor()
     tables = [pa.ipc.open_stream(undo.decompress(b.as_py())).read_all() for b in rows.column("body")]
-    return pa.concat_tables(tables)
+    return pa.concat_tables([DOCUMENTS.empty_table(), *tables])
 
 
 def pieces(texts: list[str | None], order: int, size: int):
@@ -188,7 +192,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, id_col
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", block("doc_id"))
     packets = (frame.select("doc_id", "lang", "text", F.when(F.col("doc_id").isNull(), block("text")).otherwise(block("doc_id")).alias("block"))
-               .mapInArrow(pack(blocks), "block int, body binary"))
+               .mapInArrow(pack(), "block int, body binary"))
     requests = written(packets.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_count(order), "block int, gram string, n long"), "kneser-requests")
     counted = written(requests.groupBy("gram").agg(F.sum("n").alias("c")), "kneser-counts")
     answers = requests.select("block", "gram").join(probabilities(counted, order), "gram")
