@@ -2,8 +2,8 @@
 the sharded counts give every document's perplexity, and quantiles of each language decide.
 
 Half of the trusted documents (by the hash of their id) train the model; the other half, which it has not seen, gives the
-thresholds: a document is kept if its perplexity does not exceed the given quantile of the held-out trusted documents of its
-language.
+thresholds: a document is kept if its perplexity is at most ``slack`` times the given quantile of the held-out trusted
+documents of its language.
 
 Texts are dealt over blocks of a few megabytes, compressed. A block asks for each of its distinct n-grams once, however
 often its documents use it; the requests of all blocks meet the counts in plain joins by n-gram, order by order, and the
@@ -200,7 +200,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, id_col
     return out.withColumn("perplexity", F.exp(-F.col("logp") / (F.col("n_chars") + 1)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trust: Column, order: int = ORDER, share: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, trust: Column, order: int = ORDER, share: float = 0.995, slack: float = 1.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_chars, perplexity, threshold and kept.
 
     ``trust`` says of a row of ``labels`` (doc_id, ...) whether the document is trusted. Perplexities enter the quantiles
@@ -214,6 +214,6 @@ def classify(docs: DataFrame, labels: DataFrame, trust: Column, order: int = ORD
     limit = F.exp(F.percentile("step", F.lit(share), F.col("n")) / 1000)
     overall = steps.agg(limit.alias("t")).first()["t"]
     own = steps.groupBy("lang").agg(limit.alias("own")).withColumnRenamed("lang", "__lang")
-    threshold = F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf")))
+    threshold = F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf"))) * slack
     return (scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
             .select("doc_id", "lang", "n_chars", "perplexity", threshold.alias("threshold"), (F.col("perplexity") <= threshold).alias("kept")))
