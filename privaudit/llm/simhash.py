@@ -21,8 +21,9 @@ from privaudit.llm.tables import components, keyed, written
 
 #: Fingerprints per subtree aimed at; more than this under one prefix are cut into chunks.
 SUBTREE = 20_000
-#: Deepest cut of the trie: at most 2**12 prefixes are counted on the driver.
-MAX_DEPTH = 12
+#: Shallowest and deepest cut of the trie: small tables make 136 tasks too, and at most 2**12 prefixes are counted on the
+#: driver. With a least depth the copies per fingerprint (prefixes within the budget: 15 at depth 4) hardly grow with n.
+MIN_DEPTH, MAX_DEPTH = 4, 12
 #: Node pairs walked at once.
 FRONTIER = 1 << 18
 
@@ -146,8 +147,8 @@ def links(fps: DataFrame, max_bits: int = 3, subtree: int = SUBTREE) -> DataFram
     """
     spark = fps.sparkSession
     n = fps.count()
-    depth = max(0, min(MAX_DEPTH, int(np.ceil(np.log2(max(1, n / subtree))))))
-    prefix = (F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")).alias("prefix")
+    depth = max(MIN_DEPTH, min(MAX_DEPTH, int(np.ceil(np.log2(max(1, n / subtree))))))
+    prefix = F.shiftrightunsigned("fp", 64 - depth).alias("prefix")
     counts = {r["prefix"]: r["count"] for r in fps.groupBy(prefix).count().collect()}
     leaves = [(p, -(-c // subtree)) for p, c in sorted(counts.items())]
     pairs, k = [], 0
