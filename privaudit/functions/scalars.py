@@ -112,14 +112,15 @@ def to_base64(c) -> Column:
 def char_entropy(c) -> Column:
     """Shannon entropy of a string in bits per character.
 
-    The count of a character is the length lost when it is removed, so the scan stays in native
-    string code instead of comparing characters one by one.
+    The characters are sorted, so that equal ones are neighbours: an entry that differs from the one before it starts a
+    run, and the run's length is the distance to the next start. The work is that of one sort, however many different
+    characters a text has.
     """
     s = _col(c)
     n = F.length(s).cast("double")
-    chars = F.array_distinct(F.filter(F.split(s, ""), lambda ch: ch != ""))
-    probs = F.transform(chars, lambda ch: (n - F.length(F.replace(s, ch, F.lit("")))) / n)
-    return F.aggregate(probs, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    return let(F.array_sort(F.filter(F.split(s, ""), lambda ch: ch != "")), lambda chars: let(
+        F.filter(F.sequence(F.lit(1), F.size(chars) + 1), lambda i: (i == 1) | (i > F.size(chars)) | (F.get(chars, i - 1) != F.get(chars, i - 2))),
+        lambda starts: F.aggregate(F.sequence(F.lit(1), F.size(starts) - 1), F.lit(0.0), lambda acc, k: acc - ((F.get(starts, k) - F.get(starts, k - 1)) / n) * F.log2((F.get(starts, k) - F.get(starts, k - 1)) / n))))
 
 
 def may_be_base64(c) -> Column:
@@ -183,9 +184,11 @@ def printable_ratio(c) -> Column:
 
 # --- text -------------------------------------------------------------------------------------
 
-def shorten(c, limit: int) -> Column:
-    """Cut to ``limit`` characters, the last three being dots."""
+def shorten(c, limit: int | None) -> Column:
+    """Cut to ``limit`` characters, the last three being dots; whole without a limit."""
     c = F.coalesce(_col(c), F.lit(""))
+    if limit is None:
+        return c
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(max(0, limit - 3))), F.lit("..."))).otherwise(c)
 
 
@@ -302,10 +305,10 @@ def any_contains(c, terms) -> Column:
 
 # --- compact leak strings -----------------------------------------------------------------------
 
-def leak_to_string(field, value, encode_type, meta, outbound, host, websocket=None) -> Column:
-    """``field%value[enc]*meta>host`` as printed in leak listings."""
+def leak_to_string(field, value, encode_type, meta, outbound, host, websocket=None, limit: int | None = None) -> Column:
+    """``field%value[enc]*meta>host`` as printed in leak listings, where ``limit`` may shorten the value."""
     parts = [
-        _col(field), F.lit("%"), shorten(value, 500),
+        _col(field), F.lit("%"), shorten(value, limit),
         F.when(_col(encode_type) != "normal", F.concat(F.lit("["), _col(encode_type), F.lit("]"))).otherwise(""),
         F.when(_col(meta).isNotNull(), F.concat(F.lit("*"), _col(meta))).otherwise(""),
         F.when(_col(outbound), ">").otherwise("<"), _col(host),
@@ -316,7 +319,7 @@ def leak_to_string(field, value, encode_type, meta, outbound, host, websocket=No
 
 
 def parse_leak_string(c) -> Column:
-    """Struct with the parts of a compact leak string."""
+    """Struct with the parts of a compact leak string; values stay whole."""
     s = _col(c)
     head = F.regexp_extract(s, "^([^><]*)", 1)
     field = (F.when(head.contains("|"), F.split_part(s, F.lit("|"), F.lit(1)))
@@ -331,8 +334,7 @@ def parse_leak_string(c) -> Column:
         .when(rest.contains("<"), F.regexp_extract(rest, "([^<]*)$", 1)).otherwise("")
     return F.struct(
         field.alias("privacy_type"),
-        F.left(F.when(s.contains("%"), F.regexp_extract(s, r"^[^%]*%([^\[*@><]*)", 1)).otherwise(""),
-               F.lit(100)).alias("value"),
+        F.when(s.contains("%"), F.regexp_extract(s, r"^[^%]*%([^\[*@><]*)", 1)).otherwise("").alias("value"),
         F.when((mark != "") & ~crypt_mark, mark).otherwise("normal").alias("encode_type"),
         at_mark.alias("encrypted"),
         (crypt_mark | at_mark).alias("is_crypt"),

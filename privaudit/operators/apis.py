@@ -51,7 +51,7 @@ def privacy_calls(calls: DataFrame, rules: DataFrame, sdk: DataFrame) -> DataFra
     m = m.withColumn("caller", caller_class("called_from"))
     own = caller_sdk(m, sdk, "caller")
     joined = m.join(own.withColumnRenamed("caller", "_c"), F.col("caller").eqNullSafe(F.col("_c")), "left").drop("_c")
-    return joined.withColumn("api", F.concat_ws(".", "class", "method")).withColumn("return_value", F.left("return_value", F.lit(150)))
+    return joined.withColumn("api", F.concat_ws(".", "class", "method"))
 
 
 def with_categories(calls: DataFrame, taxonomy: DataFrame) -> DataFrame:

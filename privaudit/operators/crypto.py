@@ -111,7 +111,7 @@ def argument_roles3(calls: DataFrame) -> DataFrame:
     return calls.filter(F.size("args") == 3).withColumn("_r", role).select("*", "_r.data_arg", "_r.key_arg", "_r.iv_arg").drop("_r")
 
 
-def inspect_calls(calls: DataFrame) -> DataFrame:
+def inspect_calls(calls: DataFrame, text_limit: int | None = None, hex_limit: int | None = None) -> DataFrame:
     """One row per argument and return value: decoded length, readable text and a hex preview."""
     parts = F.concat(F.transform("args", lambda a, i: F.struct(F.concat(F.lit("arg"), (i + 1).cast("string")).alias("part"), a.alias("raw"))),
                      F.array(F.struct(F.lit("ret").alias("part"), F.coalesce("returnValue", F.lit("")).alias("raw"))))
@@ -119,8 +119,8 @@ def inspect_calls(calls: DataFrame) -> DataFrame:
     data = decode_double_base64("raw")
     out = rows.filter(~blank("raw")).withColumn("data", data).withColumn("n_bytes", F.length("data"))
     text = F.try_validate_utf8(F.col("data").cast("string"))
-    return (out.withColumn("text", F.when(printable_ratio(text) > 0.8, F.left(text, F.lit(500))))
-            .withColumn("hex_preview", F.left(F.lower(F.hex("data")), F.lit(100))).drop("data", "raw"))
+    return (out.withColumn("text", F.when(printable_ratio(text) > 0.8, text if text_limit is None else F.left(text, F.lit(text_limit))))
+            .withColumn("hex_preview", F.lower(F.hex("data")) if hex_limit is None else F.left(F.lower(F.hex("data")), F.lit(hex_limit))).drop("data", "raw"))
 
 
 def is_part_of(part, whole, n: int = 66):

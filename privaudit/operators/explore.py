@@ -63,7 +63,7 @@ def stuck_runs(steps: DataFrame, keys: list[str], order: list[str], hot_rows: in
 
     ``steps``: keys, order, state_id, xml_score, img_same, recovered.
     """
-    base, hot_rows = prepare(steps, keys, order, hot_rows)
+    base = prepare(steps, keys, order, hot_rows)
     p = running(base, keys, order, [Running("_prev_state", "prev", F.col("state_id"))], hot_rows)
     vote = stuck_vote(F.col("state_id") == F.col("_prev_state"), "xml_score", "img_same")
     p = p.withColumn("is_stuck", vote & ~F.coalesce("recovered", F.lit(False))).drop("_prev_state")
@@ -88,7 +88,7 @@ def step_scores(stuck: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def repeat_runs(steps: DataFrame, keys: list[str], order: list[str], action: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """How often the current action has been repeated in a row (0 for its first use)."""
-    base, hot_rows = prepare(steps, keys, order, hot_rows)
+    base = prepare(steps, keys, order, hot_rows)
     p = running(base, keys, order, [Running("_prev", "prev", F.col(action)), Running("_n", "count")], hot_rows)
     p = p.withColumn("_s", (F.col("_n") == 1) | ~F.col("_prev").eqNullSafe(F.col(action))).drop("_n", "_prev")
     r = run_lengths(p, keys, order, F.col("_s"), "_len", hot_rows=hot_rows)

@@ -197,8 +197,9 @@ def _block_top_k(k: int, decimals: int, same_id_excluded: bool):
             return empty
         qv = np.vstack(q["vec"].to_numpy()).astype("float64")
         bv = np.vstack(b["vec"].to_numpy()).astype("float64")
-        qv /= np.linalg.norm(qv, axis=1, keepdims=True)
-        bv /= np.linalg.norm(bv, axis=1, keepdims=True)
+        for v in (qv, bv):
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            v /= np.where(size == 0, 1.0, size)  # a zero vector is similar to nothing: its similarity is 0
         sims = np.round(qv @ bv.T, decimals)
         qid, bid = q["query_id"].to_numpy(), b["match_id"].to_numpy()
         if same_id_excluded:
@@ -218,8 +219,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, decimals: int = 6, bloc
 
     Inputs are ``(query_id, vec)`` and ``(match_id, vec)``. Both sides are cut into equal blocks by id hash; each
     pair of blocks is one matrix product that returns k rows per query, and the partial lists are merged. Memory per
-    task is fixed by ``block_rows`` and no side is broadcast.
+    task is fixed by ``block_rows`` and no side is broadcast. Missing vectors match nothing; zero vectors have similarity 0.
     """
+    queries, base = queries.filter("vec is not null"), base.filter("vec is not null")
     nq = max(1, -(-queries.count() // block_rows))
     nb = max(1, -(-base.count() // block_rows))
     q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"),

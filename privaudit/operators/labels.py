@@ -27,11 +27,13 @@ def completeness(presence: DataFrame) -> DataFrame:
         F.round(F.count_if("present") * 100.0 / F.count("*"), 1).alias("score"))
 
 
-def clause_tree_status(status: DataFrame, labels: DataFrame, max_depth: int = 3) -> DataFrame:
+def clause_tree_status(status: DataFrame, labels: DataFrame) -> DataFrame:
     """Node is present when it or any child is present, unless it is explicitly missing.
 
-    ``status``: package, id, included, missing. Works upwards one level at a time over the fixed tree.
+    ``status``: package, id, included, missing. Works upwards one level at a time over the fixed tree, from
+    its deepest level.
     """
+    max_depth = labels.agg(F.max("depth")).first()[0] or 0
     nodes = status.join(labels.select("id", "parent_id", "depth"), "id")
     level = nodes.filter(F.col("depth") == max_depth).withColumn("present", F.col("included") & ~F.col("missing"))
     out = level
@@ -45,19 +47,25 @@ def clause_tree_status(status: DataFrame, labels: DataFrame, max_depth: int = 3)
 
 # --- trees ----------------------------------------------------------------------------------------
 
-def ancestors(tree: DataFrame, max_depth: int) -> DataFrame:
-    """``(node, ancestor, up)`` including the node itself; ``tree``: node, parent."""
+def ancestors(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(node, ancestor, up)`` including the node itself; ``tree``: node, parent.
+
+    The tree is a fixed dimension; levels are added until no node has a further ancestor, or up to ``max_depth``.
+    """
     edges = tree.select("node", "parent")
     level = edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up"))
     out = level
-    for i in range(1, max_depth):
+    deepest = max_depth or tree.count() + 1  # a path cannot be longer, even where parents form a ring
+    for i in range(1, deepest):
         step = edges.select(F.col("node").alias("ancestor"), "parent").filter("parent is not null")
         level = level.join(step, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(i).alias("up"))
+        if max_depth is None and level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
 
-def tree_similarity(tree: DataFrame, max_depth: int) -> DataFrame:
+def tree_similarity(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``1 / (1 + path length)`` of labels in one tree: ``(node_i, node_j, distance, sim)``, i <= j.
 
     The label set is a fixed dimension; labels of different trees have no path and no row.
@@ -69,7 +77,7 @@ def tree_similarity(tree: DataFrame, max_depth: int) -> DataFrame:
     return d.withColumn("sim", 1.0 / (1.0 + F.col("distance")))
 
 
-def lin_similarity(tree: DataFrame, ic: DataFrame, max_depth: int) -> DataFrame:
+def lin_similarity(tree: DataFrame, ic: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``2·IC(common ancestor) / (IC_i + IC_j)`` with the most informative common ancestor; ``ic``: node, ic."""
     a = ancestors(tree, max_depth).join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("ic_a")), "ancestor", "left")
     i = a.select(F.col("node").alias("node_i"), "ancestor", F.coalesce("ic_a", F.lit(0.0)).alias("ic_a"))

@@ -106,7 +106,7 @@ def _bytes_text(c):
     return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
-def detect_values(leaves: DataFrame, values: DataFrame) -> DataFrame:
+def detect_values(leaves: DataFrame, values: DataFrame, preview: int | None = None) -> DataFrame:
     """Leaves that contain a sensitive value under any encoding.
 
     ``leaves``: package, leaf_id, leaf and any record columns; ``values``: package, field, value, is_keyword.
@@ -120,10 +120,10 @@ def detect_values(leaves: DataFrame, values: DataFrame) -> DataFrame:
     hits = text_contains(hay, "leaf_id", "_hay", needles, "needle_id", "needle", on=["package"])
     return (hits.join(coded.drop("needle"), ["package", "needle_id"]).join(leaves, ["package", "leaf_id"])
             .withColumnRenamed("field", "privacy_field")
-            .withColumn("value_preview", shorten("value", 200)).drop("needle_id", "value"))
+            .withColumn("value_preview", shorten("value", preview)).drop("needle_id", "value"))
 
 
-def detect_keywords(leaves: DataFrame, values: DataFrame) -> DataFrame:
+def detect_keywords(leaves: DataFrame, values: DataFrame, preview: int | None = None) -> DataFrame:
     """Leaves that mention a keyword, ignoring case; all-digit leaves are skipped."""
     kw = values.filter("is_keyword").select("package", "field", F.lower("value").alias("word")).distinct()
     low = leaves.filter(~F.col("leaf").rlike("^[0-9]+$")).withColumn("_low", F.lower("leaf"))
@@ -131,10 +131,10 @@ def detect_keywords(leaves: DataFrame, values: DataFrame) -> DataFrame:
     kws = kw.withColumn("kid", F.xxhash64("field", "word"))
     return (hits.join(kws, ["package", "kid"]).join(leaves, ["package", "leaf_id"])
             .withColumnRenamed("field", "privacy_field").withColumn("encode_type", F.lit("normal"))
-            .withColumn("value_preview", shorten("leaf", 200)).drop("kid", "word"))
+            .withColumn("value_preview", shorten("leaf", preview)).drop("kid", "word"))
 
 
-def propagate_tokens(keyword_hits: DataFrame, leaves: DataFrame) -> DataFrame:
+def propagate_tokens(keyword_hits: DataFrame, leaves: DataFrame, preview: int | None = None) -> DataFrame:
     """Outbound leaves that carry a value captured under a token keyword in the same or an earlier leaf.
 
     Only the first capture of a value matters, so captures are reduced before the join. ``seq`` orders leaves.
@@ -147,7 +147,7 @@ def propagate_tokens(keyword_hits: DataFrame, leaves: DataFrame) -> DataFrame:
     return (hits.join(cap, ["package", "tid"]).join(out, ["package", "leaf_id", "source"])
             .filter("seq >= captured_seq")
             .withColumn("privacy_field", F.concat(F.regexp_replace("keyword", "-word$", ""), F.lit("-token")))
-            .withColumn("encode_type", F.lit("normal")).withColumn("value_preview", shorten("token", 200))
+            .withColumn("encode_type", F.lit("normal")).withColumn("value_preview", shorten("token", preview))
             .drop("tid", "keyword", "token"))
 
 
@@ -223,16 +223,18 @@ def leaks_by_category(leaks: DataFrame, keys=("package",)) -> DataFrame:
 
 
 def leaks_by_host(leaks: DataFrame) -> DataFrame:
-    return leaks.filter(~_local()).groupBy("package", "host").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("privacy_field")).alias("fields"))
+    """Network records and the fields seen per host; records are counted per field first, so a set has distinct fields only."""
+    return leaks.filter(~_local()).groupBy("package", "host", "privacy_field").agg(F.count("*").alias("n")).groupBy("package", "host").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list("privacy_field")).alias("fields"))
 
 
 def leaks_by_sdk(leaks: DataFrame) -> DataFrame:
     """Network records per SDK name, or per host where no SDK is known."""
     name = F.when(blank("sdk.name"), F.col("host")).otherwise(F.col("sdk.name"))
-    return leaks.filter(~_local()).groupBy("package", name.alias("sdk_key")).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("privacy_field")).alias("fields"),
-        F.bool_or("sdk.is_third_party").alias("is_third_party"))
+    counted = leaks.filter(~_local()).groupBy("package", name.alias("sdk_key"), "privacy_field").agg(
+        F.count("*").alias("n"), F.bool_or("sdk.is_third_party").alias("third"))
+    return counted.groupBy("package", "sdk_key").agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list("privacy_field")).alias("fields"), F.bool_or("third").alias("is_third_party"))
 
 
 def source_class():
@@ -242,14 +244,22 @@ def source_class():
 
 
 def leaks_by_source(leaks: DataFrame) -> DataFrame:
-    """Counts per source class and key, with class totals (``source_key`` NULL) and package totals."""
+    """Records and distinct fields per source class and key, with class totals (``source_key`` NULL) and package totals.
+
+    Records are counted per (package, class, key, field) first; all three levels are made from that small table.
+    """
     cls = source_class()
     key = F.when(cls == "third_party", F.when(blank("sdk.name"), F.col("host")).otherwise(F.col("sdk.name"))).otherwise(F.col("host"))
     rows = leaks.select("package", cls.alias("source_class"), key.alias("source_key"), "privacy_field")
-    sets = [["package"], ["package", "source_class"], ["package", "source_class", "source_key"]]
-    return rows.groupingSets(sets, "package", "source_class", "source_key").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("privacy_field")).alias("fields"),
-        F.grouping_id("package", "source_class", "source_key").alias("level"))
+    counted = rows.groupBy("package", "source_class", "source_key", "privacy_field").agg(F.count("*").alias("n"))
+    levels = F.array(F.struct(F.lit(0).alias("level"), F.col("source_class").alias("c"), F.col("source_key").alias("k")),
+                     F.struct(F.lit(1).alias("level"), F.col("source_class").alias("c"), F.lit(None).cast("string").alias("k")),
+                     F.struct(F.lit(3).alias("level"), F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("k")))
+    at = counted.select("package", "privacy_field", "n", F.explode(levels).alias("_l")).select(
+        "package", F.col("_l.level").alias("level"), F.col("_l.c").alias("source_class"), F.col("_l.k").alias("source_key"), "privacy_field", "n")
+    fields = at.groupBy("package", "level", "source_class", "source_key", "privacy_field").agg(F.sum("n").alias("n"))
+    return fields.groupBy("package", "level", "source_class", "source_key").agg(F.sum("n").alias("n"), F.count("privacy_field").alias("n_fields")).select(
+        "package", "source_class", "source_key", "n", "n_fields", "level")
 
 
 def source_examples(leaks: DataFrame, per_key: int) -> DataFrame:

@@ -113,7 +113,7 @@ def merge_marker_lines(lines: Column) -> Column:
 
 
 def split_long(lines: Column, limit: int = D.MAX_SENTENCE_CHARS) -> Column:
-    """Lines above ``limit`` characters become units ending in 。；！？; longer units are cut at the limit."""
+    """Lines above ``limit`` characters become units ending in 。；！？; a longer unit becomes several of at most ``limit``."""
     def units(x):
         parts = F.split(F.regexp_replace(x, "([。；！？])", "$1\u0001"), "\u0001")
 
@@ -123,7 +123,8 @@ def split_long(lines: Column, limit: int = D.MAX_SENTENCE_CHARS) -> Column:
             return F.when(content != "", F.concat(content, mark)).otherwise("")
 
         kept = F.filter(F.transform(parts, unit), lambda u: u != "")
-        return F.transform(kept, lambda u: F.when(F.length(u) > limit, F.regexp_replace(F.left(u, F.lit(limit)), r"\s+$", "")).otherwise(u))
+        pieces = F.transform(kept, lambda u: F.transform(F.regexp_extract_all(u, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)), strip))
+        return F.filter(F.flatten(pieces), lambda u: u != "")
 
     return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= limit, F.array(x)).otherwise(units(x))))
 

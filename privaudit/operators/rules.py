@@ -249,33 +249,35 @@ def status(violated) -> Column:
     return F.when(violated, D.STATUS_VIOLATED).when(~violated, D.STATUS_OK).otherwise(D.STATUS_UNKNOWN)
 
 
-def _first_n(df: DataFrame, col: str, n: int = 8) -> DataFrame:
-    """Up to ``n`` smallest values of a package as one text."""
+def _first_n(df: DataFrame, col: str, n: int | None) -> DataFrame:
+    """All or the ``n`` smallest values of a package as one text."""
     w = W.partitionBy("package").orderBy(col)
-    top = df.select("package", col).distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    top = df.select("package", col).distinct()
+    if n is not None:
+        top = top.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
     return top.groupBy("package").agg(F.array_join(F.array_sort(F.collect_list(col)), ", ").alias("reason"))
 
 
 def verdicts(packages: DataFrame, labels: DataFrame, consent: DataFrame, sdks: DataFrame, undisclosed: DataFrame,
-             accesses: DataFrame, declared: DataFrame, broad: DataFrame) -> DataFrame:
-    """All eight rules per package: rule_id, violated (NULL = unknown), status, reason."""
+             accesses: DataFrame, declared: DataFrame, broad: DataFrame, shown: int | None = None) -> DataFrame:
+    """All eight rules per package: rule_id, violated (NULL = unknown), status, reason (of ``shown`` names at most)."""
     pk = packages.select("package").distinct()
     out = label_rules(labels, pk)
     has_items = F.size("items") > 0
     out = out.unionByName(consent.select(
         "package", F.lit("R6").alias("rule_id"), F.when(F.col("items").isNotNull(), has_items).alias("violated"),
-        F.when(has_items, F.array_join(F.slice("items", 1, 8), ", ")).otherwise("").alias("reason")))
+        F.when(has_items, F.array_join("items" if shown is None else F.slice("items", 1, shown), ", ")).otherwise("").alias("reason")))
 
     def flag(df, name):
         return df.select("package").distinct().withColumn(name, F.lit(True))
 
     seen = flag(accesses.select("package").unionByName(sdks.select("package")), "seen")
-    r7 = pk.join(seen, "package", "left").join(_first_n(undisclosed, "sdk"), "package", "left").select(
+    r7 = pk.join(seen, "package", "left").join(_first_n(undisclosed, "sdk", shown), "package", "left").select(
         "package", F.lit("R7").alias("rule_id"), F.when(F.col("seen") | F.col("reason").isNotNull(), F.col("reason").isNotNull()).alias("violated"),
         F.coalesce("reason", F.lit("")).alias("reason"))
-    shown = broad.withColumn("match", F.concat_ws(" -> ", "broad", "item"))
+    pairs = broad.withColumn("match", F.concat_ws(" -> ", "broad", "item"))
     both = flag(accesses, "acc").join(flag(declared, "dec"), "package")
-    r8 = pk.join(both, "package", "left").join(_first_n(shown, "match"), "package", "left").select(
+    r8 = pk.join(both, "package", "left").join(_first_n(pairs, "match", shown), "package", "left").select(
         "package", F.lit("R8").alias("rule_id"), F.when(F.col("acc").isNotNull() | F.col("reason").isNotNull(), F.col("reason").isNotNull()).alias("violated"),
         F.coalesce("reason", F.lit("")).alias("reason"))
     return (out.unionByName(r7).unionByName(r8).withColumn("rule_name", lookup(D.RULE_NAMES, "rule_id"))
@@ -292,8 +294,8 @@ def overall(verdict_rows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def evidence_records(consent: DataFrame, undisclosed: DataFrame, unique_sdk: DataFrame, broad: DataFrame, accesses: DataFrame,
-                     n_items: int = 30) -> DataFrame:
-    """Evidence rows behind R6–R8: ``(package, rule_id, item, detail)``, at most ``n_items`` per rule."""
+                     n_items: int | None = None) -> DataFrame:
+    """Evidence rows behind R6–R8: ``(package, rule_id, item, detail)``, all or the first ``n_items`` per rule."""
     r6 = consent.filter("items is not null").select("package", F.explode("items").alias("item")).select(
         "package", F.lit("R6").alias("rule_id"), "item", F.lit("").alias("detail"))
     u = undisclosed.select("package", F.col("sdk").alias("item"))
@@ -304,7 +306,8 @@ def evidence_records(consent: DataFrame, undisclosed: DataFrame, unique_sdk: Dat
     r8 = broad.join(first, ["package", "item"], "left").select(
         "package", F.lit("R8").alias("rule_id"), "item", F.concat_ws(" | ", "broad", "a.category", "a.source", "a.sdk_name").alias("detail"))
     w = W.partitionBy("package", "rule_id").orderBy("item")
-    return (r6.unionByName(r7).unionByName(r8).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n_items).drop("rn"))
+    every = r6.unionByName(r7).unionByName(r8)
+    return every if n_items is None else every.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n_items).drop("rn")
 
 
 def review_extract(verdict_rows: DataFrame) -> DataFrame:

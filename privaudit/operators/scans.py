@@ -2,7 +2,8 @@
 
 A plain window sorts a whole group in one task. Here groups above ``hot_rows`` are cut into consecutive chunks
 by quantiles of the ordering column; each chunk is scanned on its own and the state at the end of the earlier
-chunks is added afterwards. Ordinary groups keep the single-shuffle window plan.
+chunks is added afterwards. The plan is the same for every size; ordinary groups are one chunk. Rows with equal
+positions stay in one chunk, whose window spills.
 """
 
 from __future__ import annotations
@@ -33,55 +34,42 @@ def _position(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def split_hot_groups(df: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS):
-    """Add ``_chunk``; returns the frame and whether any group was split.
+#: Steps of a split group's ordering column; a group is cut into at most so many chunks.
+GRID = 1024
 
-    At most ``rows / hot_rows`` groups are hot, so their chunk bounds are a small driver-side table.
+
+def split_hot_groups(df: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_chunk``: 0 for ordinary groups, else the number of the group's chunk along the ordering column.
+
+    A group of n rows is cut into ceil(n / hot_rows) chunks, so a group just above the limit gets two and not as many
+    as the largest one. Sizes and bounds stay DataFrames: nothing is counted or collected on the driver, and where no
+    group is hot the join has an empty side, which AQE drops.
     """
-    sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    hot = sizes.collect()
-    if not hot:
-        return df.withColumn("_chunk", F.lit(0)), False
-    spark = df.sparkSession
-    key_schema = T.StructType([df.schema[k] for k in keys])
-    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
-    chunks = max(2, -(-max(r["count"] for r in hot) // hot_rows))
-    cuts = [i / chunks for i in range(1, chunks)]
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    pos = _position(df, position)
-    bounds = (df.withColumn("_pos", pos).alias("d").join(F.broadcast(hot_keys.alias("h")), same)
-              .groupBy(*[F.col(f"d.{k}").alias(k) for k in keys])
-              .agg(F.percentile_approx("_pos", F.array(*[F.lit(c) for c in cuts]), 10_000).alias("_bounds")))
-    rows = bounds.collect()
-    schema = T.StructType([*key_schema.fields, bounds.schema["_bounds"]])
-    fixed = spark.createDataFrame([tuple(r) for r in rows], schema)
-    joined = df.withColumn("_pos", pos).alias("d").join(F.broadcast(fixed.alias("h")), same, "left")
-    chunk = F.when(F.col("h._bounds").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(F.array_distinct(F.col("h._bounds")), lambda b: F.col("_pos") > b)))
-    return joined.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], chunk.alias("_chunk")), True
-
-
-def prepare(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
-    """Frame and limit for several scans over the same groups, so that group sizes are looked up once."""
-    if "_chunk" in df.columns or hot_rows == 0:
-        return df, hot_rows
-    base, split = split_hot_groups(df, keys, order[0], hot_rows)
-    return (base, hot_rows) if split else (df, 0)
+    placed = df.withColumn("_pos", _position(df, position))
+    steps = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    bounds = (placed.alias("d").join(hot.alias("h"), same).groupBy(*[F.col(f"d.{k}").alias(k) for k in keys])
+              .agg(F.percentile_approx("_pos", steps, 10_000).alias("_bounds"), F.least(F.lit(GRID), F.ceil(F.first("_rows") / hot_rows)).alias("_chunks")))
+    joined = placed.alias("d").join(bounds.alias("h"), same, "left")
+    step = F.size(F.filter(F.col("h._bounds"), lambda b: F.col("_pos") > b))
+    chunk = F.when(F.col("h._bounds").isNull(), F.lit(0)).otherwise(F.floor(step * F.col("h._chunks") / GRID).cast("int"))
+    return joined.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], chunk.alias("_chunk"))
+
+
+def prepare(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Frame for several scans over the same groups, so that group sizes are looked up once."""
+    return df if "_chunk" in df.columns else split_hot_groups(df, keys, order[0], hot_rows)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running],
             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running values per group in the given order (first ordering column: number or timestamp).
 
-    A frame that already carries ``_chunk`` keeps it; ``hot_rows = 0`` says that no group is hot.
+    A frame that already carries ``_chunk`` keeps it.
     """
-    if "_chunk" in df.columns:
-        base, split = df, True
-    elif hot_rows == 0:
-        base, split = df, False
-    else:
-        base, split = split_hot_groups(df, keys, order[0], hot_rows)
-    part = [*keys, "_chunk"] if split else keys
+    base = prepare(df, keys, order, hot_rows)
+    part = [*keys, "_chunk"]
     w = W.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     tie = F.struct(*[F.col(o) for o in order])
@@ -93,9 +81,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running
     local = {"sum": lambda a: F.sum(operand(a)).over(upto), "count": lambda a: F.sum(operand(a)).over(upto),
              "last": lambda a: F.last(operand(a), ignorenulls=True).over(upto),
              "prev": lambda a: F.lag(operand(a)).over(w)}
-    if not split:
-        return base.select(*df.columns, *[local[a.kind](a).alias(a.out) for a in aggs])
-
     total = {"sum": lambda a: F.sum(operand(a)), "count": lambda a: F.sum(operand(a)),
              "last": lambda a: F.max_by(operand(a), F.when(operand(a).isNotNull(), tie)),
              "prev": lambda a: F.max_by(operand(a), tie)}
@@ -107,11 +92,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running
                 "count": lambda a: F.sum(f"_t_{a.out}").over(earlier),
                 "last": lambda a: F.last(f"_t_{a.out}", ignorenulls=True).over(earlier),
                 "prev": lambda a: F.lag(f"_t_{a.out}").over(before)}
-    # only split groups have a chunk above zero, so the carried rows number at most 2 * rows / hot_rows
+    # only split groups have a chunk above zero: at most 2 * rows / hot_rows rows, joined by their key like any others
     carry = per_chunk.select(*part, *[carry_of[a.kind](a).alias(f"_b_{a.out}") for a in aggs]).filter("_chunk > 0")
     scanned = base.select("*", F.row_number().over(w).alias("_rn"), *[local[a.kind](a).alias(f"_l_{a.out}") for a in aggs])
     on = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in part]
-    joined = scanned.alias("s").join(F.broadcast(carry.alias("b")), on, "left")
+    joined = scanned.alias("s").join(carry.alias("b"), on, "left")
 
     def merged(a):
         loc, bef = F.col(f"_l_{a.out}"), F.col(f"_b_{a.out}")
@@ -132,7 +117,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "run_pos",
                 run_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position inside the current run, where ``starts`` marks the first row of a run."""
-    base, hot_rows = prepare(df, keys, order, hot_rows)
+    base = prepare(df, keys, order, hot_rows)
     flagged = base.withColumn("_start", F.coalesce(starts, F.lit(False)))
     first = running(flagged, keys, order, [Running("_n", "count"), Running("_run", "sum", F.col("_start").cast("int"))],
                     hot_rows)

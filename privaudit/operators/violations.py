@@ -114,8 +114,8 @@ def sdk_undeclared(open_items: DataFrame, sources: DataFrame) -> DataFrame:
     return _violation(open_items.join(third, ["package", "standard_name"]), D.SDK_UNDECLARED, F.col("source"), name)
 
 
-def vague_declarations(declared: DataFrame, collected: DataFrame, vague: DataFrame) -> DataFrame:
-    """Broad declared terms behind which specific items were collected, with the first five of them.
+def vague_declarations(declared: DataFrame, collected: DataFrame, vague: DataFrame, shown: int | None = None) -> DataFrame:
+    """Broad declared terms behind which specific items were collected, with all or the first ``shown`` of them.
 
     ``declared``: package, raw (and text); ``vague``: term, item.
     """
@@ -129,7 +129,8 @@ def vague_declarations(declared: DataFrame, collected: DataFrame, vague: DataFra
             .select("package", "term", "item", F.concat("item", F.lit("("), "m", F.lit(")")).alias("shown")))
     both = exact.unionByName(near)
     w = W.partitionBy("package", "term").orderBy("item")
-    top = both.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").groupBy("package", "term").agg(
+    listed = both if shown is None else both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown)
+    top = listed.groupBy("package", "term").agg(
         F.array_join(F.array_sort(F.collect_list("shown")), ", ").alias("details"))
     n = both.groupBy("package", "term").agg(F.count("*").alias("n"))
     return n.join(top, ["package", "term"])
@@ -138,7 +139,7 @@ def vague_declarations(declared: DataFrame, collected: DataFrame, vague: DataFra
 def vague_violations(vague_rows: DataFrame) -> DataFrame:
     return vague_rows.select("package", F.lit(D.VAGUE_DECLARATION).alias("violation_type"), F.col("term").alias("data_field"),
                              F.lit("").alias("behavior_field"), F.lit(D.VAGUE_DECLARATION).alias("category"), F.lit("隐私政策").alias("source"),
-                             F.lit("").alias("sdk_name"), "n", F.lit("中").alias("severity"), shorten("details", 500).alias("details"))
+                             F.lit("").alias("sdk_name"), "n", F.lit("中").alias("severity"), F.col("details"))
 
 
 def violation_summary(violations: DataFrame) -> DataFrame:

@@ -182,10 +182,10 @@ jt AS (SELECT c.event_id AS call_id, t.event_id, row_number() OVER (PARTITION BY
        FROM c JOIN t ON c.user_id = t.user_id AND t.ts BETWEEN c.ts - INTERVAL 60 SECOND AND c.ts + INTERVAL 3600 SECOND),
 jl AS (SELECT c.event_id AS call_id, l.event_id, l.value, row_number() OVER (PARTITION BY c.event_id ORDER BY l.ts, l.event_id) AS rn, count(*) OVER (PARTITION BY c.event_id) AS n
        FROM c JOIN l ON c.user_id = l.user_id AND l.ts BETWEEN c.ts - INTERVAL 60 SECOND AND c.ts + INTERVAL 3600 SECOND),
-gt AS (SELECT call_id, max(n) AS n_traffic, string_agg(event_id, ',' ORDER BY rn) FILTER (rn <= 5) AS traffic FROM jt GROUP BY 1),
-gl AS (SELECT call_id, max(n) AS n_leaks, string_agg(event_id, ',' ORDER BY rn) FILTER (rn <= 5) AS leaks FROM jl GROUP BY 1)
+gt AS (SELECT call_id, max(n) AS n_traffic, string_agg(event_id, ',' ORDER BY rn) AS traffic, bool_or(event_id % 5 = call_id % 5) AS named FROM jt GROUP BY 1),
+gl AS (SELECT call_id, max(n) AS n_leaks, string_agg(event_id, ',' ORDER BY rn) AS leaks, bool_or(event_id % 7 = call_id % 7) AS shown FROM jl GROUP BY 1)
 SELECT c.user_id AS package, c.event_id AS call_id, coalesce(n_traffic, 0) AS n_traffic, coalesce(n_leaks, 0) AS n_leaks, coalesce(traffic, '') AS traffic, coalesce(leaks, '') AS leaks,
-       (10 * least(coalesce(n_traffic, 0), 5) + 20 * least(coalesce(n_leaks, 0), 5))::INT AS score
+       (10 * coalesce(n_traffic, 0) + 20 * coalesce(n_leaks, 0) + CASE WHEN coalesce(shown, false) THEN 50 ELSE 0 END + CASE WHEN c.event_id % 2 = 0 AND coalesce(named, false) THEN 30 ELSE 0 END)::INT AS score
 FROM c LEFT JOIN gt ON gt.call_id = c.event_id LEFT JOIN gl ON gl.call_id = c.event_id WHERE n_traffic > 0 OR n_leaks > 0"""
 
 
@@ -194,10 +194,11 @@ def api_traffic_correlation(spark, sf):
     """Clicks as calls, errors as traffic, purchases as leaks, window widened to −60 s … +3600 s."""
     ev = table(spark, sf, "events")
     c = ev.filter("event_type = 'click'").select(F.col("user_id").alias("package"), F.col("event_id").alias("call_id"), "ts")
-    t = ev.filter("event_type = 'error'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts", F.lit("h.example.com").alias("host"))
-    lk = ev.filter("event_type = 'purchase'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts", F.lit("-").alias("value_preview"))
+    t = ev.filter("event_type = 'error'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("h.kit"), (F.col("event_id") % 5).cast("string"), F.lit(".example.com")).alias("host"))
+    lk = ev.filter("event_type = 'purchase'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("x secret-"), (F.col("event_id") % 7).cast("string"), F.lit(" y")).alias("value_preview"))
     r = correlate.correlate(c, t, lk, before_s=60, after_s=3600)
-    score = correlate.correlation_score(F.lit("none"), F.lit("x"), F.lit(False), F.col("related_traffic"), F.col("related_leaks"))
+    i = F.col("call_id")
+    score = correlate.correlation_score(F.concat(F.lit("secret-"), (i % 7).cast("string")), F.concat(F.lit("Kit"), (i % 5).cast("string")), i % 2 == 0, F.col("related_traffic"), F.col("related_leaks"))
 
     def ids(col):
         return F.coalesce(F.array_join(F.transform(col, lambda x: x["seq"].cast("string")), ","), F.lit(""))
@@ -210,7 +211,7 @@ WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'),
 t AS (SELECT event_id, user_id, ts, 'h' || (event_id % 3) || CASE event_id % 3 WHEN 0 THEN '.example.net' WHEN 1 THEN '.example.org' ELSE '.other.io' END AS host FROM events WHERE event_type = 'error'),
 j AS (SELECT c.event_id AS call_id, c.user_id AS package, t.host, row_number() OVER (PARTITION BY c.event_id ORDER BY t.ts, t.event_id) AS rn
       FROM c JOIN t ON c.user_id = t.user_id AND t.ts BETWEEN c.ts - INTERVAL 60 SECOND AND c.ts + INTERVAL 3600 SECOND),
-k AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY rn) AS r2 FROM j WHERE rn <= 5 AND host NOT LIKE '%.io')
+k AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY rn) AS r2 FROM j WHERE host NOT LIKE '%.io')
 SELECT package, call_id, string_agg(host || ':' || CASE WHEN host LIKE '%net' THEN 'NetKit' ELSE 'OrgKit' END, ',' ORDER BY rn) AS targets FROM k WHERE r2 <= 3 GROUP BY 1, 2""")
 def correlation_targets(spark, sf):
     from privaudit.plans.leaks import host_dictionary
@@ -219,9 +220,9 @@ def correlation_targets(spark, sf):
     k = F.col("event_id") % 3
     host = F.concat(F.lit("h"), k.cast("string"), F.when(k == 0, ".example.net").when(k == 1, ".example.org").otherwise(".other.io"))
     t = ev.filter("event_type = 'error'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts", host.alias("host"))
-    none = ev.filter("event_type = '-'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts")
-    r = correlate.correlate(c, t, none, before_s=60, after_s=3600)
-    out = correlate.third_party_targets(r.filter("n_traffic > 0"), leaks.host_sdk(t, host_dictionary(spark)).select("host", "sdk_name"))
+    bought = ev.filter("event_type = 'purchase'").select(F.col("user_id").alias("package"), F.col("event_id").alias("seq"), "ts")
+    r = correlate.correlate(c, t, bought, before_s=60, after_s=3600)
+    out = correlate.third_party_targets(r, leaks.host_sdk(t, host_dictionary(spark)).select("host", "sdk_name"), first_n=3)
     return out.select("package", "call_id", F.array_join(F.transform("traffic_sdks", lambda x: F.concat_ws(":", x["host"], x["sdk_name"])), ",").alias("targets"))
 
 

@@ -126,7 +126,7 @@ UNION ALL SELECT user_id, event_id, 'ret', length(event_type)::INT, event_type,
 def crypto_inspect(spark, sf):
     c = table(spark, sf, "events").select(F.col("user_id").alias("package"), F.col("event_id").alias("line_no"), F.array(S.to_base64(F.encode("props", "UTF-8"))).alias("args"),
                                           F.when(F.col("event_id") % 2 == 0, S.to_base64(F.encode("event_type", "UTF-8"))).alias("returnValue"))
-    return crypto.inspect_calls(c).select("package", "line_no", "part", "n_bytes", "text", "hex_preview")
+    return crypto.inspect_calls(c, text_limit=500, hex_limit=100).select("package", "line_no", "part", "n_bytes", "text", "hex_preview")
 
 
 @query("part_of", """
@@ -208,12 +208,11 @@ def leaf_plausible(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.leaf_is_plausible(v).alias("plausible"))
 
 
-@query("printable_runs", "SELECT doc_id, regexp_matches(text, '^[\\x20-\\x7e\\t\\n\\r\\x0b\\x0c]+$') AS all_printable, true AS padded FROM documents WHERE length(text) BETWEEN 1 AND 33 UNION ALL SELECT doc_id, NULL, true FROM documents WHERE length(text) > 33")
+@query("printable_runs", "SELECT doc_id, regexp_matches(hex(text), '^(?:[0-9A-F]{66})*(?:(?:P){33}|(?:P){1,32}$)'.replace('P', '[2-6][0-9A-F]|7[0-9A-E]|0[9A-D]')) AS some_printable, true AS padded FROM documents WHERE text <> ''")
 def printable_runs(spark, sf):
     t = F.col("text")
-    short = F.length(t) <= 33
     return table(spark, sf, "documents").filter("text <> ''").select(
-        "doc_id", F.when(short, S.has_printable_run(F.encode(t, "UTF-8"))).alias("all_printable"), S.has_printable_run(F.concat(F.encode(t, "UTF-8"), F.lit(b"\x00\x00\x00\x00"))).alias("padded"))
+        "doc_id", S.has_printable_run(F.encode(t, "UTF-8")).alias("some_printable"), S.has_printable_run(F.concat(F.encode(t, "UTF-8"), F.lit(b"\x00\x00\x00\x00"))).alias("padded"))
 
 
 # --- flows ------------------------------------------------------------------------------------------

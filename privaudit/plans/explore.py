@@ -116,12 +116,22 @@ def screen_rollup(spark, sf):
 
 
 @query("near_duplicate_hash", """
-WITH h AS (SELECT ('0x' || left(md5(text), 4))::BIGINT AS h, count(*) AS n FROM documents GROUP BY 1)
-SELECT a.h AS hash_a, a.n AS n_a, b.h AS hash_b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 1""")
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM documents),
+b AS (SELECT doc_id, ('0x' || left(md5(w), 2))::BIGINT % 63 AS bit, count(*) AS n FROM w GROUP BY 1, 2), m AS (SELECT doc_id, sum(n) AS total FROM b GROUP BY 1),
+h AS (SELECT h, count(*) AS n FROM (SELECT doc_id, sum(CASE WHEN 63 * n > total THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS h FROM b JOIN m USING (doc_id) GROUP BY 1) GROUP BY 1)
+SELECT a.h AS hash_a, a.n AS n_a, b.h AS hash_b, b.n AS n_b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 3""")
 def near_duplicate_hash(spark, sf):
-    """Screen hashes (here 16 bits of a text digest) at most one bit apart; copies are counted, not paired."""
-    h = table(spark, sf, "documents").select(F.conv(F.left(F.md5("text"), F.lit(4)), 16, 10).cast("long").alias("h"))
-    return joins.hamming_pairs(h, "h", 1, bits=16)
+    """Hashes of whole texts at most three bits apart; copies are counted, not paired.
+
+    Bit k of a hash says whether the words of class k are more frequent in the text than an average class of 63, so texts
+    with nearly the same words have nearly the same hash.
+    """
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("w"))
+    n = words.groupBy("doc_id", (F.conv(F.left(F.md5("w"), F.lit(2)), 16, 10).cast("long") % 63).cast("int").alias("bit")).agg(F.count("*").alias("n"))
+    per = n.groupBy("doc_id").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bit", "n")).alias("classes"))  # 63 classes at most
+    bits = F.transform("classes", lambda c: F.when(63 * c["n"] > F.col("total"), F.expr("1L")).otherwise(F.expr("0L")))
+    h = per.select(F.aggregate(F.arrays_zip(F.col("classes").alias("c"), bits.alias("b")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", x["b"], x["c"]["bit"]))).alias("h"))
+    return joins.hamming_pairs(h, "h", 3)
 
 
 @query("combined_score", """

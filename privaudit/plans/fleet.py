@@ -12,12 +12,12 @@ from privaudit.session import table
 # --- strategies -------------------------------------------------------------------------------------
 
 STRAT_SQL = """
-WITH a AS (SELECT 'S' || (user_id % 3) AS strategy, user_id % 40 AS package, count(*) AS calls, count(DISTINCT event_type) AS cats FROM events WHERE value > 10 GROUP BY 1, 2)
+WITH a AS (SELECT 'S' || (user_id % 3) AS strategy, user_id % 40 AS package, count(*) AS calls, count(DISTINCT event_type) AS cats FROM events GROUP BY 1, 2)
 """
 
 
 def strategy_apps(spark, sf) -> DataFrame:
-    return (table(spark, sf, "events").filter("value > 10").groupBy(F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("strategy"), (F.col("user_id") % 40).alias("package"))
+    return (table(spark, sf, "events").groupBy(F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("strategy"), (F.col("user_id") % 40).alias("package"))
             .agg(F.count("*").alias("calls"), F.countDistinct("event_type").alias("cats")).withColumn("steps", F.lit(600)))
 
 
@@ -48,15 +48,16 @@ def strategy_packages(spark, sf):
 
 @query("coverage", """
 WITH d AS (SELECT DISTINCT event_type AS t FROM events), u AS (SELECT DISTINCT user_id AS package FROM events),
-v AS (SELECT DISTINCT user_id AS package, event_type AS t FROM events WHERE value > 90)
+v AS (SELECT DISTINCT user_id * 2 AS package, event_type AS t FROM events)
 SELECT u.package, count(*) AS declared, count(v.t) AS visited, count(v.t) / count(*) AS coverage FROM u CROSS JOIN d LEFT JOIN v ON v.package = u.package AND v.t = d.t GROUP BY 1""")
 def coverage(spark, sf):
     """Visited over declared activities, named in the three notations."""
     ev = table(spark, sf, "events")
     pkg = F.concat(F.lit("com.u"), F.col("user_id").cast("string")).alias("package")
     k, t = F.col("event_id") % 3, F.initcap("event_type")
-    seen = ev.filter("value > 90").select(pkg, F.when(k == 0, F.concat(F.lit("com.u"), F.col("user_id").cast("string"), F.lit("/."), t)).when(k == 1, F.concat(F.lit("."), t))
-                                          .otherwise(F.concat(F.lit("com.u"), F.col("user_id").cast("string"), F.lit("."), t)).alias("activity"))
+    # activities are seen under every second package, so the others have visited none
+    twice = F.concat(F.lit("com.u"), (F.col("user_id") * 2).cast("string"))
+    seen = ev.select(twice.alias("package"), F.when(k == 0, F.concat(twice, F.lit("/."), t)).when(k == 1, F.concat(F.lit("."), t)).otherwise(F.concat(twice, F.lit("."), t)).alias("activity"))
     declared = ev.select(pkg).distinct().withColumn("activity", F.explode(F.array(*[F.lit("." + n) for n in ("Signup", "Error", "Click", "View", "Purchase")])))
     c = fleet.activity_coverage(seen, declared)
     return c.select(F.regexp_extract("package", "u([0-9]+)", 1).cast("long").alias("package"), "declared", "visited", "coverage")
@@ -79,16 +80,17 @@ def run_status(spark, sf):
 
 
 @query("static_facts", """
-WITH i AS (SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE user_id % 4 <> 0 GROUP BY 1), h AS (SELECT user_id, count(DISTINCT '[c] ' || event_type || '.' || (event_id % 3)) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1)
+WITH i AS (SELECT user_id * 2 AS user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1), h AS (SELECT user_id * 3 AS user_id, count(DISTINCT '[c] ' || event_type || '.' || (event_id % 3)) AS n FROM events GROUP BY 1)
 SELECT coalesce(i.user_id, h.user_id) AS app_id, CASE WHEN i.user_id IS NULL THEN 'app' || h.user_id ELSE 'pkg' || i.user_id END AS package, coalesce(i.n, 0)::INT AS n_permissions, coalesce(h.n, 0)::INT AS n_apis, CASE WHEN coalesce(i.user_id, h.user_id) % 2 = 0 THEN 1 ELSE 0 END::INT AS n_sensitive
 FROM i FULL JOIN h ON i.user_id = h.user_id""")
 def static_facts(spark, sf):
     """Static permissions and hooks merged, then joined with runtime results."""
     from privaudit.sources.readers import hook_list
     ev = table(spark, sf, "events")
-    app = F.concat(F.lit("app"), F.col("user_id").cast("string")).alias("app_name")
-    info = ev.filter("user_id % 4 <> 0").groupBy(app, F.concat(F.lit("pkg"), F.col("user_id").cast("string")).alias("package")).agg(F.collect_set(F.concat(F.lit("android.permission."), "event_type")).alias("permissions"))
-    cfg = ev.filter("user_id % 3 <> 0").select(app, F.lit("c").alias("Category"), F.array(F.struct(F.col("event_type").alias("clazz"), (F.col("event_id") % 3).cast("string").alias("method"))).alias("hooks"))
+    # information about every second id, hooks of every third: some apps have one of them only
+    two, three = (F.col("user_id") * 2).cast("string"), (F.col("user_id") * 3).cast("string")
+    info = ev.groupBy(F.concat(F.lit("app"), two).alias("app_name"), F.concat(F.lit("pkg"), two).alias("package")).agg(F.collect_set(F.concat(F.lit("android.permission."), "event_type")).alias("permissions"))
+    cfg = ev.select(F.concat(F.lit("app"), three).alias("app_name"), F.lit("c").alias("Category"), F.array(F.struct(F.col("event_type").alias("clazz"), (F.col("event_id") % 3).cast("string").alias("method"))).alias("hooks"))
     st = fleet.static_facts(info, hook_list(cfg))
     dyn = st.select("app_name", F.lit("x").alias("package"), F.when(F.regexp_extract("app_name", "([0-9]+)", 1).cast("long") % 2 == 0, F.array(F.lit("a"))).alias("sensitive_apis"))
     m = fleet.merge_app_results(st, dyn)
@@ -96,11 +98,11 @@ def static_facts(spark, sf):
 
 
 @query("find_reports", """
-WITH r AS (SELECT DISTINCT CASE WHEN o_custkey % 3 = 0 THEN 'pkg' ELSE 'app' END || o_custkey AS name, o_custkey AS report_id FROM orders WHERE o_custkey % 5 <> 0)
+WITH r AS (SELECT DISTINCT CASE WHEN o_custkey % 3 = 0 THEN 'pkg' ELSE 'app' END || o_custkey AS name, o_custkey AS report_id FROM orders)
 SELECT c_custkey AS app_id, r.name, r.report_id FROM customer JOIN r ON r.name = CASE WHEN c_custkey % 3 = 0 THEN 'pkg' ELSE 'app' END || c_custkey""")
 def find_reports(spark, sf):
     k = F.col("o_custkey")
-    rep = table(spark, sf, "orders").filter(k % 5 != 0).select(F.concat(F.when(k % 3 == 0, "pkg").otherwise("app"), k.cast("string")).alias("name"), k.alias("report_id")).distinct()
+    rep = table(spark, sf, "orders").select(F.concat(F.when(k % 3 == 0, "pkg").otherwise("app"), k.cast("string")).alias("name"), k.alias("report_id")).distinct()
     c = F.col("c_custkey").cast("string")
     return fleet.find_reports(table(spark, sf, "customer").select(F.col("c_custkey").alias("app_id"), F.concat(F.lit("pkg"), c).alias("package"), F.concat(F.lit("app"), c).alias("app_name")), rep)
 

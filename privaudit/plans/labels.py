@@ -12,17 +12,14 @@ from privaudit.session import table
 # --- clause presence --------------------------------------------------------------------------------
 
 @query("clause_completeness", """
-WITH f AS (SELECT DISTINCT s_nationkey AS package, p_type AS label FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND p_size > 40),
+WITH f AS (SELECT DISTINCT (p_partkey * 7 + p_size) % 25 AS package, p_type AS label FROM part),
 a AS (SELECT DISTINCT p_type AS label FROM part), p AS (SELECT n_nationkey AS package FROM nation)
 SELECT p.package, coalesce(string_agg(a.label, ',' ORDER BY a.label) FILTER (f.label IS NOT NULL), '') AS included,
        coalesce(string_agg(a.label, ',' ORDER BY a.label) FILTER (f.label IS NULL), '') AS missing, round(count(f.label) * 100.0 / count(*), 1)::DOUBLE AS score
 FROM p CROSS JOIN a LEFT JOIN f ON f.package = p.package AND f.label = a.label GROUP BY 1""")
 def clause_completeness(spark, sf):
     """Part types found per nation against all part types."""
-    li = table(spark, sf, "lineitem").filter("l_quantity > 49").select("l_partkey", "l_suppkey")
-    p = table(spark, sf, "part").filter("p_size > 40").select("p_partkey", "p_type")
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("package"))
-    found = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey).select("package", F.col("p_type").alias("label"))
+    found = table(spark, sf, "part").select(((F.col("p_partkey") * 7 + F.col("p_size")) % 25).alias("package"), F.col("p_type").alias("label"))
     names = table(spark, sf, "part").select(F.col("p_type").alias("name"))
     packages = table(spark, sf, "nation").select(F.col("n_nationkey").alias("package"))
     c = labels.completeness(labels.clause_presence(found, names, packages))
@@ -191,16 +188,16 @@ def lin_similarity(spark, sf):
 
 WORDS_SQL = """
 WITH w AS (SELECT conv_id * 1000 + turn AS sent_id, conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM conversations),
-gold AS (SELECT DISTINCT sent_id, 'l' || (length(word) % 4) AS label, '您的' || word || '和' || left(word, 2) AS text FROM w WHERE turn % 3 <> 2),
-pred AS (SELECT DISTINCT sent_id - 1 AS sent_id, 'l' || (length(word) % 5) AS label, word AS text FROM w WHERE turn > 0)
+gold AS (SELECT DISTINCT sent_id, 'l' || (length(word) % 4) AS label, '您的' || word || '和' || left(word, 2) AS text FROM w),
+pred AS (SELECT DISTINCT sent_id - 1 AS sent_id, 'l' || (length(word) % 5) AS label, word AS text FROM w)
 """
 
 
 def gold_and_pred(spark, sf):
     w = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
     lab = lambda m: F.concat(F.lit("l"), (F.length("word") % m).cast("string")).alias("label")
-    gold = w.filter("turn % 3 <> 2").select("sent_id", lab(4), F.concat(F.lit("您的"), "word", F.lit("和"), F.left("word", F.lit(2))).alias("text")).distinct()
-    pred = w.filter("turn > 0").select((F.col("sent_id") - 1).alias("sent_id"), lab(5), F.col("word").alias("text")).distinct()
+    gold = w.select("sent_id", lab(4), F.concat(F.lit("您的"), "word", F.lit("和"), F.left("word", F.lit(2))).alias("text")).distinct()
+    pred = w.select((F.col("sent_id") - 1).alias("sent_id"), lab(5), F.col("word").alias("text")).distinct()
     return gold, pred
 
 

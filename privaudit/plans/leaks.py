@@ -148,7 +148,7 @@ SOURCE_SQL = LEAKS_SQL + """, src AS (
 SELECT package, source_class, source_key, count(*) AS n, count(DISTINCT privacy_field) AS n_fields
 FROM src GROUP BY GROUPING SETS ((package), (package, source_class), (package, source_class, source_key))""")
 def leak_by_source(spark, sf):
-    return leaks.leaks_by_source(leak_records(spark, sf)).select("package", "source_class", "source_key", "n", F.size("fields").cast("long").alias("n_fields"))
+    return leaks.leaks_by_source(leak_records(spark, sf)).drop("level")
 
 
 @query("leak_source_examples", SOURCE_SQL + """
@@ -160,17 +160,19 @@ def leak_source_examples(spark, sf):
 
 
 @query("leak_report_totals", SOURCE_SQL + """, api AS (
-  SELECT 'com.nation' || (user_id % 25) || '.app' AS package, count(*) AS api_total, count(*) FILTER (event_type <> 'error') AS api_own
+  SELECT 'com.nation' || (user_id % 40) || '.app' AS package, count(*) AS api_total, count(*) FILTER (event_type <> 'error') AS api_own
   FROM events GROUP BY 1)
-SELECT l.*, api_total, api_own, api_total - api_own AS api_third FROM (
+SELECT coalesce(l.package, api.package) AS package, coalesce(total_leaks, 0) AS total_leaks, coalesce(n_app_self, 0) AS n_app_self, coalesce(n_third_party, 0) AS n_third_party,
+       coalesce(n_unknown, 0) AS n_unknown, coalesce(n_local_file, 0) AS n_local_file, coalesce(network_leaks, 0) AS network_leaks, coalesce(api_total, 0) AS api_total,
+       coalesce(api_own, 0) AS api_own, coalesce(api_total, 0) - coalesce(api_own, 0) AS api_third FROM (
   SELECT package, count(*) AS total_leaks, count(*) FILTER (source_class = 'app_self') AS n_app_self,
          count(*) FILTER (source_class = 'third_party') AS n_third_party, count(*) FILTER (source_class = 'unknown') AS n_unknown,
          count(*) FILTER (source_class = 'local_file') AS n_local_file, count(*) FILTER (source_class <> 'local_file') AS network_leaks
-  FROM src GROUP BY package) l JOIN api ON l.package = api.package""".replace("SELECT l.*,", "SELECT l.package, total_leaks, n_app_self, n_third_party, n_unknown, n_local_file, network_leaks,"))
+  FROM src GROUP BY package) l FULL JOIN api ON l.package = api.package""")
 def leak_report_totals(spark, sf):
-    ev = table(spark, sf, "events").select(F.concat(F.lit("com.nation"), (F.col("user_id") % 25).cast("string"), F.lit(".app")).alias("package"), "event_type")
+    ev = table(spark, sf, "events").select(F.concat(F.lit("com.nation"), (F.col("user_id") % 40).cast("string"), F.lit(".app")).alias("package"), "event_type")
     calls = ev.groupBy("package", F.when(F.col("event_type") == "error", "Third-Party").otherwise("App-Owned").alias("entity_type")).agg(F.count("*").alias("total_count"))
-    r = report.report_totals(leak_records(spark, sf), calls).filter("total_leaks > 0 and api_total > 0")
+    r = report.report_totals(leak_records(spark, sf), calls)
     return r.select("package", "total_leaks", "n_app_self", "n_third_party", "n_unknown", "n_local_file", "network_leaks", "api_total", "api_own", "api_third")
 
 
@@ -179,7 +181,7 @@ SELECT package, source_class, source_key, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY package, source_class ORDER BY n DESC, source_key) AS rank
   FROM (SELECT package, source_class, source_key, count(*) AS n FROM src GROUP BY 1, 2, 3)) WHERE rank <= 10""")
 def report_top_sources(spark, sf):
-    return report.top_sources(leak_records(spark, sf)).drop("fields")
+    return report.top_sources(leak_records(spark, sf)).drop("n_fields")
 
 
 @query("report_top_fields", """
@@ -405,15 +407,16 @@ def stack_sdk(spark, sf):
 # --- categories ---------------------------------------------------------------------------------------
 
 CATEGORY_SQL = """
-WITH fc AS (SELECT p_name AS field, min(p_type) AS level1, CASE WHEN min(p_partkey) % 3 = 0 THEN NULL ELSE min(p_brand) END AS level2
-            FROM part WHERE p_size > 5 GROUP BY p_name HAVING count(*) % 2 = 0),
+WITH fc AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS field, min(p_type) AS level1, CASE WHEN min(p_partkey) % 3 = 0 THEN NULL ELSE min(p_brand) END AS level2
+            FROM part GROUP BY 1),
 f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '-word' WHEN 1 THEN p_name || '-token' ELSE p_name END AS field, p_name FROM part)
 """
 
 
 def field_categories(spark, sf) -> DataFrame:
-    g = table(spark, sf, "part").filter("p_size > 5").groupBy(F.col("p_name").alias("field")).agg(
-        F.min("p_type").alias("level1"), F.min("p_brand").alias("_b"), F.min("p_partkey").alias("_k"), F.count("*").alias("_n")).filter("_n % 2 = 0")
+    # names of odd parts stand in capitals and match nothing
+    g = table(spark, sf, "part").groupBy(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("field")).agg(
+        F.min("p_type").alias("level1"), F.min("p_brand").alias("_b"), F.min("p_partkey").alias("_k"))
     return g.select("field", "level1", F.when(F.col("_k") % 3 != 0, F.col("_b")).alias("level2"))
 
 
@@ -466,7 +469,7 @@ def leak_keyword_detect(spark, sf):
     docs = spread(table(spark, sf, "documents"), "doc_id").select(F.col("source").alias("package"), F.col("doc_id").alias("leaf_id"), F.col("text").alias("leaf"))
     values = docs.select("package").distinct().select("package", F.explode(F.array(*[F.lit(k) for k in KEYWORDS])).alias("value")) \
         .select("package", F.concat("value", F.lit("-word")).alias("field"), "value", F.lit(True).alias("is_keyword"))
-    return leaks.detect_keywords(docs, values).select("package", "leaf_id", "privacy_field", "value_preview")
+    return leaks.detect_keywords(docs, values, preview=200).select("package", "leaf_id", "privacy_field", "value_preview")
 
 
 VARIANTS_SQL = """
@@ -486,11 +489,11 @@ TEXT_ENCODINGS = ["normal", "capitalize", "upper", "lower", "hexCapitalize", "he
                   "md5hex", "sha1hex", "sha256hex"]
 
 
-@query("encoding_fanout", f"WITH val AS (SELECT * FROM benchmark), {VARIANTS_SQL} SELECT item_id, encode_type, coded FROM enc")
+@query("encoding_fanout", f"WITH val AS (SELECT * FROM benchmark), {VARIANTS_SQL} SELECT item_id, encode_type, coded FROM enc UNION ALL SELECT item_id, unnest(['md5', 'sha1', 'sha256']), unnest([md5(text), sha1(text), sha256(text)]) FROM benchmark")
 def encoding_fanout(spark, sf):
     v = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value"), F.lit(False).alias("is_keyword"))
-    e = P.encoding_fanout(v).filter(F.col("encode_type").isin(*TEXT_ENCODINGS))
-    return e.select("item_id", "encode_type", F.decode("encoded", "UTF-8").alias("coded"))
+    coded = F.when(F.col("encode_type").isin(*TEXT_ENCODINGS), F.decode("encoded", "UTF-8")).otherwise(F.lower(F.hex("encoded")))
+    return P.encoding_fanout(v).select("item_id", "encode_type", coded.alias("coded"))
 
 
 @query("leak_encoded_detect", f"""

@@ -17,7 +17,7 @@ from privaudit.session import spread, table
 LABEL_NAMES = ["处理者", "身份", "C1 个人信息收集与使用", "处理的个人信息类别", "4.2", "个人信息分享", "E1 数据主体权利", "获取权", "修改权", "6.4", "撤回同意权", "6.1.1",
                "投诉", "I1 数据存储细节", "存储时长", "I3.1 存储地点", "个人信息安全", "其他"]
 LABELS_SQL = f"""
-WITH l AS (SELECT DISTINCT l_suppkey AS package, list_extract([{quoted(LABEL_NAMES)}], (l_partkey % 18)::INT + 1) AS label FROM lineitem WHERE l_quantity = 7 AND l_discount < 0.03),
+WITH l AS (SELECT DISTINCT l_suppkey AS package, list_extract([{quoted(LABEL_NAMES)}], ((l_suppkey * (l_linenumber % 3 + 1) + l_linenumber) % 18)::INT + 1) AS label FROM lineitem),
 d AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{c}')" for c, i in D.CLAUSE_CODES)}) v(id, code)),
 p AS (SELECT package, label, coalesce(nullif(regexp_extract(upper(label), '\\b([A-Z][0-9]+(\\.[0-9]+)?)\\b', 1), ''), d.code) AS code FROM l LEFT JOIN d ON l.label = d.id),
 s AS (SELECT s_suppkey AS package FROM supplier),
@@ -49,8 +49,9 @@ LABEL_RULES_SQL = _label_rules_sql()
 
 def label_rows(spark, sf) -> DataFrame:
     names = F.array(*[F.lit(n) for n in LABEL_NAMES])
-    li = table(spark, sf, "lineitem").filter("l_quantity = 7 and l_discount < 0.03").select("l_suppkey", "l_partkey")
-    return rules.policy_labels(li.select(F.col("l_suppkey").alias("package"), F.element_at(names, (F.col("l_partkey") % 18).cast("int") + 1).alias("label")))
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber")
+    at = (F.col("l_suppkey") * (F.col("l_linenumber") % 3 + 1) + F.col("l_linenumber")) % 18
+    return rules.policy_labels(li.select(F.col("l_suppkey").alias("package"), F.element_at(names, at.cast("int") + 1).alias("label")))
 
 
 def packages(spark, sf) -> DataFrame:
@@ -99,7 +100,7 @@ def pre_consent_evidence(spark, sf):
 
 
 @query("gate_candidates", """
-WITH d AS (SELECT CASE event_id % 3 WHEN 0 THEN 'pkg' || user_id WHEN 1 THEN 'app' || user_id ELSE 'other' END AS name, event_id, event_type, user_id FROM events WHERE user_id % 4 <> 3),
+WITH d AS (SELECT CASE event_id % 3 WHEN 0 THEN 'pkg' || user_id WHEN 1 THEN 'app' || user_id ELSE 'other' END AS name, event_id, event_type, user_id FROM events),
 a AS (SELECT DISTINCT user_id AS app_id, CASE user_id % 4 WHEN 0 THEN 'pkg' || user_id WHEN 1 THEN 'unknown' ELSE '' END AS n1, 'app' || user_id AS n2 FROM events),
 c AS (SELECT app_id, 0 AS rank, n1 AS name FROM a WHERE n1 NOT IN ('', 'unknown') UNION ALL SELECT app_id, 1, n2 FROM a),
 b AS (SELECT app_id, arg_min(c.name, rank) AS name FROM c JOIN (SELECT DISTINCT name FROM d) k ON c.name = k.name GROUP BY 1)
@@ -108,7 +109,7 @@ def gate_candidates(spark, sf):
     ev = table(spark, sf, "events")
     k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
     name = F.when(k == 0, F.concat(F.lit("pkg"), u)).when(k == 1, F.concat(F.lit("app"), u)).otherwise("other")
-    dumps = ev.filter("user_id % 4 <> 3").select(name.alias("name"), F.col("event_id").cast("string").alias("file"), F.array("event_type").alias("pre_click_apis"))
+    dumps = ev.select(name.alias("name"), F.col("event_id").cast("string").alias("file"), F.array("event_type").alias("pre_click_apis"))
     n1 = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("pkg"), u)).when(F.col("user_id") % 4 == 1, "unknown").otherwise("")
     apps = ev.select(F.col("user_id").alias("app_id"), n1.alias("package_name"), F.concat(F.lit("app"), u).alias("package"), F.lit(None).cast("string").alias("app_name")).distinct()
     return rules.gate_evidence(dumps, apps).groupBy("app_id", "name").agg(F.count("*").alias("n"), F.countDistinct("item").alias("apis"))
@@ -135,10 +136,9 @@ def undisclosed_sdk(spark, sf):
 
 
 BROAD_SQL = """
-WITH tx AS (SELECT DISTINCT p_type AS parent, p_name AS child FROM part WHERE p_size < 8),
-acc AS (SELECT DISTINCT s_nationkey AS package, p_name AS item, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
-dec AS (SELECT DISTINCT s_nationkey AS package, CASE WHEN s_suppkey % 2 = 0 THEN upper(p_type) ELSE 'our ' || p_name || 's' END AS value
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1 AND s_nationkey % 2 = 0),
+WITH tx AS (SELECT DISTINCT p_type AS parent, p_name AS child FROM part),
+acc AS (SELECT DISTINCT s_nationkey AS package, p_name AS item, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+dec AS (SELECT DISTINCT (p_partkey % 25)::INT AS package, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE 'our ' || p_name || 's' END AS value FROM part),
 op AS (SELECT * FROM acc WHERE NOT EXISTS (SELECT 1 FROM dec WHERE dec.package = acc.package AND contains(lower(value), lower(item)))),
 ct AS (SELECT package, item, category AS c FROM op UNION SELECT package, item, parent FROM op JOIN tx ON lower(item) = lower(child)),
 br AS (SELECT ct.package, item, min(c) AS broad FROM ct JOIN dec ON dec.package = ct.package AND lower(c) = lower(value) GROUP BY 1, 2)
@@ -147,13 +147,13 @@ br AS (SELECT ct.package, item, min(c) AS broad FROM ct JOIN dec ON dec.package
 
 def broad_inputs(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount")
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("package"))
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    acc = j.filter("l_returnflag = 'R'").select("package", F.col("p_name").alias("item"), F.col("p_type").alias("category")).distinct()
-    value = F.when(F.col("s_suppkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat(F.lit("our "), "p_name", F.lit("s")))
-    dec = j.filter("l_quantity = 50 and l_discount = 0.1 and package % 2 = 0").select("package", value.alias("value")).distinct()
-    tx = p.filter("p_size < 8").select(F.col("p_type").alias("parent"), F.col("p_name").alias("child")).distinct()
+    acc = j.select("package", F.col("p_name").alias("item"), F.col("p_type").alias("category")).distinct()
+    value = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat(F.lit("our "), "p_name", F.lit("s")))
+    dec = p.select((F.col("p_partkey") % 25).cast("int").alias("package"), value.alias("value")).distinct()
+    tx = p.select(F.col("p_type").alias("parent"), F.col("p_name").alias("child")).distinct()
     return acc, dec, tx
 
 
@@ -233,9 +233,9 @@ def policy_evidence(spark, sf):
 VERDICT_SQL = LABEL_RULES_SQL + """
 , bw AS (SELECT s_suppkey, s_nationkey FROM supplier),
 cons AS (SELECT s_suppkey AS package, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'imei' END AS items FROM supplier),
-acc AS (SELECT DISTINCT l_suppkey AS package, l_returnflag AS item FROM lineitem WHERE l_tax = 0 AND l_discount = 0),
-und AS (SELECT DISTINCT l_suppkey AS package, l_shipmode AS sdk FROM (SELECT l_suppkey, 'sdk' || l_linenumber AS l_shipmode, l_quantity, l_tax FROM lineitem) WHERE l_quantity = 3 AND l_tax = 0),
-br AS (SELECT DISTINCT l_suppkey AS package, 'b' || l_linestatus || ' -> ' || l_returnflag AS m FROM lineitem WHERE l_quantity = 9 AND l_discount = 0.02 AND l_tax < 0.03),
+acc AS (SELECT DISTINCT l_suppkey * 2 AS package, l_returnflag AS item FROM lineitem),
+und AS (SELECT DISTINCT l_suppkey * 3 AS package, 'sdk' || l_linenumber AS sdk FROM lineitem WHERE l_suppkey * 3 IN (SELECT s_suppkey FROM supplier)),
+br AS (SELECT DISTINCT l_suppkey * 5 AS package, 'b' || l_linestatus || ' -> ' || l_returnflag AS m FROM lineitem WHERE l_suppkey * 5 IN (SELECT s_suppkey FROM supplier)),
 dec AS (SELECT s_suppkey AS package FROM supplier WHERE s_suppkey % 4 <> 0),
 ru AS (SELECT package, string_agg(sdk, ', ' ORDER BY sdk) AS reason FROM und GROUP BY 1), rb AS (SELECT package, string_agg(m, ', ' ORDER BY m) AS reason FROM br GROUP BY 1),
 v AS (SELECT * FROM lr
@@ -248,13 +248,19 @@ v AS (SELECT * FROM lr
 
 def verdict_inputs(spark, sf):
     pk = packages(spark, sf)
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("package"), "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_tax", "l_discount")
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber")
     k = F.col("package") % 3
     consent = pk.select("package", F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("imei"))).alias("items"))
-    acc = li.filter("l_tax = 0 and l_discount = 0").select("package", F.col("l_returnflag").alias("item")).distinct().select(
+
+
+    def of(times):
+        # only every so manieth package is named, so the others lack it
+        return li.withColumn("package", F.col("l_suppkey") * times).join(pk, "package", "left_semi")
+
+    acc = of(2).select("package", F.col("l_returnflag").alias("item")).distinct().select(
         "package", "item", F.lit("c").alias("category"), F.lit("h").alias("source"), F.lit("s").alias("sdk_name"), F.lit(1).alias("seq"))
-    und = li.filter("l_quantity = 3 and l_tax = 0").select("package", F.concat(F.lit("sdk"), F.col("l_linenumber").cast("string")).alias("sdk")).distinct()
-    broad = li.filter("l_quantity = 9 and l_discount = 0.02 and l_tax < 0.03").select("package", F.col("l_returnflag").alias("item"), F.concat(F.lit("b"), "l_linestatus").alias("broad")).distinct()
+    und = of(3).select("package", F.concat(F.lit("sdk"), F.col("l_linenumber").cast("string")).alias("sdk")).distinct()
+    broad = of(5).select("package", F.col("l_returnflag").alias("item"), F.concat(F.lit("b"), "l_linestatus").alias("broad")).distinct()
     dec = pk.filter("package % 4 <> 0")
     return pk, consent, acc, und, broad, dec
 
@@ -311,8 +317,7 @@ def readiness(spark, sf):
 UNDECL_SQL = """
 WITH col AS (SELECT c_nationkey AS package, o_orderpriority AS standard_name, CASE o_orderstatus WHEN 'F' THEN '个人信息' WHEN 'O' THEN '应用信息' ELSE 'other' END AS category, count(*) AS n, 'f' || o_orderstatus AS behavior_field
              FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 5),
-dec AS (SELECT DISTINCT c_nationkey AS package, CASE c_custkey % 4 WHEN 0 THEN 'our ' || lower(c_mktsegment) || ' and urgent' WHEN 1 THEN '2-high' WHEN 2 THEN c_name || '_specified' ELSE '应用信息' END AS raw
-        FROM customer WHERE c_acctbal > 9000 - c_nationkey * 300),
+dec AS (SELECT DISTINCT c_nationkey AS package, CASE c_nationkey % 4 WHEN 0 THEN 'our ' || lower(c_mktsegment) || ' and urgent' WHEN 1 THEN '2-high' WHEN 2 THEN c_name || '_specified' ELSE '应用信息' END AS raw FROM customer),
 d2 AS (SELECT package, raw, raw AS standard_name FROM dec),
 open AS (SELECT * FROM col WHERE NOT EXISTS (SELECT 1 FROM d2 WHERE d2.package = col.package AND (
     contains(lower(raw), lower(col.standard_name)) OR contains(lower(col.standard_name), lower(raw)) OR raw = category
@@ -324,14 +329,14 @@ src AS (SELECT * FROM (VALUES ('a.example.com', false, ''), ('b.example.com', tr
 
 def undeclared_inputs(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("package"), "c_mktsegment", "c_name", "c_acctbal")
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("package"), "c_mktsegment", "c_name")
     st = F.col("o_orderstatus")
     col = (o.join(c.select("c_custkey", "package"), o.o_custkey == c.c_custkey).groupBy(
         "package", F.col("o_orderpriority").alias("standard_name"), F.when(st == "F", "个人信息").when(st == "O", "应用信息").otherwise("other").alias("category"),
         F.concat(F.lit("f"), st).alias("behavior_field")).agg(F.count("*").alias("n")))
-    k = F.col("c_custkey") % 4
+    k = F.col("package") % 4
     raw = (F.when(k == 0, F.concat(F.lit("our "), F.lower("c_mktsegment"), F.lit(" and urgent"))).when(k == 1, "2-high").when(k == 2, F.concat("c_name", F.lit("_specified"))).otherwise("应用信息"))
-    dec = c.filter("c_acctbal > 9000 - package * 300").select("package", raw.alias("raw")).distinct().withColumn("standard_name", F.col("raw"))
+    dec = c.select("package", raw.alias("raw")).distinct().withColumn("standard_name", F.col("raw"))
     return col, dec
 
 
@@ -394,39 +399,37 @@ def violation_report(spark, sf):
 
 
 @query("vague_terms", """
-WITH v AS (SELECT DISTINCT p_type AS term, p_name AS item FROM part WHERE p_size <= 6),
-d AS (SELECT DISTINCT s_nationkey AS package, p_type AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 2 AND l_discount = 0.04),
-h AS (SELECT DISTINCT s_nationkey AS package, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE p_name || ' pro' END AS name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 4 AND l_discount = 0.05),
+WITH v AS (SELECT DISTINCT p_type AS term, p_name AS item FROM part),
+d AS (SELECT DISTINCT (p_partkey % 25)::INT AS package, p_type AS term FROM part),
+h AS (SELECT DISTINCT s_nationkey AS package, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE p_name || ' pro' END AS name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 i AS (SELECT d.package, v.term, v.item FROM d JOIN v ON d.term = v.term),
 m AS (SELECT i.package, term, item, bool_or(h.name = item) AS exact, min(h.name) AS name FROM i JOIN h ON h.package = i.package AND (h.name = item OR contains(lower(h.name), lower(item)) OR contains(lower(item), lower(h.name))) GROUP BY 1, 2, 3),
 s AS (SELECT package, term, item, CASE WHEN exact THEN item ELSE item || '(' || name || ')' END AS shown, row_number() OVER (PARTITION BY package, term ORDER BY item) AS rn FROM m)
 SELECT package, term, count(*) AS n, string_agg(shown, ', ' ORDER BY shown) FILTER (rn <= 5) AS details FROM s GROUP BY 1, 2""")
 def vague_terms(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linenumber")
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("package"))
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    vague = p.filter("p_size <= 6").select(F.col("p_type").alias("term"), F.col("p_name").alias("item")).distinct()
-    dec = j.filter("l_quantity = 2 and l_discount = 0.04").select("package", F.col("p_type").alias("raw")).distinct()
-    have = j.filter("l_quantity = 4 and l_discount = 0.05").select("package", F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" pro"))).alias("standard_name")).distinct()
-    return violations.vague_declarations(dec, have, vague)
+    vague = p.select(F.col("p_type").alias("term"), F.col("p_name").alias("item")).distinct()
+    dec = p.select((F.col("p_partkey") % 25).cast("int").alias("package"), F.col("p_type").alias("raw")).distinct()
+    have = j.select("package", F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" pro"))).alias("standard_name")).distinct()
+    return violations.vague_declarations(dec, have, vague, shown=5)
 
 
 @query("collected_rollup", """
-WITH fc AS (SELECT p_name AS field, min(p_type) AS l1, min(p_brand) AS l2 FROM part WHERE p_size > 5 GROUP BY 1 HAVING count(*) % 2 = 0),
-f AS (SELECT s_nationkey AS package, min(l_orderkey) AS seq, p_name || '-word' AS field, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 3),
+WITH fc AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS field, min(p_type) AS l1, min(p_brand) AS l2 FROM part GROUP BY 1),
+f AS (SELECT s_nationkey AS package, min(l_orderkey * 10 + l_linenumber) AS seq, p_name || '-word' AS field, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 3),
 i AS (SELECT package, seq, f.field, n, coalesce(l1, '其他信息') AS category, coalesce(l2, f.field) AS standard_name FROM f LEFT JOIN fc ON fc.field || '-word' = f.field)
-SELECT package, standard_name, sum(n)::BIGINT AS n, arg_min(category, seq * 100000 + length(field)) AS category FROM (SELECT *, min(category) OVER (PARTITION BY package, standard_name) = max(category) OVER (PARTITION BY package, standard_name) AS same FROM i) WHERE same GROUP BY 1, 2""")
+SELECT package, standard_name, sum(n)::BIGINT AS n, arg_min(category, seq) AS category FROM i GROUP BY 1, 2""")
 def collected_rollup(spark, sf):
     from privaudit.plans.leaks import raw_leaks
-    p = table(spark, sf, "part").filter("p_size > 5").groupBy(F.col("p_name").alias("field")).agg(F.min("p_type").alias("level1"), F.min("p_brand").alias("level2"), F.count("*").alias("_n")).filter("_n % 2 = 0").drop("_n")
-    lk = raw_leaks(spark, sf).select(F.regexp_extract("package", "nation([0-9]+)", 1).cast("int").alias("package"), F.concat("privacy_field", F.lit("-word")).alias("field"), "host", F.col("l_orderkey").alias("seq"))
+    p = table(spark, sf, "part").groupBy(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("field")).agg(F.min("p_type").alias("level1"), F.min("p_brand").alias("level2"))
+    lk = raw_leaks(spark, sf).select(F.regexp_extract("package", "nation([0-9]+)", 1).cast("int").alias("package"), F.concat("privacy_field", F.lit("-word")).alias("field"), "host", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     counts = lk.groupBy("package", "field").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     src = lk.select("package", F.col("host").alias("source"), "field").distinct().withColumn("is_third_party", F.lit(False)).withColumn("sdk_name", F.lit(""))
     items, _ = violations.collected_items(counts, src, p)
-    # standard names that map to several categories depend on record order only; they are left to the unit test
-    info = violations.field_info(counts, p, "field").groupBy("package", "standard_name").agg(F.countDistinct("category").alias("c")).filter("c = 1")
-    return items.join(info.select("package", "standard_name"), ["package", "standard_name"]).select("package", "standard_name", "n", "category")
+    return items.select("package", "standard_name", "n", "category")
 
 
 @query("declared_rollup", """

@@ -105,7 +105,9 @@ u0 AS (SELECT doc_id, i, unnest(string_split(regexp_replace(line, '([。；！
        FROM l5 WHERE length(line) > 450),
 u1 AS (SELECT doc_id, i, k, regexp_replace(regexp_replace(u, '[。；！？]$', ''), '^\s+|\s+$', '', 'g') AS c, regexp_extract(u, '([。；！？])$', 1) AS m FROM u0),
 s AS (SELECT doc_id, i, 0 AS k, line AS text FROM l5 WHERE length(line) <= 450
-      UNION ALL SELECT doc_id, i, k, CASE WHEN length(c || m) > 450 THEN regexp_replace(left(c || m, 450), '\s+$', '') ELSE c || m END FROM u1 WHERE c <> '')
+      UNION ALL SELECT doc_id, i, k * 100000 + j, p FROM (
+        SELECT doc_id, i, k, unnest(l) AS p, generate_subscripts(l, 1) AS j FROM (
+          SELECT doc_id, i, k, list_transform(regexp_extract_all(c || m, '(?s).{1,450}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM u1 WHERE c <> '')) WHERE p <> '')
 """
 
 

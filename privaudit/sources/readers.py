@@ -191,7 +191,7 @@ def taxonomy(text: DataFrame, col: str = "value") -> DataFrame:
     """``{parent: [child, …]}`` JSON to (ord, parent, child)."""
     m = text.select(F.from_json(col, "map<string,array<string>>").alias("m"))
     t = m.select(F.posexplode(F.map_entries("m")).alias("po", "e")).select("po", F.col("e.key").alias("parent"), F.posexplode("e.value").alias("co", "child"))
-    return t.select((F.col("po") * 100_000 + F.col("co")).cast("int").alias("ord"), "parent", "child")
+    return t.select(F.struct("po", "co").alias("ord"), "parent", "child")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -257,10 +257,15 @@ def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Labelled corpus, nested paragraphs or flat rows, JSON array or JSONL, to one row per sentence."""
-    multi = spark.read.text(path).limit(1).filter(F.ltrim("value").startswith("[")).count() > 0
+    lines = spark.read.text(path).filter(F.ltrim("value") != "").select("_metadata.file_path", "_metadata.file_block_start", "value")
+    first = lines.groupBy("file_path").agg(F.min_by("value", "file_block_start").alias("v"))
+    shapes: dict[bool, list[str]] = {True: [], False: []}
+    for r in first.select("file_path", F.ltrim("v").startswith("[").alias("array")).collect():  # a row per file, as in the reader's own listing
+        shapes[r["array"]].append(r["file_path"])
     both = f"{schemas.PARAGRAPH}, sentence_text STRING, classification_labels ARRAY<STRING>, " \
            f"ground_truth_entities ARRAY<{schemas.ENTITY}>, predicted_entities ARRAY<{schemas.ENTITY}>"
-    df = spark.read.schema(both).option("multiLine", multi).json(path)
+    parts = [spark.read.schema(both).option("multiLine", multi).json(files) for multi, files in shapes.items() if files]
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else spark.createDataFrame([], both)
     nested = df.filter("sentences is not null").select("doc_id", F.posexplode("sentences").alias("sent_no", "s")).select(
         "doc_id", "sent_no", "s.sentence_text", "s.classification_labels", "s.entities", "s.predicted_entities")
     flat = df.filter("sentences is null").select(F.coalesce("doc_id", F.lit("default")).alias("doc_id"), F.monotonically_increasing_id().alias("sent_no"), "sentence_text",
