@@ -14,5 +14,5 @@ def test_no_nested_loops(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = entry.queries()["vague_terms"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_extendedprice" not in plan
+    plan = entry.queries()["api_traffic_correlation"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,click)" in plan and "props" not in plan
