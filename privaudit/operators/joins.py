@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from privaudit.functions.scalars import let, literal
 
 def _lengths(df: DataFrame, col: str):
     """Distinct lengths in a dictionary column as a scalar subquery; they are no more than its longest entry has characters."""
@@ -63,8 +65,8 @@ def prefix_pairs(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str)
 
 WORD_BREAK = "[^A-Za-z0-9]+"
 GRAM = 8
-INLINE_VALUES = 500
-INLINE_KEYS = 1000
+#: Largest dictionary that is broadcast, and what a row of it counts beside its value.
+DICTIONARY_BYTES, ROW_BYTES = 8 << 20, 64
 
 
 def _anchored(values: DataFrame, value: str) -> DataFrame:
@@ -92,11 +94,8 @@ def _text_keys(text: str, kind: str, shapes: list[str]):
     return F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in pats]))
 
 
-def _candidates(docs: DataFrame, keep: list[str], text: str, side: DataFrame, kind: str, shapes: list[str], keys: list[str] | None):
+def _candidates(docs: DataFrame, keep: list[str], text: str, side: DataFrame, kind: str, shapes: list[str]):
     """Docs with every dictionary key they offer, ``keep`` columns and ``_key`` only."""
-    if keys is not None:
-        # few keys: they are looked up inside the scan, and only hits become rows
-        return docs.select(*keep, F.explode(F.array_intersect(_text_keys(text, kind, shapes), _array(keys))).alias("_key"))
     keyed = docs.select(*keep, F.explode(_text_keys(text, kind, shapes)).alias("_key"))
     if kind != "inside":
         return keyed
@@ -106,45 +105,81 @@ def _candidates(docs: DataFrame, keep: list[str], text: str, side: DataFrame, ki
     return words.join(known, "_w").drop("_w")
 
 
-def _array(items: list[str]):
-    return F.expr("array(" + ", ".join(literal(k) for k in items) + ")") if items else F.array().cast("array<string>")
+_automata: dict[int, tuple] = {}
+
+
+def _automaton(held, scoped: bool) -> tuple:
+    """The worker's automaton of a broadcast dictionary, with the scopes of each value; the last one is kept."""
+    key = id(held.value)
+    if key not in _automata:
+        _automata.clear()
+        scopes: dict[str, set] = {}
+        for *scope, value in held.value:
+            scopes.setdefault(value, set()).add(tuple(scope))
+        a = ahocorasick.Automaton()
+        for value, own in scopes.items():
+            a.add_word(value, (value, own if scoped else None))
+        a.make_automaton()
+        _automata[key] = (a, held.value)  # the value is held, so its id stays its own
+    return _automata[key][0]
+
+
+def _scan_dictionary(docs: DataFrame, doc_id: str, text: str, given: DataFrame, value: str, on: list[str], keep: list[str]) -> DataFrame:
+    """``(on…, doc_id, keep…, _value)`` from one pass over the texts, whose cost does not grow with the dictionary."""
+    rows = [tuple(r) for r in given.select(*on, value).distinct().collect()]
+    held = docs.sparkSession.sparkContext.broadcast(rows)
+    cols = [*on, doc_id, *keep]
+    fields = [docs.schema[c] for c in cols]
+
+    def run(batches):
+        automaton = _automaton(held, bool(on)) if held.value else None
+        for batch in batches:
+            scopes = list(zip(*[batch.column(i).to_pylist() for i in range(len(on))])) if on else None
+            at, found = [], []
+            for i, t in enumerate(batch.column(len(cols)).to_pylist() if automaton else []):
+                if t:
+                    for v in {v for _, (v, own) in automaton.iter(t) if own is None or scopes[i] in own}:
+                        at.append(i)
+                        found.append(v)
+            where = pa.array(at, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(where) for i in range(len(cols))), pa.array(found, type=pa.string())], names=[*cols, "_value"])
+
+    return docs.select(*cols, F.col(text).alias("_text")).mapInArrow(run, T.StructType([*fields, T.StructField("_value", T.StringType())]))
 
 
 def text_contains(docs: DataFrame, doc_id: str, text: str, values: DataFrame, value_id: str, value: str,
-                  on: list[str] | None = None, inline_values: int = INLINE_VALUES, inline_keys: int = INLINE_KEYS) -> DataFrame:
-    """``(on…, doc_id, value_id)`` pairs where the whole text contains the whole value.
-
-    Up to ``inline_values`` distinct values are tested inside one scan of the texts. A larger dictionary is joined on
-    keys: a word that is not at either end of the value must appear as a whole word in any text that contains it, so
-    the longest such word is the key. A value of two words is keyed by the characters around its gap. An unbroken word
-    must lie inside one word of the text, so such words are matched against the distinct words of all texts. Anything
-    else is keyed by its first eight characters. Only ids and keys are exploded and shuffled; the text is read again
-    for the surviving candidates, which are checked in full.
+                  on: list[str] | None = None, keep: list[str] | None = None, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """``(on…, doc_id, keep…, value_id)`` where the whole text contains the whole value; ``keep`` are columns of the docs.
+
+    A dictionary of at most ``dictionary_bytes`` (measured, not guessed) is broadcast, and one pass of an Aho-Corasick
+    automaton over each text finds all its values at once; a value counts only in its own scope ``on``, and no text is
+    shuffled. A larger dictionary is joined on keys: a word that is not at either end of the value must appear as a
+    whole word in any text that contains it, so the longest such word is the key. A value of two words is keyed by the
+    characters around its gap. An unbroken word must lie inside one word of the text, so such words are matched against
+    the distinct words of all texts. Anything else is keyed by its first eight characters. Candidates are checked on
+    the whole text.
     """
-    on = on or []
-    given = values.filter(f"{value} is not null and {value} <> ''")
-    few = [r[0] for r in given.select(value).distinct().limit(inline_values + 1).collect()]
-    if len(few) <= inline_values:
-        # the text is bound to one name, so an expression such as lower(text) is evaluated once per row
-        hit = let(F.col(text), lambda t: F.filter(_array(few), lambda x: t.contains(x)))
-        return (docs.select(*on, doc_id, F.explode(hit).alias("_value"))
-                .join(given.select(*on, value_id, F.col(value).alias("_value")), [*on, "_value"]).select(*on, doc_id, value_id))
+    on, keep = on or [], keep or []
+    given = values.filter(f"{value} is not null and {value} <> ''").select(*on, value_id, value)
+    size = given.agg(F.coalesce(F.sum(F.octet_length(value).cast("long") + ROW_BYTES), F.lit(0)).alias("n")).first()["n"]
+    if size <= dictionary_bytes:
+        found = _scan_dictionary(docs, doc_id, text, given, value, on, keep)
+        return found.join(given.withColumnRenamed(value, "_value"), [*on, "_value"]).select(*on, doc_id, *keep, value_id)
     v = _anchored(given, value)
     # how many keys there are of each kind and which shapes they have: a handful of rows whatever the dictionary
-    facts = v.groupBy("_kind").agg(F.countDistinct("_key").alias("n"), F.collect_set("_shape").alias("shapes")).collect()
+    facts = v.groupBy("_kind").agg(F.collect_set("_shape").alias("shapes")).collect()
     found = []
     for f in facts:
         kind = f["_kind"]
         side = v.filter(F.col("_kind") == kind).select(*on, F.col(value_id), "_key")
-        keys = [r[0] for r in side.select("_key").distinct().collect()] if kind in ("word", "pair") and f["n"] <= inline_keys else None
-        keyed = _candidates(docs, [*on, doc_id], text, side, kind, sorted(f["shapes"]), keys)
+        keyed = _candidates(docs, [*on, doc_id], text, side, kind, sorted(f["shapes"]))
         found.append(keyed.join(side, [*on, "_key"]).select(*on, doc_id, value_id))
     cand = found[0]
     for more in found[1:]:
         cand = cand.unionByName(more)
     return (cand.distinct().join(values.select(*on, value_id, F.col(value).alias("_value")), [*on, value_id])
-            .join(docs.select(*on, doc_id, F.col(text).alias("_text")), [*on, doc_id])
-            .filter(F.contains("_text", "_value")).select(*on, doc_id, value_id))
+            .join(docs.select(*on, doc_id, *keep, F.col(text).alias("_text")), [*on, doc_id])
+            .filter(F.contains("_text", "_value")).select(*on, doc_id, *keep, value_id))
 
 
 def first_match(pairs: DataFrame, key: list[str], value_cols: list[str], order: list[str]) -> DataFrame:

@@ -106,6 +106,10 @@ def _bytes_text(c):
     return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
+def _others(leaves: DataFrame) -> list[str]:
+    return [c for c in leaves.columns if c not in ("package", "leaf_id")]
+
+
 def detect_values(leaves: DataFrame, values: DataFrame, preview: int | None = None) -> DataFrame:
     """Leaves that contain a sensitive value under any encoding.
 
@@ -117,8 +121,8 @@ def detect_values(leaves: DataFrame, values: DataFrame, preview: int | None = No
              .withColumn("needle_id", F.xxhash64("package", "field", "encode_type", "needle")))
     hay = leaves.withColumn("_hay", _bytes_text(F.encode(F.col("leaf"), "UTF-8")))
     needles = coded.select("package", "needle_id", "needle").distinct()
-    hits = text_contains(hay, "leaf_id", "_hay", needles, "needle_id", "needle", on=["package"])
-    return (hits.join(coded.drop("needle"), ["package", "needle_id"]).join(leaves, ["package", "leaf_id"])
+    hits = text_contains(hay, "leaf_id", "_hay", needles, "needle_id", "needle", on=["package"], keep=_others(leaves))
+    return (hits.join(coded.drop("needle"), ["package", "needle_id"])
             .withColumnRenamed("field", "privacy_field")
             .withColumn("value_preview", shorten("value", preview)).drop("needle_id", "value"))
 
@@ -127,9 +131,9 @@ def detect_keywords(leaves: DataFrame, values: DataFrame, preview: int | None =
     """Leaves that mention a keyword, ignoring case; all-digit leaves are skipped."""
     kw = values.filter("is_keyword").select("package", "field", F.lower("value").alias("word")).distinct()
     low = leaves.filter(~F.col("leaf").rlike("^[0-9]+$")).withColumn("_low", F.lower("leaf"))
-    hits = text_contains(low, "leaf_id", "_low", kw.withColumn("kid", F.xxhash64("field", "word")), "kid", "word", on=["package"])
+    hits = text_contains(low, "leaf_id", "_low", kw.withColumn("kid", F.xxhash64("field", "word")), "kid", "word", on=["package"], keep=_others(leaves))
     kws = kw.withColumn("kid", F.xxhash64("field", "word"))
-    return (hits.join(kws, ["package", "kid"]).join(leaves, ["package", "leaf_id"])
+    return (hits.join(kws, ["package", "kid"])
             .withColumnRenamed("field", "privacy_field").withColumn("encode_type", F.lit("normal"))
             .withColumn("value_preview", shorten("leaf", preview)).drop("kid", "word"))
 
@@ -143,8 +147,9 @@ def propagate_tokens(keyword_hits: DataFrame, leaves: DataFrame, preview: int |
            .groupBy("package", "source", F.col("privacy_field").alias("keyword"), F.col("leaf").alias("token"))
            .agg(F.min("seq").alias("captured_seq")).withColumn("tid", F.xxhash64("source", "keyword", "token")))
     out = leaves.filter("direction = '>'")
-    hits = text_contains(out, "leaf_id", "leaf", cap, "tid", "token", on=["package"])
-    return (hits.join(cap, ["package", "tid"]).join(out, ["package", "leaf_id", "source"])
+    others = [c for c in _others(out) if c != "source"]
+    hits = text_contains(out, "leaf_id", "leaf", cap, "tid", "token", on=["package", "source"], keep=others)
+    return (hits.join(cap, ["package", "source", "tid"])
             .filter("seq >= captured_seq")
             .withColumn("privacy_field", F.concat(F.regexp_replace("keyword", "-word$", ""), F.lit("-token")))
             .withColumn("encode_type", F.lit("normal")).withColumn("value_preview", shorten("token", preview))

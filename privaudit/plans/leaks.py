@@ -540,7 +540,7 @@ def sensitive_text_risk(spark, sf):
     # the keyword list is a constant, so it is tested inside one scan
     kw = docs.select("source", "doc_id", F.explode(F.array_compact(F.array(*[F.when(low.contains(k), k) for k in KEYWORDS]))).alias("field"))
     b = table(spark, sf, "benchmark").withColumnRenamed("text", "value")
-    passages = joins.text_contains(docs, "doc_id", "text", b, "item_id", "value").join(docs.select("doc_id", "source"), "doc_id").select("source", "doc_id", F.lit("passage").alias("field"))
+    passages = joins.text_contains(docs, "doc_id", "text", b, "item_id", "value", keep=["source"]).select("source", "doc_id", F.lit("passage").alias("field"))
     hits = kw.unionByName(passages).withColumn("category", leaks.field_group(RISK_FIELDS, "field"))
     hits = hits.withColumn("risk_level", integrate.risk_level(F.col("field"), F.lit(1), F.lit(1)))
     return hits.groupBy("source", "category", "risk_level").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))

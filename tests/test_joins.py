@@ -26,10 +26,30 @@ def test_text_contains_equals_plain_contains(spark):
     df, vf = spark.createDataFrame(docs, "doc int, pkg int, text string"), spark.createDataFrame(vals, "vid int, pkg int, val string")
     want = {(d, v) for d, _, t in docs for v, _, x in vals if x and x in t}
     keyed = {(p, d, v) for d, p, t in docs for v, q, x in vals if x and p == q and x in t}
-    for sizes in ((0, 0), (0, 1000), (1000, 1000)):
-        got = joins.text_contains(df.drop("pkg"), "doc", "text", vf.drop("pkg"), "vid", "val", None, *sizes)
+    for limit in (0, joins.DICTIONARY_BYTES):
+        got = joins.text_contains(df.drop("pkg"), "doc", "text", vf.drop("pkg"), "vid", "val", dictionary_bytes=limit)
         assert {(r.doc, r.vid) for r in got.collect()} == want
-        assert {tuple(r) for r in joins.text_contains(df, "doc", "text", vf, "vid", "val", ["pkg"], *sizes).collect()} == keyed
+        assert {tuple(r) for r in joins.text_contains(df, "doc", "text", vf, "vid", "val", ["pkg"], dictionary_bytes=limit).collect()} == keyed
+        kept = joins.text_contains(df, "doc", "text", vf, "vid", "val", ["pkg"], keep=["text"], dictionary_bytes=limit).collect()
+        assert {(r.pkg, r.doc, r.vid) for r in kept} == keyed and all(r.text == docs[r.doc][2] for r in kept)
+        assert joins.text_contains(df.limit(0), "doc", "text", vf, "vid", "val", ["pkg"], dictionary_bytes=limit).collect() == []
+    assert joins.text_contains(df, "doc", "text", vf.limit(0), "vid", "val").collect() == []
+
+
+def test_text_is_not_shuffled_for_a_broadcast_dictionary(spark):
+    df, vf = spark.createDataFrame([(1, "some text")], "doc int, text string"), spark.createDataFrame([(1, "text")], "vid int, val string")
+    plan = joins.text_contains(df.repartition(3), "doc", "text", vf, "vid", "val")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning") == 1 and "hashpartitioning(doc" not in plan  # only the test's own
+
+
+def test_nearest_with_zero_and_missing_vectors(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [-1.0, 0.0])], "match_id long, vec array<double>")
+    q = spark.createDataFrame([(10, [2.0, 0.0]), (11, [0.0, 0.0]), (12, None)], "query_id long, vec array<double>")
+    for k in (1, 2, 3):
+        got = {}
+        for r in joins.nearest(q, base, k).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.match_id
+        assert got[10] == dict(enumerate([1, 2, 3][:k], 1)) and got[11] == dict(enumerate([1, 2, 3][:k], 1)) and set(got) == {10, 11}
 
 
 def test_substring_pairs_both_ways(spark):
