@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privaudit.session import cut_lineage, scratch_path
+from privaudit.session import scratch_path
 
 #: Python memory a task may give to one Arrow output batch.
 BATCH_BYTES = 8 << 20
@@ -33,7 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternates large-star and small-star rounds. Neighbour lists are never built: a round takes the minimum per node
     (map-side combined) and joins it to the edges, where AQE splits the partition of a node with very many edges. Each
-    round is checkpointed in the shared folder.
+    round is written as a table in the shared folder; unlike a checkpoint, that computes it once.
     """
     def both(e: DataFrame) -> DataFrame:
         return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -45,14 +45,14 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     def digest(e: DataFrame):
         return e.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))").alias("h")).first()
 
-    e = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     seen = digest(e)
     for _ in range(max_rounds):
         if seen["n"] == 0:
             break
-        large = starred(both(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = starred(large)
-        e = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = starred(both(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
+        e = written(starred(large).select(pairs).select("e.u", "e.v").where("u <> v").distinct(), "components")
         now = digest(e)
         if now == seen:
             break
