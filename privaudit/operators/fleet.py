@@ -11,7 +11,11 @@ from privaudit.operators.leaks import record_flags
 
 
 def evidence_metrics(leaks: DataFrame, approximate: bool = False) -> DataFrame:
-    """Counters and distinct counts over the records of each package."""
+    """Counters and distinct counts over the records of each package.
+
+    Records are counted per category, field and host first, so the exact distinct counts expand that table and not the
+    records.
+    """
     distinct = F.approx_count_distinct if approximate else F.countDistinct
     r = record_flags(leaks)
 
@@ -20,13 +24,12 @@ def evidence_metrics(leaks: DataFrame, approximate: bool = False) -> DataFrame:
         return v if cond is None else F.when(cond, v)
 
     enc = F.lower(F.trim(F.coalesce("encode_type", F.lit(""))))
-    out = r.groupBy("package").agg(
-        F.count("*").alias("total_records"), distinct(named("category_level1")).alias("n_categories"), distinct(named("privacy_field")).alias("n_fields"),
-        F.count_if("is_network").alias("network_records"), distinct(named("host", F.col("is_network"))).alias("n_hosts"),
-        F.count_if("is_file").alias("file_records"), distinct(named("host", F.col("is_file"))).alias("n_file_paths"),
-        F.count_if("is_crypt").alias("crypt_records"), F.count_if(F.coalesce("encrypted", F.lit(False))).alias("encrypted_records"),
-        F.count_if(~F.coalesce("encrypted", F.lit(False))).alias("plaintext_records"), F.count_if("is_third").alias("third_party_records"),
-        F.count_if(F.col("is_network") & F.col("has_meta")).alias("_located"), F.count_if((enc != "") & (enc != "normal")).alias("decoded_records"))
+    counters = {"total_records": F.lit(True), "network_records": F.col("is_network"), "file_records": F.col("is_file"), "crypt_records": F.col("is_crypt"),
+                "encrypted_records": F.coalesce("encrypted", F.lit(False)), "plaintext_records": ~F.coalesce("encrypted", F.lit(False)), "third_party_records": F.col("is_third"),
+                "_located": F.col("is_network") & F.col("has_meta"), "decoded_records": (enc != "") & (enc != "normal")}
+    few = r.groupBy("package", named("category_level1").alias("_c"), named("privacy_field").alias("_f"), named("host", F.col("is_network")).alias("_h"), named("host", F.col("is_file")).alias("_p")).agg(
+        *[F.count_if(c).alias(n) for n, c in counters.items()])
+    out = few.groupBy("package").agg(*[F.sum(n).alias(n) for n in counters], distinct("_c").alias("n_categories"), distinct("_f").alias("n_fields"), distinct("_h").alias("n_hosts"), distinct("_p").alias("n_file_paths"))
     ratio = F.when(F.col("network_records") > 0, F.col("_located") / F.col("network_records")).otherwise(0.0)
     return out.withColumn("meta_ratio", F.round(ratio, 4)).drop("_located")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privaudit import dictionaries as D
+from privaudit.session import stored
 
 
 def clause_presence(found: DataFrame, labels: DataFrame, packages: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def tree_similarity(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     The label set is a fixed dimension; labels of different trees have no path and no row.
     """
-    a = ancestors(tree, max_depth)
+    a = stored(ancestors(tree, max_depth), "ancestors")
     i = a.select(F.col("node").alias("node_i"), "ancestor", F.col("up").alias("up_i"))
     j = a.select(F.col("node").alias("node_j"), "ancestor", F.col("up").alias("up_j"))
     d = i.join(j, "ancestor").filter("node_i <= node_j").groupBy("node_i", "node_j").agg(F.min(F.col("up_i") + F.col("up_j")).alias("distance"))
@@ -79,7 +80,7 @@ def tree_similarity(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def lin_similarity(tree: DataFrame, ic: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``2·IC(common ancestor) / (IC_i + IC_j)`` with the most informative common ancestor; ``ic``: node, ic."""
-    a = ancestors(tree, max_depth).join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("ic_a")), "ancestor", "left")
+    a = stored(ancestors(tree, max_depth), "ancestors").join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("ic_a")), "ancestor", "left")
     i = a.select(F.col("node").alias("node_i"), "ancestor", F.coalesce("ic_a", F.lit(0.0)).alias("ic_a"))
     j = a.select(F.col("node").alias("node_j"), "ancestor")
     common = i.join(j, "ancestor").filter("node_i <= node_j").groupBy("node_i", "node_j").agg(F.max("ic_a").alias("lca_ic"))

@@ -173,14 +173,17 @@ def detect_crypto(crypto_calls: DataFrame, values: DataFrame) -> DataFrame:
 
 # --- normalisation --------------------------------------------------------------------------------
 
-def normalize_leaks(leaks: DataFrame, sdk: DataFrame) -> DataFrame:
-    """Fill defaults and attribute each record to a third party, the app itself or nobody known."""
+def normalize_leaks(leaks: DataFrame, sdk: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Fill defaults and attribute each record to a third party, the app itself or nobody known.
+
+    ``hosts`` (host) may name the hosts that occur, where a table has them; else the records are read once more for them.
+    """
     defaults = {"category_level1": D.DEFAULT_LEVEL1, "category_level2": D.DEFAULT_LEVEL2, "direction": "unknown",
                 "host": "Unknown", "source": "unknown", "encode_type": "normal", "encrypted": False, "is_key": False}
     out = leaves = leaks
     for c, v in defaults.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v))) if c in leaves.columns else out.withColumn(c, F.lit(v))
-    j = out.drop("sdk").join(host_sdk(out, sdk).drop("domain"), "host", "left")
+    j = out.drop("sdk").join(host_sdk(out if hosts is None else hosts, sdk).drop("domain"), "host", "left")
     own = is_internal_host("host", "package")
     third = F.col("sdk_name").isNotNull()
     return j.withColumn("sdk", F.struct(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +155,22 @@ def sdk_company(names: DataFrame, sdk: DataFrame, col: str = "name") -> DataFram
 
 # --- R6 ---------------------------------------------------------------------------------------------
 
+def record_before_consent(phase, before_consent=None, pre_consent=None, consent_granted=None) -> Column:
+    """Whether a record says it was made before consent: by a flag, by consent not granted or by its phase."""
+    tests = [F.lower(F.coalesce(phase, F.lit(""))).isin(*D.PRE_CONSENT_PHASES, *D.START_PHASES)]
+    tests += [F.coalesce(c, F.lit(False)) for c in (before_consent, pre_consent) if c is not None]
+    if consent_granted is not None:
+        tests.append(~F.coalesce(consent_granted, F.lit(True)))
+    return reduce(or_, tests)
+
+
+def run_before_consent(phase, consent_granted, user_consented) -> Column:
+    """The same for a whole run, where starting up says nothing; NULL if the run has no timing at all."""
+    early = (F.lower(F.coalesce(phase, F.lit(""))).isin(*D.PRE_CONSENT_PHASES) | ~F.coalesce(consent_granted, F.lit(True)) | ~F.coalesce(user_consented, F.lit(True)))
+    known = phase.isNotNull() | consent_granted.isNotNull() | user_consented.isNotNull()
+    return F.when(known, early)
+
+
 def pre_consent(packages: DataFrame, gate: DataFrame, explicit: DataFrame, accesses: DataFrame, run: DataFrame) -> DataFrame:
     """Items accessed before consent by the strongest evidence each package has.
 

@@ -11,6 +11,7 @@ from privaudit.functions.scalars import shorten
 from privaudit.operators.joins import substring_pairs
 from privaudit.operators.leaks import field_info
 from privaudit.operators.policy import normalize_declarations
+from privaudit.session import stored
 
 # --- declared side ----------------------------------------------------------------------------------
 
@@ -71,7 +72,9 @@ def undeclared(collected: DataFrame, declared: DataFrame) -> DataFrame:
     ``collected``: package, standard_name, category, …; ``declared``: package, raw, standard_name. Every tier is a
     hash join within the package.
     """
-    items = collected.select("package", "standard_name", "category").distinct().withColumn("_item", F.lower("standard_name"))
+    # every tier reads them, so the distinct items and declarations are computed once
+    items = stored(collected.select("package", "standard_name", "category").distinct().withColumn("_item", F.lower("standard_name")), "items")
+    declared = stored(declared.select("package", "raw", "standard_name").distinct(), "declarations")
     std = declared.select("package", F.lower("standard_name").alias("_dec")).distinct()
     phrases = std.unionByName(declared.select("package", F.lower("raw").alias("_dec"))).distinct()
 
@@ -120,14 +123,14 @@ def vague_declarations(declared: DataFrame, collected: DataFrame, vague: DataFra
     ``declared``: package, raw (and text); ``vague``: term, item.
     """
     used = declared.join(vague.select("term").distinct(), F.col("raw") == F.col("term"), "left_semi").select("package", F.col("raw").alias("term")).distinct()
-    items = used.join(vague, "term").withColumn("_i", F.lower("item"))
-    have = collected.select("package", "standard_name").distinct().withColumn("_c", F.lower("standard_name"))
+    items = stored(used.join(vague, "term").withColumn("_i", F.lower("item")), "vague-items")
+    have = stored(collected.select("package", "standard_name").distinct().withColumn("_c", F.lower("standard_name")), "collected-names")
     exact = items.join(have.select("package", F.col("standard_name").alias("item")), ["package", "item"]).select("package", "term", "item", F.col("item").alias("shown"))
     rest = items.join(exact.select("package", "term", "item"), ["package", "term", "item"], "left_anti")
     pairs = substring_pairs(rest, "_i", have, "_c", on=["package"], both_ways=True).join(have, ["package", "_c"])
     near = (rest.join(pairs, ["package", "_i"]).groupBy("package", "term", "item").agg(F.min("standard_name").alias("m"))
             .select("package", "term", "item", F.concat("item", F.lit("("), "m", F.lit(")")).alias("shown")))
-    both = exact.unionByName(near)
+    both = stored(exact.unionByName(near), "vague-found")
     w = W.partitionBy("package", "term").orderBy("item")
     listed = both if shown is None else both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown)
     top = listed.groupBy("package", "term").agg(

@@ -68,16 +68,20 @@ def sdk_table(spark: SparkSession, sf: str) -> DataFrame:
     return n.unionByName(g)
 
 
+def supplier_host():
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    return (F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("s"), k, F.lit(".sdk"), n, F.lit(".example.com")))
+            .when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("s"), k, F.lit(".nation"), n, F.lit(".example.org")))
+            .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("/storage/emulated/0/s"), k, F.lit(".txt")))
+            .otherwise(F.concat(F.lit("s"), k, F.lit(".example.net"))))
+
+
 def raw_leaks(spark: SparkSession, sf: str) -> DataFrame:
     li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "l_orderkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
-    host = (F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("s"), k, F.lit(".sdk"), n, F.lit(".example.com")))
-            .when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("s"), k, F.lit(".nation"), n, F.lit(".example.org")))
-            .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("/storage/emulated/0/s"), k, F.lit(".txt")))
-            .otherwise(F.concat(F.lit("s"), k, F.lit(".example.net"))))
+    n, host = F.col("s_nationkey").cast("string"), supplier_host()
     return j.select(
         F.concat(F.lit("com.nation"), n, F.lit(".app")).alias("package"), F.date_format("l_shipdate", "yyyyMMddHHmmss").alias("ts"),
         F.col("p_name").alias("privacy_field"), F.col("p_type").alias("category_level1"), F.col("p_brand").alias("category_level2"),
@@ -90,7 +94,8 @@ def raw_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leak_records(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks.normalize_leaks(raw_leaks(spark, sf), sdk_table(spark, sf))
+    hosts = table(spark, sf, "supplier").select(supplier_host().alias("host"))
+    return leaks.normalize_leaks(raw_leaks(spark, sf), sdk_table(spark, sf), hosts)
 
 
 # --- summaries --------------------------------------------------------------------------------------

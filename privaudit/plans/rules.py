@@ -9,7 +9,7 @@ from privaudit import dictionaries as D
 from privaudit.operators import rules, violations
 from privaudit.plans.leaks import quoted
 from privaudit.plans.registry import query
-from privaudit.session import spread, table
+from privaudit.session import spread, stored, table
 
 # --- label rules ------------------------------------------------------------------------------------
 # package = supplier; part types and brands stand for clause labels by name, code or dotted id
@@ -93,8 +93,14 @@ def pre_consent_evidence(spark, sf):
     p5 = F.col("package") % 5
     gate = u.filter(p5 == 0).select("package", F.when(F.col("value") > 95, F.col("item")).alias("item")).distinct()
     explicit = u.filter(p5.isin(0, 1) & (F.col("value") > 90)).select("package", "item").distinct()
-    acc = u.select("package", "item", ((p5 == 2) & (F.col("value") > 92)).alias("flagged")).distinct()
-    run = u.select("package").distinct().withColumn("before_consent", F.when(p5 == 3, F.col("package") % 2 == 0))
+    # records of one kind of package carry a phase, a flag or a refusal; runs of another their phase
+    v = F.when(p5 == 2, F.col("value"))
+    flagged = rules.record_before_consent(F.when(v > 97, "Startup").when(v > 96, "pre_consent").otherwise("running"), before_consent=(v > 95) & (v <= 96), pre_consent=(v > 94) & (v <= 95),
+                                          consent_granted=~((v > 92) & (v <= 94)))
+    acc = u.select("package", "item", flagged.alias("flagged")).distinct()
+    none = F.lit(None).cast("boolean")
+    phase = F.when(p5 == 3, F.when(F.col("package") % 2 == 0, "before_agree").otherwise("startup"))
+    run = u.select("package").distinct().withColumn("before_consent", rules.run_before_consent(phase, none, none))
     r = rules.pre_consent(u, gate, explicit, acc, run)
     return r.select("package", "evidence", F.array_join("items", ",").alias("items"))
 
@@ -343,10 +349,11 @@ def undeclared_inputs(spark, sf):
 def open_items(spark, sf) -> DataFrame:
     """Collected (item, category) pairs are separate items here, so the category travels in the join key."""
     col, dec = undeclared_inputs(spark, sf)
+    col, dec = stored(col, "collected"), stored(dec, "declared")
     keyed = col.withColumn("package", F.struct("package", "category"))
     cats = col.select(F.col("package").alias("p"), "category").distinct()
     dk = dec.join(cats, dec.package == cats.p).select(F.struct("package", "category").alias("package"), "raw", "standard_name")
-    return violations.undeclared(keyed, dk).withColumn("package", F.col("package.package"))
+    return stored(violations.undeclared(keyed, dk).withColumn("package", F.col("package.package")), "open-items")
 
 
 def sources_of(spark, items: DataFrame) -> DataFrame:
