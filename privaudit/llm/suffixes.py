@@ -368,6 +368,10 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     repeats stay as they are, and all other columns stay; ids must be unique (repeated rows of an id are cut alike).
     """
     found = deduplicate(docs, length, id_col, text_col)
-    cut = found.groupBy("doc_id").agg(F.max_by("kept", F.octet_length("kept")).alias("__kept"), F.max("n_removed").alias("__n"))
-    text = F.when(F.col("__n") == 0, F.col(text_col)).otherwise(F.translate(F.make_valid_utf8(F.col("__kept").cast("string")), "\ufffd", ""))
-    return docs.join(cut.withColumnRenamed("doc_id", "__id"), docs[id_col].cast("long").eqNullSafe(F.col("__id"))).where("__n = 0 or octet_length(__kept) > 0").withColumn(text_col, text).select(*docs.columns)
+    # the texts come back from the blocks, so only the other columns are shuffled once more
+    cut = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("kept", F.octet_length("kept")).alias("__kept"), F.max("n_removed").alias("__n"))
+    rest = docs.withColumn(text_col, F.col(text_col).isNull())
+    whole = F.col("__kept").cast("string")
+    text = F.when(F.col("__n") > 0, F.translate(F.make_valid_utf8(whole), "\ufffd", "")).when(~F.col(text_col), whole)
+    joined = rest.join(cut, rest[id_col].cast("long").eqNullSafe(F.col("__id"))).where("__n = 0 or octet_length(__kept) > 0")
+    return joined.withColumn(text_col, text).select(*docs.columns)
