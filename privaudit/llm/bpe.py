@@ -15,6 +15,7 @@ import base64
 import re
 import struct
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from privaudit.llm.tables import BATCH_BYTES, keyed
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker remembers; when there are more, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Latin letters, and what finds a character beyond them, ASCII and its white space.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 OTHER = re.compile(f"[^\\t-\\r -~{LETTERS}]").search
@@ -162,7 +163,6 @@ class Coder(dict):
     def __init__(self, data: bytes, pattern: str):
         super().__init__()
         self.ranks = read_ranks(data)
-        self.merger = Merger(self.ranks)
         # white space by the Unicode property: the regex module's own \s also takes the separators 1C to 1F
         self.any = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         # the same for texts of Latin letters, ASCII and its white space alone, in the faster re module
@@ -177,6 +177,10 @@ class Coder(dict):
         ids = merge(data, self.ranks) if whole is None else [whole]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self.ranks)  # decoding does without
+
     def split(self, text: str) -> list[str]:
         return (self.any if OTHER(text) else self.latin)(text)
 
