@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.tables import components, keyed, written
+from privaudit.llm.tables import components, digest_of, keyed, text_key, written
 
 #: Fingerprints per subtree aimed at; more than this under one prefix are cut into chunks.
 SUBTREE = 20_000
@@ -46,14 +46,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """Rows (doc_id, fp): fp is the fingerprint as a signed long. ``with_key`` adds the digest of the text (key)."""
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            keys = [pa.array([digest_of(t.as_py()) for t in b.column(1)], type=pa.string())] if with_key else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *keys], names=["doc_id", "fp", "key"][: 2 + with_key])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long" + ", key string" * with_key)
 
 
 def trie_links(a: np.ndarray, b: np.ndarray | None, max_bits: int = 3):
@@ -168,22 +169,28 @@ def links(fps: DataFrame, max_bits: int = 3, subtree: int = SUBTREE) -> DataFram
     return placed.select("pair", "second", "fp").groupBy("pair").applyInArrow(_pair_task(max_bits), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed long), fingerprint (16 hex digits), component_id and n_in_component."""
-    marks = written(fingerprints(docs, words, seed, id_col, text_col), "simhash")
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), fingerprint (16 hex digits), component_id and n_in_component.
+
+    ``with_key`` adds the digest of the text (key) and the component's least fingerprint (root).
+    """
+    marks = written(fingerprints(docs, words, seed, id_col, text_col, with_key), "simhash")
     fps = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(fps.select("fp"), max_bits))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root"))
     totals = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.sum("n").alias("n_in_component"))
-    of_fp = rooted.join(totals, "root").select("fp", "component_id", "n_in_component")
-    return marks.join(of_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_in_component")
+    of_fp = rooted.join(totals, "root").select("fp", "root", "component_id", "n_in_component")
+    return marks.join(of_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_in_component", *["key", "root"] * with_key)
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id; all columns stay.
 
-    Repeated rows of that id are reduced to one. A document without an id stays only if its whole group has none.
+    A row is known by its id and text, so ids need not be unique; repeated rows are reduced to one. A document without an
+    id stays only if its whole group has none.
     """
-    found = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col, with_key=True)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.key").alias("__key"))
+    named = docs.withColumn("__text_key", text_key(text_col))
+    return (named.join(kept, named[id_col].cast("long").eqNullSafe(kept["__id"]) & (named["__text_key"] == kept["__key"]), "left_semi")
+            .dropDuplicates([id_col, "__text_key"]).drop("__text_key"))

@@ -26,6 +26,7 @@ ignored. Nothing is capped: a long text is one block's work, processed in pieces
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm.tables import bytes_of, keyed
+from privaudit.llm.tables import bytes_of, keyed, text_key
 
 #: Bytes of text per block and of slices per bucket aimed at; they set how many there are, not what is compared.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
@@ -293,7 +294,7 @@ def _sort_bucket(length: int, cut: frozenset):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, with_key: bool = False):
     def run(docs, gone):
         b = Block(docs)
         row, start, n = (gone.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "n"))
@@ -312,7 +313,11 @@ def _remove(length: int):
         kept = b.data[~away]
         cuts = b.offsets - total[b.offsets]
         body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(kept)])
-        return pa.table({"doc_id": pa.array(b.ids, mask=b.nulls), "n_bytes": np.diff(b.offsets), "n_removed": np.diff(total[b.offsets]), "n_spans": np.diff(spans[b.offsets]), "kept": body.cast(pa.binary())})
+        out = {"doc_id": pa.array(b.ids, mask=b.nulls), "n_bytes": np.diff(b.offsets), "n_removed": np.diff(total[b.offsets]), "n_spans": np.diff(spans[b.offsets]), "kept": body.cast(pa.binary())}
+        if with_key:
+            view = memoryview(b.data)
+            out["key"] = pa.array([hashlib.sha256(view[x:y]).hexdigest() for x, y in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())], type=pa.string())
+        return pa.table(out)
 
     return run
 
@@ -337,8 +342,10 @@ def splitters_of(docs: DataFrame, length: int, total: int, buckets: int) -> list
     return sorted({rows[len(rows) * i // buckets] for i in range(1, buckets)}) if rows else []
 
 
-def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay)."""
+def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay).
+
+    ``with_key`` adds the digest of the whole text (key)."""
     docs = keyed(docs, id_col, text_col)
     total = bytes_of(docs)
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -358,20 +365,26 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     alone = F.when(F.col("w0").isNull(), F.struct("block", "row", "start"))
     earliest = F.min(F.struct("doc_id", "block", "row", "start")).over(Window.partitionBy("w0", "w1", alone))
     gone = found.withColumn("earliest", earliest).where(F.col("w0").isNull() | (F.col("earliest") != F.struct("doc_id", "block", "row", "start"))).select("block", "row", "start", "n")
-    return placed.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return placed.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(length, with_key), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * with_key)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts; a document with nothing left goes.
 
     A character of which only a part is left is dropped, and in a text that is cut so is U+FFFD. Texts in which nothing
-    repeats stay as they are, and all other columns stay; ids must be unique (repeated rows of an id are cut alike).
+    A character of which only a part is left is dropped, and in a text that is cut so is U+FFFD. Texts in which nothing
+    repeats stay as they are, and all other columns stay. Ids need not be unique: a row is known by its id, its text and
+    its number within equal rows, of which the first keeps most.
     """
-    found = deduplicate(docs, length, id_col, text_col)
+    def numbered(df: DataFrame, by: list, order) -> DataFrame:
+        return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
     # the texts come back from the blocks, so only the other columns are shuffled once more
-    cut = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("kept", F.octet_length("kept")).alias("__kept"), F.max("n_removed").alias("__n"))
-    rest = docs.withColumn(text_col, F.col(text_col).isNull())
+    found = deduplicate(docs, length, id_col, text_col, with_key=True)
+    cut = numbered(found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__n")), ["__id", "__k"], F.col("__n"))
+    rest = docs.select("*", text_key(text_col).alias("__key"), F.col(id_col).cast("long").alias("__row")).withColumn(text_col, F.col(text_col).isNull())
+    rest = numbered(rest, ["__row", "__key"], F.col(text_col)).withColumnRenamed("__nth", "__at")
     whole = F.col("__kept").cast("string")
     text = F.when(F.col("__n") > 0, F.translate(F.make_valid_utf8(whole), "\ufffd", "")).when(~F.col(text_col), whole)
-    joined = rest.join(cut, rest[id_col].cast("long").eqNullSafe(F.col("__id"))).where("__n = 0 or octet_length(__kept) > 0")
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    same = F.col("__row").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__at") == F.col("__nth"))
+    return rest.join(cut, same).where("__n = 0 or octet_length(__kept) > 0").withColumn(text_col, text).select(*docs.columns)

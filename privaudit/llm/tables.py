@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privaudit.session import scratch_path
@@ -16,6 +18,16 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_key(text_col: str = "text") -> Column:
+    """Digest by which a text is known; null and empty texts are one."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def digest_of(text: str | None) -> str:
+    """``text_key`` of one text in Python."""
+    return hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read by several branches, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
