@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from privaudit.functions.scalars import (_col, capitalize, leaf_is_plausible, may_be_base64, to_base64, url_quote_plus)
 
+#: Levels below which leaves are marked; all levels are opened.
 MAX_DEPTH = 8
 
 
@@ -107,17 +108,26 @@ def _json_nodes(path: str, text: Column) -> Column:
     return F.array(F.struct(F.lit(path).alias("p"), text.alias("s")))
 
 
-def _expand(nodes: str) -> Column:
-    """One level down: objects by key, arrays by position, everything else unchanged."""
-    return F.expr(f"""
-        flatten(transform({nodes}, n -> case
-          when ltrim(n.s) like '{{%' then coalesce(
-            transform(map_entries(from_json(n.s, 'map<string,string>')),
-                      e -> named_struct('p', concat(n.p, '>', e.key), 's', e.value)), array(n))
-          when ltrim(n.s) like '[%' then coalesce(
-            transform(from_json(n.s, 'array<string>'),
-                      (y, k) -> named_struct('p', concat(n.p, '[', cast(k as string), ']'), 's', y)), array(n))
-          else array(n) end))""")
+def _expanded(nodes: str) -> str:
+    """All levels down: objects by key, arrays by position, until no node holds structure; nodes get their level.
+
+    A loop inside the row: open nodes are parsed once each, the others are set aside, and a round without open nodes costs
+    nothing. A chain of n levels needs n brackets, literal or escaped, in the text, so their count bounds the rounds.
+    """
+    opens = "(ltrim({0}) like '{{%' or ltrim({0}) like '[%')"
+    child = "named_struct('p', {p}, 's', {s}, 'level', n.level + 1, 'open', coalesce(" + opens.format("{s}") .replace("{%", "{{%") + ", false))"
+    closed = "array(named_struct('p', n.p, 's', n.s, 'level', n.level, 'open', false))"
+    down = f"""flatten(transform(a.open, n -> case when ltrim(n.s) like '{{%' then coalesce(
+            transform(map_entries(from_json(n.s, 'map<string,string>')), e -> {child.format(p="concat(n.p, '>', e.key)", s="e.value")}), {closed})
+          else coalesce(
+            transform(from_json(n.s, 'array<string>'), (y, k) -> {child.format(p="concat(n.p, '[', cast(k as string), ']')", s="y")}), {closed}) end))"""
+    start = f"transform({nodes}, n -> named_struct('p', n.p, 's', n.s, 'level', 0, 'open', coalesce({opens.format('n.s')}, false)))"
+    split = "named_struct('open', filter({0}, n -> n.open), 'done', {1})"
+    rounds = f"aggregate({nodes}, 0, (m, n) -> m + coalesce(regexp_count(n.s, '[\\\\[{{]|u00[57][bB]'), 0))"
+    first = f"transform(array({start}), s -> {split.format('s', 'filter(s, n -> not n.open)')})[0]"
+    step = f"transform(array({down}), d -> {split.format('d', 'concat(a.done, filter(d, n -> not n.open))')})[0]"
+    loop = f"aggregate(sequence(0, {rounds}), {first}, (a, i) -> case when size(a.open) = 0 then a else {step} end, a -> concat(a.done, a.open))"
+    return f"case when {nodes} is not null then {loop} end"
 
 
 def _query_nodes(text: Column) -> Column:
@@ -144,7 +154,8 @@ def flatten_payload(df: DataFrame, payload="payload", meta="meta", depth: int =
 
     Adds ``leaf_path`` (prefixed by ``meta@`` when there is one), ``leaf`` and ``too_deep``; a payload with no
     structure yields itself, and a query string yields itself as well as its pairs. JSON inside a JSON string is
-    opened too. Each level is one array expression, so the rows are read once whatever the depth.
+    opened too. Every level is opened, in a loop inside the row; ``too_deep`` only marks leaves that lie more than ``depth``
+    levels down, and text that starts like structure and is none.
     """
     text = F.try_validate_utf8(_col(payload).cast("string"))
     trimmed = F.trim(text)
@@ -161,16 +172,15 @@ def flatten_payload(df: DataFrame, payload="payload", meta="meta", depth: int =
         F.when(F.col("_kind") == "J", _json_nodes("J", trimmed))
         .when(F.col("_kind") == "X", F.array(F.struct(F.concat(F.lit("X>"), root).alias("p"), xml_json.alias("s"))))
         .when(F.col("_kind") == "U", _query_nodes(text)))
-    for _ in range(depth):
-        out = out.withColumn("_nodes", _expand("_nodes"))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("p"), F.col("_text").alias("s")))
+    out = out.withColumn("_nodes", F.expr(_expanded("_nodes")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("p"), F.col("_text").alias("s"), F.lit(0).alias("level"), F.lit(False).alias("open")))
     nodes = (F.when(F.col("_kind").isin("J", "X"), F.col("_nodes"))
              .when(F.col("_kind") == "U", F.concat(whole, F.col("_nodes"))).otherwise(whole))
     tag = F.when(_col(meta).isNotNull() & F.col("_n.p").isNotNull(), F.concat(_col(meta), F.lit("@"), F.lower("_n.p"))) \
         .otherwise(F.coalesce(F.lower("_n.p"), _col(meta)))
     return (out.withColumn("_n", F.explode(nodes)).filter("_n.s is not null")
             .withColumn("leaf_path", tag).withColumn("leaf", F.col("_n.s"))
-            .withColumn("too_deep", F.col("_n.p").isNotNull() & F.col("_n.s").rlike(r"^\s*[\[{]"))
+            .withColumn("too_deep", F.col("_n.p").isNotNull() & ((F.col("_n.level") > depth) | F.col("_n.s").rlike(r"^\s*[\[{]")))
             .drop("_text", "_kind", "_nodes", "_n"))
 
 

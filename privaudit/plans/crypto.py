@@ -185,7 +185,7 @@ def payload_flatten(spark, sf):
     js = F.to_json(F.struct(F.concat("l_returnflag", F.lit("-flag")).alias("flag"), F.array(F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")).alias("qty"),
                             F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), inner.alias("inner")).alias("ship")))
     li = spread(table(spark, sf, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", js.alias("payload"), F.lit("body").alias("meta"))
-    return P.flatten_payload(li, "payload", "meta", depth=4).select("l_orderkey", "l_linenumber", "leaf_path", "leaf")
+    return P.flatten_payload(li, "payload", "meta").select("l_orderkey", "l_linenumber", "leaf_path", "leaf")
 
 
 @query("payload_query_string", """
@@ -194,7 +194,7 @@ SELECT o_orderkey, unnest(['u>p[0]', 'u>c[0]', 'u>p[1]', NULL]) AS leaf_path,
 def payload_query_string(spark, sf):
     q = F.concat(F.lit("p="), F.replace("o_orderpriority", F.lit(" "), F.lit("%20")), F.lit("&c="), F.col("o_custkey").cast("string"), F.lit("&p="), "o_orderstatus", F.lit("&e="))
     o = table(spark, sf, "orders").select("o_orderkey", q.alias("payload"), F.lit(None).cast("string").alias("meta"))
-    return P.flatten_payload(o, depth=2).select("o_orderkey", "leaf_path", "leaf")
+    return P.flatten_payload(o).select("o_orderkey", "leaf_path", "leaf")
 
 
 @query("leaf_plausible", """

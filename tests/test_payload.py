@@ -45,6 +45,17 @@ def test_depth_bound_is_reported(spark):
     assert [x.too_deep for x in r] == [True]
 
 
+def test_every_level_is_opened(spark):
+    deep = '{"k": ' * 30 + '[1, {"in": "{\\"x\\": [\\"leaf value\\"]}"}]' + "}" * 30
+    xml = "".join(f"<t{i}>" for i in range(12)) + "inner" + "".join(f"</t{i}>" for i in reversed(range(12)))
+    escaped = r'{"a": "\u007b\"b\": \"\\u005b7, 8]\"}"}'
+    df = spark.createDataFrame([(1, deep), (2, xml), (3, escaped), (4, '{"a": "[broken", "b": {}}')], "id int, payload string").withColumn("meta", F.lit(None).cast("string"))
+    got = {(r.id, r.leaf_path, r.leaf) for r in P.flatten_payload(df).collect()}
+    path = "j" + ">k" * 30
+    assert got == {(1, path + "[0]", "1"), (1, path + "[1]>in>x[0]", "leaf value"), (2, "x" + "".join(f">t{i}" for i in range(12)), "inner"), (3, "j>a>b[0]", "7"), (3, "j>a>b[1]", "8"), (4, "j>a", "[broken")}
+    assert {r.leaf for r in P.payload_leaves(df).collect()} >= {"leaf value", "inner"}
+
+
 def test_detection_of_encoded_values_and_keywords(spark):
     v = "AA:bb:01:9f"
     forms = {"upper": v.upper(), "md5hex": hashlib.md5(v.encode()).hexdigest(), "base64": base64.b64encode(("id" * 3 + v).encode()).decode()[8:], "hexLower": v.lower().encode().hex()}
