@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from privaudit.llm import bpe, decontaminate, hilbert, kneser, lengths, quality, simhash, suffixes, urls, warc
+from privaudit.llm import bpe, centroids, decontaminate, fmindex, hilbert, kneser, lengths, quality, simhash, suffixes, urls, warc, whitening
 from privaudit.plans.registry import Query
 from privaudit.session import scratch_path, table
 
@@ -120,3 +120,32 @@ def simhash_trie(spark, sf):
 def hilbert_sharding(spark, sf):
     return hilbert.assign(table(spark, sf, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h")
+
+
+# a round of the twin: every vector against every centroid, then floor(sum / count) per component; empty centroids stay
+ROUND = """
+d{i} AS MATERIALIZED (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{i} GROUP BY 1),
+m{i} AS (SELECT k, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY 1, 2),
+c{j} AS MATERIALIZED (SELECT c.k, coalesce(n.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM m{i} GROUP BY 1) n ON n.k = c.k)"""
+
+
+@query("op11_centroid_clustering", """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16)),""" + ",".join(ROUND.format(i=i, j=i + 1) for i in range(4)) + """
+SELECT a.vec_id, a.k::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.k = a.k""")
+def centroid_clustering(spark, sf):
+    found = centroids.cluster(table(spark, sf, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op13_fm_index")
+def fm_index(spark, sf):
+    return fmindex.deduplicate(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

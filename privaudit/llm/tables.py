@@ -18,6 +18,12 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def finite_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Rows (vec_id, v: array<double>) whose vector is not null and holds neither null nor non-finite entries."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & finite)
+
+
 def text_key(text_col: str = "text") -> Column:
     """Digest by which a text is known; null and empty texts are one."""
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
