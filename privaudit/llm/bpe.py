@@ -258,5 +258,21 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, ids, decoded, same): encoded and decoded in one worker, and whether the bytes are those of the text."""
+    held = vocabulary(docs.sparkSession, path)
+
+    def run(batches):
+        c = coder(held.value, pattern)
+        for b in pieces(batches, 3):
+            texts = b.column(1).to_pylist()
+            ids = c.encode(texts)
+            decoded = [c.decode(x) for x in ids]
+            same = [d == (t or "").encode("utf-8", "surrogatepass") for d, t in zip(decoded, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.binary()), pa.array(same, type=pa.bool_())], names=["doc_id", "ids", "decoded", "same"])
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary, same boolean")
+
+
 def n_tokens() -> F.Column:
     return (F.octet_length("ids") / 4).cast("long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.tables import digest_of, keyed, text_key
+from privaudit.llm.tables import keyed
 
 BLOCK_CHARS = 1 << 20
 #: Characters of documents hashed at once.
@@ -177,43 +177,49 @@ class Index:
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, min_chars: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", with_key: bool = False) -> DataFrame:
-    """Rows (doc_id, item_id, start, end, distance): items found in the texts with at most ``rate`` edits per character.
-
-    ``with_key`` adds the digest of the text (key)."""
+def _indexes(benchmark: DataFrame, q: int, rate: float, min_chars: int, item_col: str, item_text: str):
+    """Yield (ids, index) of the benchmark's items block by block, each broadcast."""
     if min_chars < 2 * q or q * rate >= 0.9:
         raise ValueError("the lemma keeps nothing: min_chars must be at least 2 q, and q * rate below 0.9")
-    spark = docs.sparkSession
-    schema = SCHEMA + ", key string" * with_key
-    names = ["doc_id", "item_id", "start", "end", "distance"] + ["key"] * with_key
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
              .where(F.length("text") >= min_chars).distinct())
     total = items.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total * 2 // BLOCK_CHARS))
-    docs, out = keyed(docs, id_col, text_col), None
     for b in range(blocks):
         block = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"], r["item_id"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect())
-        if not block:
-            continue
-        held = spark.sparkContext.broadcast(([i for _, _, i in block], Index([(i, t) for i, t, _ in block], q, rate)))
+        if block:
+            yield benchmark.sparkSession.sparkContext.broadcast(([i for _, _, i in block], Index([(i, t) for i, t, _ in block], q, rate)))
+
 
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, min_chars: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (doc_id, item_id, start, end, distance): items found in the texts with at most ``rate`` edits per character."""
+    names = ["doc_id", "item_id", "start", "end", "distance"]
+    spark, docs, out = docs.sparkSession, keyed(docs, id_col, text_col), None
+    for held in _indexes(benchmark, q, rate, min_chars, item_col, item_text):
         def run(batches, held=held):
             ids, index = held.value
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                found = index.search([t or "" for t in texts])
+                found = index.search([t or "" for t in batch.column(1).to_pylist()])
                 rows, item, start, end, d = zip(*found) if found else ((),) * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array([ids[i] for i in item], type=pa.int64()), pa.array(start, type=pa.int64()),
-                                                  pa.array(end, type=pa.int64()), pa.array(d, type=pa.int32()),
-                                                  *([pa.array([digest_of(texts[r]) for r in rows], type=pa.string())] if with_key else [])], names=names)
+                                                  pa.array(end, type=pa.int64()), pa.array(d, type=pa.int32())], names=names)
 
-        found = docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return spark.createDataFrame([], SCHEMA) if out is None else out
+
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, min_chars: int = 50, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay, whatever their names. Each row is
+    judged where it is, so nothing is shuffled and ids need not be unique."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    for held in _indexes(benchmark, q, rate, min_chars, item_col, item_text):
+        def run(batches, held=held):
+            _, index = held.value
+            for batch in batches:
+                leaks = np.zeros(batch.num_rows, dtype=bool)
+                leaks[[r for r, *_ in index.search([t or "" for t in batch.column(1).to_pylist()])]] = True
+                yield batch.filter(pa.array(~leaks))
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; all columns stay. Ids need not be unique."""
-    named = docs.withColumn("__text_key", text_key(text_col))
-    leaks = matches(docs, benchmark, id_col=id_col, text_col=text_col, with_key=True, **options).select("key").distinct()
-    return named.join(leaks, named["__text_key"] == leaks["key"], "left_anti").drop("__text_key")
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")

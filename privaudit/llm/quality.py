@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from privaudit.llm.tables import digest_of, keyed, text_key, written
+from privaudit.llm.tables import keyed, written
 
 #: Characters that count as symbols, and common short words of the four languages.
 SYMBOLS = "#*$%&|<>"
@@ -102,14 +103,18 @@ def measure(text: str | None) -> tuple:
             len(MARKED(text)))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """Rows (doc_id, one long per feature); ``with_key`` gives the digest of the text instead of the id."""
+def _table(texts: list) -> list[pa.Array]:
+    rows = np.array([measure(t) for t in texts], dtype=np.int64).reshape(-1, len(FEATURES))
+    return [pa.array(rows[:, i]) for i in range(len(FEATURES))]
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, one long per feature)."""
     def run(batches):
         for b in batches:
-            rows = np.array([measure(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(t.as_py()) for t in b.column(1)], type=pa.string()) if with_key else b.column(0), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_table(b.column(1).to_pylist())], names=["doc_id", *FEATURES])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, ("doc_id string, " if with_key else "doc_id long, ") + ", ".join(f"{f} long" for f in FEATURES))
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
 def pattern(rules=RULES) -> Column:
@@ -149,23 +154,34 @@ def estimate(counts: dict[str, int], n_rules: int, rounds: int = 200, prior: flo
 
 def judge(docs: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the features, votes, posterior, base_failed and kept."""
-    out = _judged(features(docs, id_col, text_col), rules, threshold)
+    votes = written(features(docs, id_col, text_col).withColumn("votes", pattern(rules)), "quality")
+    out = _judged(votes, _posterior(votes, rules), threshold)
     return out.select("doc_id", *FEATURES, "votes", "posterior", "base_failed", "kept")
 
 
-def _judged(measured: DataFrame, rules, threshold: float) -> DataFrame:
-    spark = measured.sparkSession
-    votes = written(measured.withColumn("votes", pattern(rules)), "quality")
+def _posterior(votes: DataFrame, rules) -> DataFrame:
+    """Rows (votes, posterior); at most 3 ** rules."""
     counts = {r["votes"]: r["count"] for r in votes.groupBy("votes").count().collect()}  # at most 3 ** rules rows
     posterior, _, _ = estimate(counts, len(rules))
-    table = spark.createDataFrame(sorted(posterior.items()), "votes string, posterior double")  # as many
+    return votes.sparkSession.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
+
+
+def _judged(votes: DataFrame, posterior: DataFrame, threshold: float) -> DataFrame:
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return votes.join(F.broadcast(table), "votes").withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return votes.join(F.broadcast(posterior), "votes").withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects; all columns stay. The verdict follows from the text, so a row is
-    judged by its own text, whatever its id is shared with."""
-    judged = _judged(features(docs, id_col, text_col, with_key=True), rules, threshold)
-    good = judged.where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(good, text_key(text_col) == F.col("__key"), "left_semi")
+    """``docs`` without the rows that ``judge`` rejects; all columns stay, whatever their names. The verdict follows from the
+    row itself, so one scan counts the votes and a second one judges each row where it is: no text is shuffled."""
+    votes = features(docs, id_col, text_col).select(pattern(rules).alias("votes"))
+    posterior = _posterior(votes, rules)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *_table(b.column(1).to_pylist())], names=["row", *FEATURES])
+
+    schema = T.StructType([rows.schema["row"], *(T.StructField(f, T.LongType()) for f in FEATURES)])
+    measured = rows.mapInArrow(run, schema).withColumn("votes", pattern(rules))
+    return _judged(measured, posterior, threshold).where("kept").select("row.*")

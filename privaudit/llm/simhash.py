@@ -40,7 +40,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - words + 1].tolist()
     h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1:].tolist())], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones, h = np.zeros(64, dtype=np.int64), h.astype(">u8")
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i: i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read by several branches, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the table behind a frame of ``written`` that nothing reads any more; frames of other kinds stay."""
+    spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
+    if path:
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+#: Bits of the filter of ``maybe_in``, and of a piece of it.
+SIEVE_BITS, PIECE_BITS = 1 << 26, 1 << 20
+
+
+def maybe_in(keys: DataFrame, h: str, own: Column) -> Column:
+    """Whether the hash ``own`` may be among the hashes in column ``h`` of ``keys``: always true for those that are.
+
+    A bitmap of fixed size (8 MB), so it is broadcast whatever the number of keys; with very many keys it lets all rows
+    through. It goes before an exact join, which then shuffles only the rows that may match.
+    """
+    spark = keys.sparkSession
+
+    def piece(key, rows):
+        bits = np.zeros(PIECE_BITS, dtype=bool)
+        bits[rows.column("slot").to_numpy() % PIECE_BITS] = True
+        return pa.table({"piece": pa.array([key[0].as_py()], type=pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
+
+    slots = keys.select(F.pmod(F.col(h), F.lit(SIEVE_BITS)).alias("slot")).distinct()
+    pieces = {r["piece"]: bytes(r["bits"]) for r in slots.groupBy(F.expr(f"slot div {PIECE_BITS}").alias("piece")).applyInArrow(piece, "piece long, bits binary").collect()}  # 8 MB at most
+    bitmap = b"".join(pieces.get(k, bytes(PIECE_BITS // 8)) for k in range(SIEVE_BITS // PIECE_BITS)) if pieces else b""
+    held = spark.createDataFrame([(bytearray(bitmap),)], "bits binary").select("bits").scalar()
+    slot = F.pmod(own, F.lit(SIEVE_BITS))
+    byte = F.conv(F.hex(F.substring(held, (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (slot % 8).cast("int")) % 2 == 1, F.lit(False))
 
 
 def bytes_of(df: DataFrame, text_col: str = "text") -> int:
@@ -70,7 +108,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         large = starred(both(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
-        e = written(starred(large).select(pairs).select("e.u", "e.v").where("u <> v").distinct(), "components")
+        before, e = e, written(starred(large).select(pairs).select("e.u", "e.v").where("u <> v").distinct(), "components")
+        drop_written(before)
         now = digest(e)
         if now == seen:
             break

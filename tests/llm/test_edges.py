@@ -10,6 +10,7 @@ import corpus_pipeline
 from privaudit.llm import bpe, decontaminate, hilbert, kneser, lengths, quality, simhash, suffixes, urls, warc
 from privaudit.session import scratch_path
 from tests.llm import brute
+from tests.llm.test_jaccard import survivors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, fp long, block int, votes string, h long, shard int, gram string, `key` string, ids binary, kept boolean"
 
@@ -295,12 +296,13 @@ def test_pipeline(spark, tmp_path):
     docs = {r["doc_id"]: r["text"] for r in brute.rows(spark, sf, "documents")}
     items = [i["text"] for i in brute.rows(spark, sf, "benchmark")]
     kept = {r["doc_id"] for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("kept").collect()}
-    root = brute.linked([(i, brute.fingerprint(docs[i])) for i in sorted(kept)])
-    one = sorted({root[i] for i in kept})
+    one = survivors([(i, docs[i]) for i in sorted(kept)])
     cut = {i: b[3].decode("utf-8", "ignore") for i, b in zip(one, brute.substring_dedup([docs[i] for i in one])) if b[3]}
     clean = {i: t for i, t in cut.items() if not any(x in t for x in items)}
     enc = brute.tokenizer()
-    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert all(r["round_trip"] for r in rows)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows}
     want = {}
     for i, t in clean.items():
         ids = enc.encode_ordinary(t)
@@ -308,3 +310,12 @@ def test_pipeline(spark, tmp_path):
     assert got == want
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    text = prose(3, 80)
+    df = spark.createDataFrame([(1, text, "k", 1, "v", 2.0), (2, "!!", "k", 1, "v", 2.0)], "doc_id long, text string, `__key` string, `row` long, votes string, posterior double")
+    assert [tuple(r) for r in quality.keep_good(df).collect()] == [(1, text, "k", 1, "v", 2.0)]
+    item = spark.createDataFrame([(1, text[:90])], "item_id long, text string")
+    out = decontaminate.without_leaks(df, item)
+    assert out.columns == df.columns and [r["doc_id"] for r in out.collect()] == [2]
