@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.tables import keyed
+from privaudit.llm.tables import keyed, rows_and_texts
 
 BLOCK_CHARS = 1 << 20
 #: Characters of documents hashed at once.
@@ -212,14 +212,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, min_chars: int = 50, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay, whatever their names. Each row is
     judged where it is, so nothing is shuffled and ids need not be unique."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     for held in _indexes(benchmark, q, rate, min_chars, item_col, item_text):
         def run(batches, held=held):
             _, index = held.value
-            for batch in batches:
-                leaks = np.zeros(batch.num_rows, dtype=bool)
-                leaks[[r for r, *_ in index.search([t or "" for t in batch.column(1).to_pylist()])]] = True
-                yield batch.filter(pa.array(~leaks))
+            for row, texts in rows_and_texts(batches, text_col):
+                leaks = np.zeros(len(row), dtype=bool)
+                leaks[[r for r, *_ in index.search([t or "" for t in texts])]] = True
+                yield pa.RecordBatch.from_arrays([row.filter(pa.array(~leaks))], names=["row"])
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows.select("row.*")

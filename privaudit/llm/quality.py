@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from privaudit.llm.tables import keyed, written
+from privaudit.llm.tables import keyed, rows_and_texts, written
 
 #: Characters that count as symbols, and common short words of the four languages.
 SYMBOLS = "#*$%&|<>"
@@ -176,11 +176,11 @@ def keep_good(docs: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col
     row itself, so one scan counts the votes and a second one judges each row where it is: no text is shuffled."""
     votes = features(docs, id_col, text_col).select(pattern(rules).alias("votes"))
     posterior = _posterior(votes, rules)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *_table(b.column(1).to_pylist())], names=["row", *FEATURES])
+        for row, texts in rows_and_texts(batches, text_col):
+            yield pa.RecordBatch.from_arrays([row, *_table(texts)], names=["row", *FEATURES])
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(f, T.LongType()) for f in FEATURES)])
     measured = rows.mapInArrow(run, schema).withColumn("votes", pattern(rules))

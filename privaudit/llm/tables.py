@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ def finite_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & finite)
 
 
+def rows_and_texts(batches, text_col: str, rows: int = 1000):
+    """Slices of Arrow batches of one column of whole rows (structs), each with the texts of its rows as a list."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            row = b.column(0).slice(k, rows)
+            text = pc.struct_field(row, text_col)
+            yield row, (text if pa.types.is_string(text.type) else pc.cast(text, pa.string())).to_pylist()
+
+
 def text_key(text_col: str = "text") -> Column:
     """Digest by which a text is known; null and empty texts are one."""
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
