@@ -26,7 +26,6 @@ ignored. Nothing is capped: a long text is one block's work, processed in pieces
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_right
 
 import numpy as np
@@ -34,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from privaudit.llm.tables import bytes_of, keyed, text_key
+from privaudit.llm.tables import bytes_of, keyed
 
 #: Bytes of text per block and of slices per bucket aimed at; they set how many there are, not what is compared.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
@@ -131,7 +131,7 @@ class Block:
             order[part] = sorted(order[part].tolist(), key=lambda j: column[j].as_py())
         column = column.take(pa.array(order))
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        self.nulls = docs.column("doc_id").is_null().to_numpy()[order]
+        self.nulls, self.order = docs.column("doc_id").is_null().to_numpy()[order], order
         self.ids, n = s, len(s)
         raw = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset: column.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
         body = column.buffers()[2] if n else None
@@ -294,7 +294,7 @@ def _sort_bucket(length: int, cut: frozenset):
     return run
 
 
-def _remove(length: int, with_key: bool = False):
+def _remove(length: int, carry: bool = False):
     def run(docs, gone):
         b = Block(docs)
         row, start, n = (gone.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "n"))
@@ -313,10 +313,8 @@ def _remove(length: int, with_key: bool = False):
         kept = b.data[~away]
         cuts = b.offsets - total[b.offsets]
         body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(kept)])
-        out = {"doc_id": pa.array(b.ids, mask=b.nulls), "n_bytes": np.diff(b.offsets), "n_removed": np.diff(total[b.offsets]), "n_spans": np.diff(spans[b.offsets]), "kept": body.cast(pa.binary())}
-        if with_key:
-            view = memoryview(b.data)
-            out["key"] = pa.array([hashlib.sha256(view[x:y]).hexdigest() for x, y in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())], type=pa.string())
+        out = {"row": docs.column("row").take(pa.array(b.order))} if carry else {}
+        out |= {"doc_id": pa.array(b.ids, mask=b.nulls), "n_bytes": np.diff(b.offsets), "n_removed": np.diff(total[b.offsets]), "n_spans": np.diff(spans[b.offsets]), "kept": body.cast(pa.binary())}
         return pa.table(out)
 
     return run
@@ -342,15 +340,21 @@ def splitters_of(docs: DataFrame, length: int, total: int, buckets: int) -> list
     return sorted({rows[len(rows) * i // buckets] for i in range(1, buckets)}) if rows else []
 
 
-def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay).
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay)."""
+    return _deduplicated(keyed(docs, id_col, text_col), length)
 
-    ``with_key`` adds the digest of the whole text (key)."""
-    docs = keyed(docs, id_col, text_col)
+
+def _deduplicated(docs: DataFrame, length: int) -> DataFrame:
+    """``deduplicate`` of rows (doc_id, text), and perhaps a struct ``row`` that is handed back with each."""
+    carry = "row" in docs.columns
     total = bytes_of(docs)
     blocks = max(1, -(-total // BLOCK_BYTES))
     pieces = max(1, -(-total * 4 // BUCKET_BYTES))
-    splitters = splitters_of(docs, length, total, min(pieces, MAX_BUCKETS))
+    splitters = splitters_of(docs.select("doc_id", "text"), length, total, min(pieces, MAX_BUCKETS))
     parts = max(1, -(-pieces // MAX_BUCKETS))
     cut = frozenset(g for g, _ in splitters)
     placed = docs.withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int"))
@@ -365,26 +369,21 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     alone = F.when(F.col("w0").isNull(), F.struct("block", "row", "start"))
     earliest = F.min(F.struct("doc_id", "block", "row", "start")).over(Window.partitionBy("w0", "w1", alone))
     gone = found.withColumn("earliest", earliest).where(F.col("w0").isNull() | (F.col("earliest") != F.struct("doc_id", "block", "row", "start"))).select("block", "row", "start", "n")
-    return placed.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(length, with_key), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * with_key)
+    schema = T.StructType([*([docs.schema["row"]] if carry else []), *T.StructType.fromDDL(SCHEMA).fields])
+    return placed.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_remove(length, carry), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the texts; a document with nothing left goes.
 
     A character of which only a part is left is dropped, and in a text that is cut so is U+FFFD. Texts in which nothing
-    A character of which only a part is left is dropped, and in a text that is cut so is U+FFFD. Texts in which nothing
-    repeats stay as they are, and all other columns stay. Ids need not be unique: a row is known by its id, its text and
-    its number within equal rows, of which the first keeps most.
+    repeats stay as they are, and all other columns stay. Ids need not be unique. The other columns travel with the texts
+    through the blocks, so that nothing is joined back.
     """
-    def numbered(df: DataFrame, by: list, order) -> DataFrame:
-        return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-
-    # the texts come back from the blocks, so only the other columns are shuffled once more
-    found = deduplicate(docs, length, id_col, text_col, with_key=True)
-    cut = numbered(found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__n")), ["__id", "__k"], F.col("__n"))
-    rest = docs.select("*", text_key(text_col).alias("__key"), F.col(id_col).cast("long").alias("__row")).withColumn(text_col, F.col(text_col).isNull())
-    rest = numbered(rest, ["__row", "__key"], F.col(text_col)).withColumnRenamed("__nth", "__at")
-    whole = F.col("__kept").cast("string")
-    text = F.when(F.col("__n") > 0, F.translate(F.make_valid_utf8(whole), "\ufffd", "")).when(~F.col(text_col), whole)
-    same = F.col("__row").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__at") == F.col("__nth"))
-    return rest.join(cut, same).where("__n = 0 or octet_length(__kept) > 0").withColumn(text_col, text).select(*docs.columns)
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(F.col(text_col).isNull().alias("null"), F.struct(F.lit(1).alias("any"), *others).alias("rest")).alias("row"),
+                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") > 0, F.translate(F.make_valid_utf8(kept), "\ufffd", "")).when(~F.col("row.null"), kept)
+    return (_deduplicated(whole, length).where("n_removed = 0 or octet_length(kept) > 0")
+            .select(*[text.alias(c) if c == text_col else F.col("row.rest").getField(c).alias(c) for c in docs.columns]))
