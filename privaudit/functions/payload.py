@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,11 +86,91 @@ def is_container(data) -> Column:
     return F.coalesce(head.rlike("^(1F8B08|425A68|7801|789C|78DA|504B0304|504B0708)"), F.lit(False))
 
 
+#: Bytes of a container's content in one row; what is longer comes in pieces that overlap, so that no value is cut twice.
+PIECE_BYTES, OVERLAP = 16 << 20, 1 << 12
+_READ = 1 << 20
+
+
+def _inflated(data: bytes):
+    """Chunks of a gzip, bzip2 or zlib stream; raises where it is broken or ends early."""
+    make = bz2.BZ2Decompressor if data[:3] == b"BZh" else lambda: zlib.decompressobj(31 if data[:2] == b"\x1f\x8b" else 15)
+    while data:
+        d, at = make(), 0
+        while not d.eof:
+            part = data[at: at + _READ] if at < len(data) else b""
+            at += len(part)
+            if isinstance(d, bz2.BZ2Decompressor):
+                got = d.decompress(part, _READ)
+                stuck = not part and not got and not d.eof
+            else:
+                got = d.decompress(d.unconsumed_tail + part, _READ)
+                stuck = not part and not got and not d.unconsumed_tail and not d.eof
+            if stuck:
+                raise EOFError("the stream ends early")
+            yield got
+        data = d.unused_data + data[at:]
+        if data[:2] not in (b"\x1f\x8b", b"BZ"):
+            return
+
+
+def _pieces(chunks):
+    held = bytearray()
+    for c in chunks:
+        held += c
+        while len(held) > PIECE_BYTES:
+            yield bytes(held[:PIECE_BYTES])
+            del held[: PIECE_BYTES - OVERLAP]
+    yield bytes(held)
+
+
+def _members(data: bytes):
+    """(path or None, piece) of all a container holds, in memory of one piece; what is broken yields itself."""
+    try:
+        if data[:2] == b"PK":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                bad = z.testzip()
+                if bad is not None:
+                    raise zipfile.BadZipFile(bad)
+                named = [(f"zip>{n}", lambda n=n: iter(lambda f=z.open(n): f.read(_READ), b"")) for n in z.namelist() if not n.endswith("/")]
+                for name, chunks in named:
+                    for i, piece in enumerate(_pieces(chunks())):
+                        yield (name if i == 0 else f"{name}[part {i}]"), piece
+            return
+        for _ in _inflated(data):  # whole and sound?
+            pass
+        for i, piece in enumerate(_pieces(_inflated(data))):
+            yield (None if i == 0 else f"[part {i}]"), piece
+    except (OSError, EOFError, ValueError, NotImplementedError, RuntimeError, zlib.error, zipfile.BadZipFile):
+        yield None, data
+
+
+def open_containers(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """Rows (key, member, payload): what containers hold, one row per member or piece; other payloads as they are."""
+    held = F.coalesce((F.length(payload) > 4) & is_container(payload), F.lit(False))
+    kind = df.schema[key].dataType
+
+    def run(batches):
+        for b in batches:
+            for k, data in zip(b.column(0), b.column(1)):
+                for member, piece in _members(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], type=b.schema.field(0).type), pa.array([member], type=pa.string()), pa.array([piece], type=pa.binary())], names=[key, "member", "payload"])
+
+    rows = df.select(key, F.col(payload).alias("payload"))
+    schema = T.StructType([T.StructField(key, kind), T.StructField("member", T.StringType()), T.StructField("payload", T.BinaryType())])
+    return rows.where(~held).select(key, F.lit(None).cast("string").alias("member"), "payload").unionAll(rows.where(held).mapInArrow(run, schema))
+
+
 def unwrap_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Undo base64, percent-encoding and compression of a binary column once, in that order.
 
     Only rows that start like a container are shipped to Python.
     """
+    d = decode_layers(df, payload).withColumn("_u", _unpack_batch(F.when((F.length(payload) > 4) & is_container(payload), F.col(payload))))
+    return d.withColumn(payload, F.coalesce("_u", payload)).drop("_u")
+
+
+def decode_layers(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Undo base64 and then percent-encoding of a binary column once."""
     long = F.length(payload) > 4
     d = df.withColumn("_t", F.when(long, F.try_validate_utf8(F.col(payload).cast("string"))))
     d = d.withColumn("_p", F.when(may_be_base64("_t"), F.unbase64("_t")).otherwise(F.col(payload)))
@@ -98,8 +179,7 @@ def unwrap_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     # '+' is literal in percent-encoded paths, so it is protected before the form decoder sees it
     decoded = F.try_url_decode(F.replace("_t", F.lit("+"), F.lit("%2B")))
     d = d.withColumn("_p", F.when(escaped, F.coalesce(F.encode(decoded, "UTF-8"), F.col("_p"))).otherwise(F.col("_p")))
-    d = d.withColumn("_u", _unpack_batch(F.when(long & is_container("_p"), F.col("_p"))))
-    return d.withColumn(payload, F.coalesce("_u", "_p")).drop("_t", "_p", "_u")
+    return d.withColumn(payload, F.col("_p")).drop("_t", "_p")
 
 
 # --- structured payloads --------------------------------------------------------------------------
@@ -157,31 +237,35 @@ def flatten_payload(df: DataFrame, payload="payload", meta="meta", depth: int =
     opened too. Every level is opened, in a loop inside the row; ``too_deep`` only marks leaves that lie more than ``depth``
     levels down, and text that starts like structure and is none.
     """
-    text = F.try_validate_utf8(_col(payload).cast("string"))
-    trimmed = F.trim(text)
-    looks_json = trimmed.startswith("{") & trimmed.endswith("}") & F.from_json(trimmed, "map<string,string>").isNotNull()
-    looks_xml = trimmed.rlike(r"^(<\?xml[^>]*\?>\s*)?<[A-Za-z_][\w:.-]*[\s/>]") & trimmed.endswith(">")
-    root = F.regexp_extract(F.regexp_replace(trimmed, r"^<\?xml[^>]*\?>\s*", ""), r"^<([A-Za-z_][\w:.-]*)", 1)
-    xml_json = F.to_json(F.from_xml(F.when(looks_xml, trimmed), "variant",
-                                    {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"}))
-    is_query = ~looks_json & ~looks_xml & text.rlike("^[^&=]*=[^&]")
-    out = df.withColumn("_text", text).withColumn("_kind", F.when(looks_json, "J").when(looks_xml, "X")
-                                                  .when(is_query, "U").otherwise("-"))
-    out = out.withColumn(
-        "_nodes",
-        F.when(F.col("_kind") == "J", _json_nodes("J", trimmed))
-        .when(F.col("_kind") == "X", F.array(F.struct(F.concat(F.lit("X>"), root).alias("p"), xml_json.alias("s"))))
-        .when(F.col("_kind") == "U", _query_nodes(text)))
-    out = out.withColumn("_nodes", F.expr(_expanded("_nodes")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("p"), F.col("_text").alias("s"), F.lit(0).alias("level"), F.lit(False).alias("open")))
-    nodes = (F.when(F.col("_kind").isin("J", "X"), F.col("_nodes"))
-             .when(F.col("_kind") == "U", F.concat(whole, F.col("_nodes"))).otherwise(whole))
+    trimmed = F.trim(F.try_validate_utf8(_col(payload).cast("string")))
+    looks_xml = F.coalesce(trimmed.rlike(r"^(<\?xml[^>]*\?>\s*)?<[A-Za-z_][\w:.-]*[\s/>]") & trimmed.endswith(">"), F.lit(False))
+    # two branches, so that the XML parser is not part of the generated code of all other rows
+    return _flattened(df.filter(~looks_xml), payload, meta, depth, False).unionByName(_flattened(df.filter(looks_xml), payload, meta, depth, True))
+
+
+def _flattened(df: DataFrame, payload, meta, depth: int, xml: bool) -> DataFrame:
+    out = df.withColumn("_text", F.try_validate_utf8(_col(payload).cast("string")))
+    text, trimmed = F.col("_text"), F.trim("_text")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("p"), text.alias("s"), F.lit(0).alias("level"), F.lit(False).alias("open")))
+    if xml:
+        root = F.regexp_extract(F.regexp_replace(trimmed, r"^<\?xml[^>]*\?>\s*", ""), r"^<([A-Za-z_][\w:.-]*)", 1)
+        # inside a lambda, since generated code of from_xml to a variant does not compile
+        parsed = F.transform(F.array(trimmed), lambda x: F.to_json(F.from_xml(x, "variant", {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"})))
+        out = out.withColumn("_json", parsed[0])
+        out = out.withColumn("_nodes", F.when(F.col("_json").isNotNull(), F.array(F.struct(F.concat(F.lit("X>"), root).alias("p"), F.col("_json").alias("s")))))
+        nodes = F.coalesce("_opened", whole)  # what is no XML after all is a text
+    else:
+        looks_json = trimmed.startswith("{") & trimmed.endswith("}") & F.from_json(trimmed, "map<string,string>").isNotNull()
+        out = out.withColumn("_kind", F.when(looks_json, "J").when(text.rlike("^[^&=]*=[^&]"), "U").otherwise("-"))
+        out = out.withColumn("_nodes", F.when(F.col("_kind") == "J", _json_nodes("J", trimmed)).when(F.col("_kind") == "U", _query_nodes(text)))
+        nodes = F.when(F.col("_kind") == "J", F.col("_opened")).when(F.col("_kind") == "U", F.concat(whole, F.col("_opened"))).otherwise(whole)
+    out = out.withColumn("_opened", F.expr(_expanded("_nodes")))
     tag = F.when(_col(meta).isNotNull() & F.col("_n.p").isNotNull(), F.concat(_col(meta), F.lit("@"), F.lower("_n.p"))) \
         .otherwise(F.coalesce(F.lower("_n.p"), _col(meta)))
     return (out.withColumn("_n", F.explode(nodes)).filter("_n.s is not null")
             .withColumn("leaf_path", tag).withColumn("leaf", F.col("_n.s"))
             .withColumn("too_deep", F.col("_n.p").isNotNull() & ((F.col("_n.level") > depth) | F.col("_n.s").rlike(r"^\s*[\[{]")))
-            .drop("_text", "_kind", "_nodes", "_n"))
+            .drop("_text", "_kind", "_json", "_nodes", "_opened", "_n"))
 
 
 def payload_leaves(df: DataFrame, payload="payload", meta="meta") -> DataFrame:

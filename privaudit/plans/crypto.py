@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from privaudit.functions import payload as P
 from privaudit.functions import scalars as S
-from privaudit.operators import crypto
+from privaudit.operators import crypto, detection
 from privaudit.plans.registry import query
-from privaudit.session import spread, table
+from privaudit.session import spread, stored, table
 from privaudit.sources import readers
 
 
@@ -268,3 +271,74 @@ def media_strip(spark, sf):
     k = F.col("page_id") % 5
     path, ctype = F.when(k == 3, "/a.JPG").otherwise("/a"), F.when(k == 1, "Video/mp4").otherwise("text/html")
     return table(spark, sf, "pages").select("page_id", F.decode(S.strip_media_body(F.encode("url", "UTF-8"), path, ctype), "UTF-8").alias("body"))
+
+
+# --- detection over all sources ---------------------------------------------------------------------
+
+def _wrapped(doc_id: int, text: str) -> bytes:
+    """A document as a payload, by its id: compressed and nested JSON, XML, an archive, escaped, or as it is."""
+    import bz2
+    import gzip
+    import io
+    import json
+    import zipfile
+    import zlib
+    from xml.sax.saxutils import escape
+    k, js = doc_id % 8, lambda x: json.dumps(x, ensure_ascii=False).encode()
+    if k == 0:
+        return gzip.compress(js({"data": {"n": doc_id, "body": text}}))
+    if k == 1:
+        return bz2.compress(js({"outer": base64.b64encode(gzip.compress(js({"in": text}))).decode()}))
+    if k == 2:
+        return zlib.compress(f"<doc><p>{escape(text)}</p><q>other</q></doc>".encode())
+    if k == 3:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.json", js({"t": text}))
+            z.writestr("b.txt", "nothing here")
+        return held.getvalue()
+    if k == 4:
+        return "".join(f"%{b:02X}" for b in text.encode()).encode()
+    if k == 5:
+        return base64.b64encode(text.encode())
+    return gzip.compress(js({"f": text})) if k == 6 else text.encode()
+
+
+# XML has no place for most control characters, so documents with them travel as they are
+@query("detect_pipeline", r"""
+WITH d AS (SELECT *, CASE WHEN doc_id % 8 = 2 AND regexp_matches(text, '[\x00-\x08\x0B\x0C\x0D\x0E-\x1F]') THEN 7 ELSE doc_id % 8 END AS k FROM documents)
+SELECT d.source AS package, d.doc_id, b.item_id, CASE k WHEN 6 THEN 'file_buffer' WHEN 7 THEN 'whole_file' ELSE 'https' END AS source,
+ CASE k WHEN 0 THEN 'j>data>body' WHEN 1 THEN 'j>outer@j>in' WHEN 2 THEN 'x>doc>p' WHEN 3 THEN 'zip>a.json@j>t' WHEN 5 THEN 'H->x-data' WHEN 6 THEN 'j>f' ELSE '' END AS leaf_path
+FROM d JOIN benchmark b ON contains(d.text, b.text)""")
+def detect_pipeline(spark, sf):
+    """Documents inside flows, written buffers and files, nested up to four deep, searched for the items of the benchmark."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    odd = (F.col("doc_id") % 8 == 2) & F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0D\x0E-\x1F]")
+
+    def run(batches):
+        for b in batches:
+            ids, texts, whole = (b.column(i).to_pylist() for i in range(3))
+            body = [t.encode() if w else _wrapped(i, t) for i, t, w in zip(ids, texts, whole)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(body, type=pa.binary())], names=["doc_id", "package", "whole", "body"])
+
+    held = docs.select("doc_id", "text", odd.alias("whole"), F.col("source").alias("package")).mapInArrow(run, "doc_id long, package string, whole boolean, body binary")
+    held = stored(held, "wrapped")
+    k, name = F.when(F.col("whole"), 7).otherwise(F.col("doc_id") % 8), F.concat(F.lit("/d"), F.col("doc_id").cast("string"))
+    none = F.lit(None)
+    flows = held.where(k <= 5).select(
+        "package", F.col("doc_id").alias("flow_id"), F.lit("https").alias("scheme"), F.lit("api.example.org").alias("host"), name.alias("path"), F.lit(1_700_000_000).alias("req_ts"), F.lit(1_700_000_001).alias("res_ts"),
+        F.when(k == 5, F.create_map(F.lit("X-Data"), F.decode("body", "UTF-8"))).alias("req_headers"), none.cast("map<string,string>").alias("res_headers"), F.when(k != 5, F.col("body")).alias("req_body"),
+        none.cast("binary").alias("res_body"), none.cast("array<struct<data:binary,dir:string>>").alias("ws"))
+    size = F.greatest(F.floor(F.length("body") / 3) + 1, F.lit(1)).cast("int")
+    writes = held.where(k == 6).select("package", F.lit(1).alias("stage"), F.posexplode(F.sequence(F.lit(0), F.lit(2))).alias("line_no", "i"), F.lit(3).alias("fd"), name.alias("path"), "body").withColumn(
+        "data", S.to_base64(F.substring("body", F.col("i") * size + 1, size))).withColumn("function", F.lit("write"))
+    files = held.where(k == 7).select("package", name.alias("path"), F.col("body").alias("content"))
+    rows = detection.probes(readers.flow_rows(flows), crypto.file_buffers(writes), files)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("field"), F.col("text").alias("value"), F.lit(False).alias("is_keyword"))
+    sources = held.agg(F.collect_set("package")).scalar()  # a handful of names
+    values = items.select(F.explode(sources).alias("package"), "field", "value", "is_keyword")
+    found = detection.detect(rows, values).where("encode_type = 'normal'")
+    doc = F.regexp_extract(F.when(F.col("source").isin("file_buffer", "whole_file"), F.col("host")).otherwise(F.col("path")), "([0-9]+)$", 1).cast("long")
+    path = F.coalesce("leaf_path", F.lit(""))
+    return (found.groupBy("package", doc.alias("doc_id"), F.col("privacy_field").cast("long").alias("item_id"), "source")
+            .agg(F.min_by(path, F.struct(F.length(path), path)).alias("leaf_path")))

@@ -1,20 +1,19 @@
 """Live operators on hook messages, calls and flows.
 
 Built-in streaming aggregates and joins come first; only rules that depend on the last emitted row, a counter or
-a set of captured values keep their own state per key. Late rows beyond the watermark go to a side table.
+a set of captured values keep their own state per key (``ordered``). Late rows beyond the watermark go to a side table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from privaudit import dictionaries as D
 from privaudit.session import scratch_path
+from privaudit.streaming import ordered
 
 DEFAULT_DELAY = "10 seconds"
 
@@ -31,12 +30,31 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available into a table in the shared folder and read it back."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    for k, v in ordered.ROCKSDB.items():
+        spark.conf.set(k, v)
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replayed(df: DataFrame, arrival: Column, closing: dict, batches: int = 5, ts: str = "ts") -> DataFrame:
+    """``df`` as a stream of ``batches`` micro-batches by arrival time (a long), and a last one that holds one row with the
+    values ``closing`` far in the future, which moves the watermark past all others."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "replay")
+    timed = df.withColumn("_at", arrival)
+    lo, hi, last = timed.agg(F.min("_at"), F.max("_at"), F.max(ts)).first()
+    files = max(1, df.rdd.getNumPartitions())
+    if lo is not None:
+        batch = F.floor((F.col("_at") - lo) * batches / F.lit(hi - lo + 1))
+        for b in range(batches):
+            timed.where(batch == b).drop("_at").repartition(files).write.mode("append").parquet(path)
+    end = (last or dt.datetime(2000, 1, 1)) + dt.timedelta(days=3650)
+    spark.createDataFrame([(end, *closing.values())], f"{ts} timestamp, " + ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in closing)).select(
+        *[F.col(c) if c == ts or c in closing else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def write_by_kind(routed: DataFrame, out: str, checkpoint: str):
     """Append each micro-batch to one folder per kind and stage."""
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -92,119 +110,41 @@ def correlate_stream(calls: DataFrame, traffic: DataFrame, before: str = "1 seco
 
 # --- keyed state ----------------------------------------------------------------------------------
 
-def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, ignore_index=True)
-
-
-def _stateful(df: DataFrame, key: str, fn, out_schema: str, state_schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def rate_limited_stream(df: DataFrame, key: str, window_ms: int = 1500, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Rows at least ``window_ms`` after the last emitted row of their key; ``df``: key, ts, event_id."""
+    return ordered.ordered(df, ordered.RateLimit(window_ms), key, [], "", delay)
 
 
-def rate_limited_stream(df: DataFrame, key: str, window_ms: int = 1500) -> DataFrame:
-    """Rows at least ``window_ms`` after the last emitted row of their key; ``df``: key, ts, event_id."""
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t in pdf["ts"].astype("datetime64[us]").astype("int64") // 1000:
-            ok = last is None or t - last >= window_ms
-            keep.append(ok)
-            last = t if ok else last
-        state.update((int(last),))
-        yield pdf[keep][[key, "event_id"]]
-    return _stateful(df.select(key, "ts", "event_id"), key, fn, f"{key} {df.schema[key].dataType.simpleString()}, event_id long", "last long")
-
-
-def sampled_stream(df: DataFrame, key: str, mod: int) -> DataFrame:
+def sampled_stream(df: DataFrame, key: str, mod: int, delay: str = DEFAULT_DELAY) -> DataFrame:
     """First, N+1st, … row of each key; ``df``: key, ts, event_id."""
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["ts", "event_id"])
-        seen = state.get[0] if state.exists else 0
-        n = seen + 1 + pd.Series(range(len(pdf)))
-        state.update((int(seen + len(pdf)),))
-        yield pdf[(n % mod == 1 % mod).to_numpy()][[key, "event_id"]]
-    return _stateful(df.select(key, "ts", "event_id"), key, fn, f"{key} {df.schema[key].dataType.simpleString()}, event_id long", "seen long")
+    return ordered.ordered(df, ordered.Sample(mod), key, [], "", delay)
 
 
-def consent_stream(df: DataFrame, consent: str, max_gates: int = 5) -> DataFrame:
+def consent_stream(df: DataFrame, consent: str, max_gates: int = 5, delay: str = DEFAULT_DELAY) -> DataFrame:
     """APIs with the phase they were called in; a package counts up to ``max_gates`` consent clicks.
 
     ``df``: package, ts, event_id, api.
     """
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["ts", "event_id"])
-        gates = state.get[0] if state.exists else 0
-        phase, gate = [], []
-        for api in pdf["api"]:
-            if api == consent:
-                gates = min(gates + 1, max_gates)
-            phase.append("gate" if api == consent else "after" if gates else "before")
-            gate.append(gates)
-        state.update((int(gates),))
-        yield pdf.assign(phase=phase, gates=gate)[["package", "event_id", "api", "phase", "gates"]]
-    t = df.schema["package"].dataType.simpleString()
-    return _stateful(df.select("package", "ts", "event_id", "api"), "package", fn, f"package {t}, event_id long, api string, phase string, gates int", "gates int")
-
-
-def token_stream(df: DataFrame, pattern: str) -> DataFrame:
+    return ordered.ordered(df.withColumnRenamed("api", "called"), ordered.Consent(consent, max_gates), "package", ["called"], "api string, phase string, gates int", delay)
+
+
+def token_stream(df: DataFrame, pattern: str, delay: str = DEFAULT_DELAY, keep_ms: int | None = None) -> DataFrame:
     """Captured values that show up in the same or a later outbound text of the package.
 
-    ``df``: package, seq, role ('in' captures, 'out' is searched), text. The state of a package is the set of its
-    captured values.
+    ``df``: package, ts, seq, role ('in' captures, 'out' is searched), text. The state of a package is the set of its
+    captured values, each kept for ``keep_ms`` if given.
     """
-    import re
-    find = re.compile(pattern)
-
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["seq"])
-        tokens = dict.fromkeys(state.get[0]) if state.exists else {}
-        rows = []
-        for seq, role, text in zip(pdf["seq"], pdf["role"], pdf["text"]):
-            if role == "in":
-                tokens.update(dict.fromkeys(find.findall(text)))
-            else:
-                rows.extend((k[0], seq, t) for t in tokens if t in text)
-        state.update((list(tokens),))
-        yield pd.DataFrame(rows, columns=["package", "seq", "token"])
-    t = df.schema["package"].dataType.simpleString()
-    return _stateful(df.select("package", "seq", "role", "text"), "package", fn, f"package {t}, seq long, token string", "tokens array<string>")
-
-
-def tls_stream(df: DataFrame) -> DataFrame:
+    return ordered.ordered(df, ordered.Tokens(pattern, keep_ms), "package", ["role", "text"], "token string", delay, tie="seq")
+
+
+def tls_stream(df: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     """Connections to hosts that are whitelisted or failed a handshake before; ``df``: sni, ts, event_id, failed."""
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["ts", "event_id"])
-        white = any(h in k[0] for h in D.TLS_PASSTHROUGH_HOSTS)
-        fail_ts = state.get[0] if state.exists else None
-        us = pdf["ts"].astype("datetime64[us]").astype("int64")
-        known = []
-        for t, failed in zip(us, pdf["failed"]):
-            known.append(white or (fail_ts is not None and fail_ts < t))
-            if failed and fail_ts is None:
-                fail_ts = int(t)
-        if fail_ts is not None:
-            state.update((fail_ts,))
-        yield pdf.assign(passthrough=known)[["sni", "event_id", "passthrough"]]
-    return _stateful(df.select("sni", "ts", "event_id", "failed"), "sni", fn, "sni string, event_id long, passthrough boolean", "fail_ts long")
-
-
-def running_stream(df: DataFrame) -> DataFrame:
+    return ordered.ordered(df, ordered.Passthrough(tuple(D.TLS_PASSTHROUGH_HOSTS)), "sni", ["failed"], "passthrough boolean", delay)
+
+
+def running_stream(df: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     """Cumulative reward and distinct APIs and activities per run; ``df``: run_id, ts, event_id, reward, api_list, activity."""
-    def fn(k, frames, state: GroupState):
-        pdf = _ordered(frames, ["ts", "event_id"])
-        total, apis, acts = (state.get[0], set(state.get[1]), set(state.get[2])) if state.exists else (0.0, set(), set())
-        rows = []
-        for eid, reward, api_list, act in zip(pdf["event_id"], pdf["reward"], pdf["api_list"], pdf["activity"]):
-            total += reward
-            apis.update(api_list)
-            if act and act != "unknown":
-                acts.add(act)
-            rows.append((k[0], eid, total, len(apis), len(acts)))
-        state.update((float(total), sorted(apis), sorted(acts)))
-        yield pd.DataFrame(rows, columns=["run_id", "event_id", "cum_reward", "unique_apis", "unique_activities"])
-    t = df.schema["run_id"].dataType.simpleString()
-    return _stateful(df.select("run_id", "ts", "event_id", "reward", "api_list", "activity"), "run_id", fn,
-                     f"run_id {t}, event_id long, cum_reward double, unique_apis long, unique_activities long", "total double, apis array<string>, acts array<string>")
+    return ordered.ordered(df, ordered.Running(), "run_id", ["reward", "api_list", "activity"], "cum_reward double, unique_apis long, unique_activities long", delay)
 
 
 # --- late data ------------------------------------------------------------------------------------
@@ -219,17 +159,32 @@ def split_late(batch: DataFrame, seen_until, delay_s: float, ts: str = "ts") ->
 
 
 def write_with_late_table(stream: DataFrame, out: str, late_out: str, checkpoint: str, delay_s: float = 10, ts: str = "ts"):
-    """On-time rows to ``out``, late rows to a side table that the batch twin can pick up again.
+    """On-time rows to ``out``, late rows to a side table that ``repaired_windows`` picks up.
 
-    The watermark is the largest time of the batches already written, read back from the output, so it survives a
-    restart.
+    The largest time seen is a state row of its own per batch (below ``checkpoint``), so a batch reads one row of the batch
+    before it, a repeated batch finds what it found the first time, and no output is read again.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = None
-        if batch_id > 0:
-            seen = spark.read.parquet(out).filter(F.col("batch") < batch_id).agg(F.max(ts)).first()[0]
+        seen = spark.read.schema("seen timestamp").parquet(f"{checkpoint}-seen/batch={batch_id - 1}").first()[0] if batch_id > 0 else None
+        batch = batch.persist()
+        newest = batch.agg(F.max(ts)).first()[0]
+        known = max((t for t in (seen, newest) if t is not None), default=None)
+        spark.createDataFrame([(known,)], "seen timestamp").coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}-seen/batch={batch_id}")
         good, late = split_late(batch, seen, delay_s, ts)
         good.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{late_out}/batch={batch_id}")
+        batch.unpersist()
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def repaired_windows(on_time: DataFrame, late: DataFrame, keys: list[str], size: str, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """Window counts (keys, window_start, n) as the stream has them without late rows, and those of the windows that late
+    rows touch, counted again from the rows of these windows only."""
+    def placed(df):
+        return df.select(*keys, F.window(ts, size)["start"].alias("window_start"))
+
+    touched = placed(late).distinct()
+    again = placed(on_time).join(touched, [*keys, "window_start"], "left_semi").unionAll(placed(late))
+    count = [F.count("*").alias("n")]
+    return placed(on_time).groupBy(*keys, "window_start").agg(*count), again.groupBy(*keys, "window_start").agg(*count)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from privaudit.session import scratch_path
-from privaudit.streaming import live
+from privaudit.streaming import live, ordered
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,9 +20,17 @@ def batches(spark):
     return ev, spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
 
 
-def test_sampling_counts_across_batches(batches):
-    ev, stream = batches
-    got = {r.event_id for r in live.drain(live.sampled_stream(stream, "user_id", 4), "t").collect()}
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """Events in five batches whose times overlap by up to three hours, and the delay that covers it."""
+    ev = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3 * 3600)) * 1_000_000
+    return ev, live.replayed(ev, at, {"event_id": -1, "user_id": -1, "event_type": "closing"}), "4 hours"
+
+
+def test_sampling_counts_across_batches(shuffled):
+    ev, stream, delay = shuffled
+    got = {r.event_id for r in live.drain(live.sampled_stream(stream, "user_id", 4, delay), "t").collect()}
     seen, want = {}, set()
     for r in ev.orderBy("ts", "event_id").collect():
         seen[r.user_id] = seen.get(r.user_id, 0) + 1
@@ -31,21 +39,23 @@ def test_sampling_counts_across_batches(batches):
     assert got == want
 
 
-def test_rate_limit_across_batches(batches):
-    ev, stream = batches
-    got = {r.event_id for r in live.drain(live.rate_limited_stream(stream, "event_type", 3_600_000), "t").collect()}
-    last, want = {}, set()
-    for r in ev.orderBy("ts", "event_id").collect():
-        if r.event_type not in last or int(r.ts.timestamp() * 1000) - last[r.event_type] >= 3_600_000:
-            want.add(r.event_id)
-            last[r.event_type] = int(r.ts.timestamp() * 1000)
-    assert got == want
+def test_rate_limit_across_batches(shuffled):
+    ev, stream, delay = shuffled
+    for key, window in (("event_type", 3_600_000), ("user_id", 1000)):
+        got = {r.event_id for r in live.drain(live.rate_limited_stream(stream, key, window, delay), "t").collect()}
+        last, want = {}, set()
+        for r in ev.orderBy("ts", "event_id").collect():
+            ms = int(r.ts.timestamp() * 1_000_000) // 1000
+            if r[key] not in last or ms - last[r[key]] >= window:
+                want.add(r.event_id)
+                last[r[key]] = ms
+        assert got == want
 
 
-def test_consent_phases_across_batches(batches):
-    ev, stream = batches
+def test_consent_phases_across_batches(shuffled):
+    ev, stream, delay = shuffled
     calls = stream.select(F.col("user_id").alias("package"), "ts", "event_id", F.col("event_type").alias("api"))
-    got = {r.event_id: (r.phase, r.gates) for r in live.drain(live.consent_stream(calls, "signup"), "t").collect()}
+    got = {r.event_id: (r.phase, r.gates) for r in live.drain(live.consent_stream(calls, "signup", delay=delay), "t").collect()}
     g, want = {}, {}
     for r in ev.orderBy("ts", "event_id").collect():
         if r.event_type == "signup":
@@ -55,6 +65,27 @@ def test_consent_phases_across_batches(batches):
     assert got == want
 
 
+def test_state_keeps_rows_of_one_delay_and_forgets_windows(spark, shuffled):
+    """What is left in the state after the last batch: the closing row, no window of the rate limit, no held rows of events."""
+    ev, stream, delay = shuffled
+    for k, v in ordered.ROCKSDB.items():
+        spark.conf.set(k, v)
+    out, state = scratch_path(spark, "forget"), scratch_path(spark, "forget-state")
+    limited = live.rate_limited_stream(stream, "user_id", 1000, delay)
+    q = limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(held) < 4 * ev.count() and held[-1] <= 8
+
+
+def test_tokens_are_kept_as_long_as_asked(spark):
+    rows = [("p", 0, 1, "in", "key=abcdefgh"), ("p", 5, 2, "out", "x abcdefgh y"), ("p", 500, 3, "out", "abcdefgh"), ("q", 1, 4, "out", "abcdefgh"), ("p", 501, 5, "out", None)]
+    df = spark.createDataFrame(rows, "package string, s long, seq long, role string, text string").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
+    for keep, want in ((None, {2, 3}), (60_000, {2})):
+        stream = live.replayed(df, -F.unix_micros("ts"), {"package": "closing", "seq": -1}, 3)
+        assert {r.seq for r in live.drain(live.token_stream(stream, "[a-z]{8,}", "20 minutes", keep), "t").collect()} == want
+
+
 def test_windows_and_late_rows(spark, batches):
     ev, stream = batches
     calls = stream.select(F.col("user_id").alias("package"), F.col("event_type").alias("api"), "ts")
