@@ -237,28 +237,19 @@ def flatten_payload(df: DataFrame, payload="payload", meta="meta", depth: int =
     opened too. Every level is opened, in a loop inside the row; ``too_deep`` only marks leaves that lie more than ``depth``
     levels down, and text that starts like structure and is none.
     """
-    trimmed = F.trim(F.try_validate_utf8(_col(payload).cast("string")))
-    looks_xml = F.coalesce(trimmed.rlike(r"^(<\?xml[^>]*\?>\s*)?<[A-Za-z_][\w:.-]*[\s/>]") & trimmed.endswith(">"), F.lit(False))
-    # two branches, so that the XML parser is not part of the generated code of all other rows
-    return _flattened(df.filter(~looks_xml), payload, meta, depth, False).unionByName(_flattened(df.filter(looks_xml), payload, meta, depth, True))
-
-
-def _flattened(df: DataFrame, payload, meta, depth: int, xml: bool) -> DataFrame:
     out = df.withColumn("_text", F.try_validate_utf8(_col(payload).cast("string")))
     text, trimmed = F.col("_text"), F.trim("_text")
+    looks_xml = trimmed.rlike(r"^(<\?xml[^>]*\?>\s*)?<[A-Za-z_][\w:.-]*[\s/>]") & trimmed.endswith(">")
+    looks_json = trimmed.startswith("{") & trimmed.endswith("}") & F.from_json(trimmed, "map<string,string>").isNotNull()
+    root = F.regexp_extract(F.regexp_replace(trimmed, r"^<\?xml[^>]*\?>\s*", ""), r"^<([A-Za-z_][\w:.-]*)", 1)
+    # inside a lambda, since generated code of from_xml to a variant does not compile
+    parsed = F.transform(F.when(looks_xml, F.array(trimmed)), lambda x: F.to_json(F.from_xml(x, "variant", {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"})))
+    out = out.withColumn("_json", parsed[0])
+    out = out.withColumn("_kind", F.when(looks_json, "J").when(F.col("_json").isNotNull(), "X").when(text.rlike("^[^&=]*=[^&]") & ~F.coalesce(looks_xml, F.lit(False)), "U").otherwise("-"))
+    out = out.withColumn("_nodes", F.when(F.col("_kind") == "J", _json_nodes("J", trimmed)).when(F.col("_kind") == "U", _query_nodes(text))
+                         .when(F.col("_kind") == "X", F.array(F.struct(F.concat(F.lit("X>"), root).alias("p"), F.col("_json").alias("s")))))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("p"), text.alias("s"), F.lit(0).alias("level"), F.lit(False).alias("open")))
-    if xml:
-        root = F.regexp_extract(F.regexp_replace(trimmed, r"^<\?xml[^>]*\?>\s*", ""), r"^<([A-Za-z_][\w:.-]*)", 1)
-        # inside a lambda, since generated code of from_xml to a variant does not compile
-        parsed = F.transform(F.array(trimmed), lambda x: F.to_json(F.from_xml(x, "variant", {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"})))
-        out = out.withColumn("_json", parsed[0])
-        out = out.withColumn("_nodes", F.when(F.col("_json").isNotNull(), F.array(F.struct(F.concat(F.lit("X>"), root).alias("p"), F.col("_json").alias("s")))))
-        nodes = F.coalesce("_opened", whole)  # what is no XML after all is a text
-    else:
-        looks_json = trimmed.startswith("{") & trimmed.endswith("}") & F.from_json(trimmed, "map<string,string>").isNotNull()
-        out = out.withColumn("_kind", F.when(looks_json, "J").when(text.rlike("^[^&=]*=[^&]"), "U").otherwise("-"))
-        out = out.withColumn("_nodes", F.when(F.col("_kind") == "J", _json_nodes("J", trimmed)).when(F.col("_kind") == "U", _query_nodes(text)))
-        nodes = F.when(F.col("_kind") == "J", F.col("_opened")).when(F.col("_kind") == "U", F.concat(whole, F.col("_opened"))).otherwise(whole)
+    nodes = F.when(F.col("_kind").isin("J", "X"), F.col("_opened")).when(F.col("_kind") == "U", F.concat(whole, F.col("_opened"))).otherwise(whole)
     out = out.withColumn("_opened", F.expr(_expanded("_nodes")))
     tag = F.when(_col(meta).isNotNull() & F.col("_n.p").isNotNull(), F.concat(_col(meta), F.lit("@"), F.lower("_n.p"))) \
         .otherwise(F.coalesce(F.lower("_n.p"), _col(meta)))

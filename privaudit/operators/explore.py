@@ -67,10 +67,10 @@ def stuck_runs(steps: DataFrame, keys: list[str], order: list[str], hot_rows: in
     p = running(base, keys, order, [Running("_prev_state", "prev", F.col("state_id"))], hot_rows)
     vote = stuck_vote(F.col("state_id") == F.col("_prev_state"), "xml_score", "img_same")
     p = p.withColumn("is_stuck", vote & ~F.coalesce("recovered", F.lit(False))).drop("_prev_state")
-    q = running(p, keys, order, [Running("_was", "prev", F.col("is_stuck"))], hot_rows)
-    r = run_lengths(q, keys, order, F.col("_was").isNull() | (F.col("_was") != F.col("is_stuck")), "_len", hot_rows=hot_rows)
-    n = F.when(F.col("is_stuck"), F.col("_len")).otherwise(0)
-    return r.withColumn("was_stuck", F.coalesce("_was", F.lit(False))).withColumn("stuck_run", n).withColumn("trapped", n >= trapped_at).drop("_was", "_len", "_chunk")
+    stuck = F.coalesce("is_stuck", F.lit(False))
+    q = running(p, keys, order, [Running("_was", "prev", stuck), Running("_n", "count"), Running("_free", "mark", ~stuck)], hot_rows)
+    n = F.when(F.col("is_stuck"), F.col("_n") - F.coalesce("_free", F.lit(0))).otherwise(0)
+    return q.withColumn("was_stuck", F.coalesce("_was", F.lit(False))).withColumn("stuck_run", n).withColumn("trapped", n >= trapped_at).drop("_was", "_n", "_free", "_chunk", "_split")
 
 
 def step_scores(stuck: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,7 +92,7 @@ def repeat_runs(steps: DataFrame, keys: list[str], order: list[str], action: str
     p = running(base, keys, order, [Running("_prev", "prev", F.col(action)), Running("_n", "count")], hot_rows)
     p = p.withColumn("_s", (F.col("_n") == 1) | ~F.col("_prev").eqNullSafe(F.col(action))).drop("_n", "_prev")
     r = run_lengths(p, keys, order, F.col("_s"), "_len", hot_rows=hot_rows)
-    return r.withColumn("repeat_count", F.col("_len") - 1).drop("_len", "_s", "_chunk")
+    return r.withColumn("repeat_count", F.col("_len") - 1).drop("_len", "_s", "_chunk", "_split")
 
 
 def sample_every(df: DataFrame, keys: list[str], order: list[str], mod: int, hot_rows: int = HOT_ROWS) -> DataFrame:

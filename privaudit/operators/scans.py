@@ -20,7 +20,8 @@ HOT_ROWS = 5_000_000
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``sum``, ``count``, ``last`` (latest non-null) or ``prev`` (previous row)."""
+    """One running value: ``sum``, ``count``, ``last`` (latest non-null), ``prev`` (previous row) or ``mark`` (number, from the
+    group's first row on, of the latest row where the expression is true)."""
 
     out: str
     kind: str
@@ -39,7 +40,8 @@ GRID = 1024
 
 
 def split_hot_groups(df: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary groups, else the number of the group's chunk along the ordering column.
+    """Add ``_chunk``: 0 for ordinary groups, else the number of the group's chunk along the ordering column; and ``_split``,
+    whether the group is cut at all.
 
     A group of n rows is cut into ceil(n / hot_rows) chunks, so a group just above the limit gets two and not as many
     as the largest one. Sizes and bounds stay DataFrames: nothing is counted or collected on the driver, and where no
@@ -54,7 +56,7 @@ def split_hot_groups(df: DataFrame, keys: list[str], position: str, hot_rows: in
     joined = placed.alias("d").join(bounds.alias("h"), same, "left")
     step = F.size(F.filter(F.col("h._bounds"), lambda b: F.col("_pos") > b))
     chunk = F.when(F.col("h._bounds").isNull(), F.lit(0)).otherwise(F.floor(step * F.col("h._chunks") / GRID).cast("int"))
-    return joined.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], chunk.alias("_chunk"))
+    return joined.select(*[F.col(f"d.{c}").alias(c) for c in df.columns], chunk.alias("_chunk"), F.col("h._bounds").isNotNull().alias("_split"))
 
 
 def prepare(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -66,13 +68,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running
             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running values per group in the given order (first ordering column: number or timestamp).
 
-    A frame that already carries ``_chunk`` keeps it.
+    All values are the state of one scan: each chunk is scanned once, the state at its last row is combined over the
+    earlier chunks of its group, and that is added to the rows. Only groups that are cut have such states: without any,
+    that side of the plan is empty, and AQE drops it together with the scan below it. A frame that already carries
+    ``_chunk`` keeps it.
     """
     base = prepare(df, keys, order, hot_rows)
     part = [*keys, "_chunk"]
     w = W.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    tie = F.struct(*[F.col(o) for o in order])
 
     def operand(a):
         return F.lit(1).cast("long") if a.kind == "count" else (
@@ -80,23 +84,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running
 
     local = {"sum": lambda a: F.sum(operand(a)).over(upto), "count": lambda a: F.sum(operand(a)).over(upto),
              "last": lambda a: F.last(operand(a), ignorenulls=True).over(upto),
-             "prev": lambda a: F.lag(operand(a)).over(w)}
-    total = {"sum": lambda a: F.sum(operand(a)), "count": lambda a: F.sum(operand(a)),
-             "last": lambda a: F.max_by(operand(a), F.when(operand(a).isNotNull(), tie)),
-             "prev": lambda a: F.max_by(operand(a), tie)}
-    per_chunk = base.groupBy(*part).agg(*[total[a.kind](a).alias(f"_t_{a.out}") for a in aggs],
-                                        F.max("_chunk").alias("_c"))
+             "prev": lambda a: F.lag(operand(a)).over(w),
+             "mark": lambda a: F.last(F.when(operand(a), F.col("_rn")), ignorenulls=True).over(upto)}
+
+    def scanned(rows):
+        own = rows.select("*", F.row_number().over(w).cast("long").alias("_rn"))
+        return own.select("*", *[local[a.kind](a).alias(f"_l_{a.out}") for a in aggs])
+
+    # the state at the end of each chunk: the running values of its last row
+    end = F.struct(*[(operand(a) if a.kind == "prev" else F.col(f"_l_{a.out}")).alias(a.out) for a in aggs])
+    cut = base.filter("_split") if "_split" in base.columns else base
+    ends = scanned(cut).groupBy(*part).agg(F.max_by(end, "_rn").alias("_end"), F.max("_rn").alias("_size"))
     before = W.partitionBy(*keys).orderBy("_chunk")
     earlier = before.rowsBetween(W.unboundedPreceding, -1)
-    carry_of = {"sum": lambda a: F.sum(f"_t_{a.out}").over(earlier),
-                "count": lambda a: F.sum(f"_t_{a.out}").over(earlier),
-                "last": lambda a: F.last(f"_t_{a.out}", ignorenulls=True).over(earlier),
-                "prev": lambda a: F.lag(f"_t_{a.out}").over(before)}
-    # only split groups have a chunk above zero: at most 2 * rows / hot_rows rows, joined by their key like any others
-    carry = per_chunk.select(*part, *[carry_of[a.kind](a).alias(f"_b_{a.out}") for a in aggs]).filter("_chunk > 0")
-    scanned = base.select("*", F.row_number().over(w).alias("_rn"), *[local[a.kind](a).alias(f"_l_{a.out}") for a in aggs])
+    ends = ends.withColumn("_rows", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    carry_of = {"sum": lambda a: F.sum(f"_end.{a.out}").over(earlier), "count": lambda a: F.sum(f"_end.{a.out}").over(earlier),
+                "last": lambda a: F.last(f"_end.{a.out}", ignorenulls=True).over(earlier), "prev": lambda a: F.lag(f"_end.{a.out}").over(before),
+                "mark": lambda a: F.last(F.col("_rows") + F.col(f"_end.{a.out}"), ignorenulls=True).over(earlier)}
+    # at most 2 * rows / hot_rows rows, joined by their key like any others
+    carry = ends.select(*part, "_rows", *[carry_of[a.kind](a).alias(f"_b_{a.out}") for a in aggs]).filter("_chunk > 0")
     on = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in part]
-    joined = scanned.alias("s").join(carry.alias("b"), on, "left")
+    joined = scanned(base).alias("s").join(carry.alias("b"), on, "left")
 
     def merged(a):
         loc, bef = F.col(f"_l_{a.out}"), F.col(f"_b_{a.out}")
@@ -104,6 +112,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Running
             return loc + F.coalesce(bef, F.lit(0))
         if a.kind == "last":
             return F.coalesce(loc, bef)
+        if a.kind == "mark":
+            return F.coalesce(loc + F.coalesce(F.col("b._rows"), F.lit(0)), bef)
         return F.when(F.col("_rn") == 1, bef).otherwise(loc)
 
     return joined.select(*[F.col(f"s.{c}").alias(c) for c in df.columns], *[merged(a).alias(a.out) for a in aggs])
@@ -116,16 +126,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
 
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "run_pos",
                 run_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Position inside the current run, where ``starts`` marks the first row of a run."""
-    base = prepare(df, keys, order, hot_rows)
-    flagged = base.withColumn("_start", F.coalesce(starts, F.lit(False)))
-    first = running(flagged, keys, order, [Running("_n", "count"), Running("_run", "sum", F.col("_start").cast("int"))],
-                    hot_rows)
-    second = running(first, keys, order, [Running("_n0", "last", F.when(F.col("_start"), F.col("_n")))], hot_rows)
-    res = second.withColumn(out, F.col("_n") - F.coalesce(F.col("_n0"), F.lit(1)) + 1)
-    if run_id:
-        res = res.withColumnRenamed("_run", run_id)
-    return res.drop("_start", "_n", "_n0", "_run", *([] if "_chunk" in df.columns else ["_chunk"]))
+    """Position inside the current run, where ``starts`` marks the first row of a run; one scan."""
+    start = F.coalesce(starts, F.lit(False))
+    aggs = [Running("_n", "count"), Running("_n0", "mark", start), *([Running("_run", "sum", start.cast("int"))] if run_id else [])]
+    res = running(df, keys, order, aggs, hot_rows).withColumn(out, F.col("_n") - F.coalesce(F.col("_n0"), F.lit(1)) + 1)
+    return (res.withColumnRenamed("_run", run_id) if run_id else res).drop("_n", "_n0")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, tie: str, right_cols: list[str],
