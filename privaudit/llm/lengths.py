@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from privaudit.llm import bpe
+from privaudit.llm.tables import written
 
 RANGE = 1024
 
@@ -38,6 +39,7 @@ def limits(hist: DataFrame) -> DataFrame:
     Between two lengths in the table the documents that fit do not change, and the truncated total is that of the row
     below plus (limit - its length) * its ``docs_longer``.
     """
+    hist = written(hist, "lengths")  # at most one row per length, and the encoding behind it runs once
     h = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     down = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
