@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privaudit.llm.tables import BATCH_BYTES, keyed
+from privaudit.llm.tables import BATCH_BYTES, keyed, released
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker remembers; when there are more, it starts anew.
@@ -271,7 +271,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
             same = [d == (t or "").encode("utf-8", "surrogatepass") for d, t in zip(decoded, texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.binary()), pa.array(same, type=pa.bool_())], names=["doc_id", "ids", "decoded", "same"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary, same boolean")
+    return keyed(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, ids binary, decoded binary, same boolean")
 
 
 def n_tokens() -> F.Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from privaudit.llm.tables import keyed, rows_and_texts, written
+from privaudit.llm.tables import keyed, released, rows_and_texts, written
 
 #: Characters that count as symbols, and common short words of the four languages.
 SYMBOLS = "#*$%&|<>"
@@ -183,5 +183,5 @@ def keep_good(docs: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col
             yield pa.RecordBatch.from_arrays([row, *_table(texts)], names=["row", *FEATURES])
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(f, T.LongType()) for f in FEATURES)])
-    measured = rows.mapInArrow(run, schema).withColumn("votes", pattern(rules))
+    measured = rows.mapInArrow(released(run), schema).withColumn("votes", pattern(rules))
     return _judged(measured, posterior, threshold).where("kept").select("row.*")
