@@ -83,13 +83,13 @@ def drop_written(df: DataFrame) -> None:
 
 
 #: Bits of the filter of ``maybe_in``, and of a piece of it.
-SIEVE_BITS, PIECE_BITS = 1 << 26, 1 << 20
+SIEVE_BITS, PIECE_BITS = 1 << 24, 1 << 20
 
 
 def maybe_in(keys: DataFrame, h: str, own: Column) -> Column:
     """Whether the hash ``own`` may be among the hashes in column ``h`` of ``keys``: always true for those that are.
 
-    A bitmap of fixed size (8 MB), so it is broadcast whatever the number of keys; with very many keys it lets all rows
+    A bitmap of fixed size (2 MB), so it is broadcast whatever the number of keys; with very many keys it lets all rows
     through. It goes before an exact join, which then shuffles only the rows that may match.
     """
     spark = keys.sparkSession
@@ -100,7 +100,7 @@ def maybe_in(keys: DataFrame, h: str, own: Column) -> Column:
         return pa.table({"piece": pa.array([key[0].as_py()], type=pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())})
 
     slots = keys.select(F.pmod(F.col(h), F.lit(SIEVE_BITS)).alias("slot")).distinct()
-    pieces = {r["piece"]: bytes(r["bits"]) for r in slots.groupBy(F.expr(f"slot div {PIECE_BITS}").alias("piece")).applyInArrow(piece, "piece long, bits binary").collect()}  # 8 MB at most
+    pieces = {r["piece"]: bytes(r["bits"]) for r in slots.groupBy(F.expr(f"slot div {PIECE_BITS}").alias("piece")).applyInArrow(piece, "piece long, bits binary").collect()}  # 2 MB at most
     bitmap = b"".join(pieces.get(k, bytes(PIECE_BITS // 8)) for k in range(SIEVE_BITS // PIECE_BITS)) if pieces else b""
     held = spark.createDataFrame([(bytearray(bitmap),)], "bits binary").select("bits").scalar()
     slot = F.pmod(own, F.lit(SIEVE_BITS))
