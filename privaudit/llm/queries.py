@@ -48,11 +48,13 @@ d AS (SELECT DISTINCT array_to_string(list_slice(string_split(k, '.'), -2, -1),
 e AS (SELECT 'hosts' AS list, 'block' AS verdict, 'add' AS action, k, DATE '2024-01-01' + 9 * {d2} AS day FROM h WHERE {d1} < 8 UNION ALL
   SELECT 'hosts', 'block', 'remove', k, DATE '2024-01-01' + 9 * {d2} + 20 + 9 * {d3} FROM h WHERE {d1} < 4 UNION ALL
   SELECT 'hosts', 'block', 'add', k, DATE '2024-01-01' + 9 * {d2} + 70 + 18 * {d3} FROM h WHERE {d1} < 2 UNION ALL
+  SELECT 'hosts', 'allow', 'add', k, DATE '2024-01-01' + 9 * {d2} + 45 + 9 * {d3} FROM h WHERE {d1} BETWEEN 4 AND 5 UNION ALL
   SELECT 'domains', 'block', 'add', k, DATE '2024-01-01' + 15 * {d2} FROM d WHERE {d1} < 4 UNION ALL
   SELECT 'sections', 'allow', 'add', k, DATE '2024-01-01' + 12 * {d2} FROM s WHERE {d1} < 6 UNION ALL
   SELECT 'sections', 'allow', 'remove', k, DATE '2024-01-01' + 12 * {d2} + 60 FROM s WHERE {d1} < 3),
 t AS (SELECT list, k, day, max(verdict) AS verdict, bool_and(action = 'add') AS active FROM e GROUP BY 1, 2, 3),
-u AS (SELECT *, lag(active) OVER w AS was FROM t WINDOW w AS (PARTITION BY list, k ORDER BY day)), v AS (SELECT *, lead(day) OVER (PARTITION BY list, k ORDER BY day) AS until FROM u WHERE was IS NULL OR was <> active),
+n AS (SELECT *, CASE WHEN active THEN '+' || coalesce(verdict, '') ELSE '-' END AS now FROM t), u AS (SELECT *, lag(now) OVER w AS was FROM n WINDOW w AS (PARTITION BY list, k ORDER BY day)),
+v AS (SELECT *, lead(day) OVER (PARTITION BY list, k ORDER BY day) AS until FROM u WHERE was IS NULL OR was <> now),
 i AS (SELECT list, verdict, k, day AS since, until FROM v WHERE active),
 a AS (SELECT DISTINCT url, day, host, steps FROM p WHERE host <> ''),
 x AS (SELECT url, day, unnest(list_distinct(list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(list_slice(string_split(host, '.'), n, 1000), '.')),
@@ -75,7 +77,9 @@ def url_filters(spark, sf):
 
     two, three = digit("key", 2), digit("key", 3)
     dated = (entries(host, "hosts", "block", "add", 8, 9 * two).unionAll(entries(host, "hosts", "block", "remove", 4, 9 * two + 20 + 9 * three))
-             .unionAll(entries(host, "hosts", "block", "add", 2, 9 * two + 70 + 18 * three)).unionAll(entries(domain, "domains", "block", "add", 4, 15 * two))
+             .unionAll(entries(host, "hosts", "block", "add", 2, 9 * two + 70 + 18 * three))
+             .unionAll(entries(host.where(digit("key", 1) >= 4), "hosts", "allow", "add", 6, 9 * two + 45 + 9 * three))  # the verdict of a listed host changes
+             .unionAll(entries(domain, "domains", "block", "add", 4, 15 * two))
              .unionAll(entries(section, "sections", "allow", "add", 6, 12 * two)).unionAll(entries(section, "sections", "allow", "remove", 3, 12 * two + 60)))
     return urls.decide(captures, dated)
 

@@ -11,8 +11,10 @@ each; its size is bounded by the length of the calendar. Joins back to the captu
 where a key is hot. Nothing is broadcast by hand.
 
 Null or unparsable urls and null days match nothing. Several actions of a list on a key in one day count as one, a removal
-last. Entries with a null key, list or day are no entries. Repeated captures get the same decision each; empty tables on
-either side are fine; other columns of the captures stay.
+last; of different verdicts added that day "block" holds. An entry that adds a key again with another verdict ends the
+interval before it. Entries with a null key, list or day are no entries. Repeated captures get the same decision each;
+empty tables on either side are fine. Other columns of the captures stay, whatever their names, but for columns called
+like one of the four of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     daily = (entries.where("key is not null and list is not null and day is not null")
              .groupBy("list", "key", "day").agg(F.max("verdict").alias("verdict"), F.min(F.col("action") == "add").alias("active")))
     w = Window.partitionBy("list", "key").orderBy("day")
-    turns = daily.withColumn("was", F.lag("active").over(w)).where(F.col("was").isNull() | (F.col("was") != F.col("active")))
+    now = F.when(F.col("active"), F.concat(F.lit("+"), F.coalesce("verdict", F.lit("")))).otherwise("-")
+    turns = daily.withColumn("was", F.lag(now).over(w)).where(F.col("was").isNull() | (F.col("was") != now))
     return turns.withColumn("until", F.lead("day").over(w)).where("active").select("list", "verdict", "key", F.col("day").alias("since"), "until")
 
 
@@ -62,8 +65,9 @@ def decide(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_co
     keyed = asked.withColumn("key", F.explode(keys_of("url")))
     hits = keyed.join(active(keyed.select("key", "day").distinct(), entries), ["key", "day"])
     best = F.max_by(F.struct("verdict", "list", "key", "since"), F.struct(F.length("key"), (F.col("verdict") == "allow").alias("a"), "list", "since"))
-    chosen = hits.groupBy("url", "day").agg(best.alias("__best")).select(F.col("url").alias("__url"), F.col("day").alias("__day"), "__best")
-    joined = captures.join(chosen, (captures[url_col] == F.col("__url")) & (captures[day_col].cast("date") == F.col("__day")), "left")
-    clash = [c for c in captures.columns if c not in ("decision", "matched_list", "matched_key", "matched_since")]
-    return joined.select(*(captures[c] for c in clash), F.coalesce("__best.verdict", F.lit("none")).alias("decision"), F.col("__best.list").alias("matched_list"),
-                         F.col("__best.key").alias("matched_key"), F.col("__best.since").alias("matched_since"))
+    chosen = hits.groupBy("url", "day").agg(best.alias("best"))
+    rows = captures.select(F.struct("*").alias("row"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day"))
+    stay = [c for c in captures.columns if c not in ("decision", "matched_list", "matched_key", "matched_since")]
+    return rows.join(chosen, ["url", "day"], "left").select(
+        *(F.col("row").getField(c).alias(c) for c in stay), F.coalesce("best.verdict", F.lit("none")).alias("decision"), F.col("best.list").alias("matched_list"),
+        F.col("best.key").alias("matched_key"), F.col("best.since").alias("matched_since"))
