@@ -2,12 +2,12 @@
 that every shard is a compact region of all dimensions and its file statistics prune by each of them.
 
 The law held is ``rows``: shard sizes are at most one row apart. Ranks are global but no task orders everything: rows are
-counted per cell of the curve and slice of a cell (at most 4,096 x 64 counts), the counts are summed up along the curve,
-and rows are numbered inside their slice. A cell that holds a third of all rows is 64 slices.
+counted per cell of the curve (at most 4,096 counts), a cell is cut into as many slices as keep each at about ``SLICE_ROWS``
+rows whatever the cell holds, the slices' counts are summed up along the curve, and rows are numbered inside their slice.
 
 Null texts have no bytes (size 1, CRC of the empty string); a null source or language is quantised as 0; null ids sort
 first; repeated rows get slots of their own; an empty table gives an empty result. Other columns are ignored by
-``assign`` and kept by ``write_shards``.
+``assign`` and kept by ``write_shards``, but for a column ``shard``, which the number of the shard replaces.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from privaudit.llm.tables import written
 
-BITS, SLICES = 4, 64
+BITS = 4
+#: Rows that one task numbers.
+SLICE_ROWS = 1 << 18
 
 
 def hilbert_index(coordinates: str, dims: int, bits: int) -> Column:
@@ -44,7 +46,7 @@ def hashed(c: str) -> Column:
     return F.when(F.col(c).isNull(), 0).otherwise(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 1), 16, 10).cast("long"))
 
 
-def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, str] = ("source", "lang")) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, str] = ("source", "lang"), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, h (curve index), shard and slot, gapless from 0."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -52,8 +54,9 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     scale = F.least(F.floor(F.log2(size.cast("double"))), F.lit(15)).cast("long")
     facts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
                                 (hashed(categories[0]) * 256 + hashed(categories[1]) * 16 + scale).alias("cell"))
-                    .withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLICES)).cast("int")), "hilbert")
-    rows = facts.join(F.broadcast(curve(spark)), "cell")  # 4,096 rows
+                    .withColumn("dealt", F.xxhash64("doc_id", "text_crc32")), "hilbert")
+    held = facts.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    rows = facts.join(F.broadcast(held.join(F.broadcast(curve(spark)), "cell")), "cell").withColumn("slice", F.pmod("dealt", "slices"))  # 4,096 rows
     counts = rows.groupBy("h", "slice").agg(F.count("*").alias("n"))
     along = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.groupBy("h").agg(F.sum("n").alias("n")).select("h", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
@@ -69,6 +72,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", **options) -> None:
     """Write ``docs`` under ``path``/shard=n, each shard in the order of the curve; ids must be unique."""
-    placed = assign(docs, shards, id_col=id_col, **options).select(F.col("doc_id").alias("__id"), "shard", F.col("slot").alias("__slot"))
-    rows = docs.join(placed, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    rows.repartitionByRange("shard", "__slot").sortWithinPartitions("shard", "__slot").drop("__id", "__slot").write.partitionBy("shard").parquet(path)
+    placed = assign(docs, shards, id_col=id_col, **options).select("doc_id", "shard", "slot")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    rows = rows.join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"), "shard").write.partitionBy("shard").parquet(path)
