@@ -106,6 +106,20 @@ def test_url_filters(spark):
     assert {r["decision"] for r in urls.decide(pages, entries.limit(0)).collect()} == {"none"}
 
 
+def test_a_later_entry_changes_the_verdict(spark):
+    import datetime as dt
+    entries = spark.createDataFrame([("l", v, a, k, dt.date(2024, m, 1)) for v, a, k, m in (
+        ("block", "add", "b.com", 1), ("allow", "add", "b.com", 2), ("allow", "add", "b.com", 3), ("block", "add", "b.com", 4), ("allow", "remove", "b.com", 5), ("allow", "add", "b.com", 6),
+        (None, "add", "c.com", 1), ("block", "add", "c.com", 2), ("allow", "add", "c.com", 2))], "list string, verdict string, action string, key string, day date")
+    rows = [("b.com", m, w) for m, w in ((1, "block"), (2, "allow"), (3, "allow"), (4, "block"), (5, "none"), (6, "allow"))] + [("c.com", 1, "none"), ("c.com", 2, "block")]
+    captures = spark.createDataFrame([(f"http://{k}/", dt.date(2024, m, 9), w, f"{k}{m}", "best") for k, m, w in rows], "url string, day date, decision string, __url string, `__best` string")
+    got = urls.decide(captures, entries)
+    assert got.columns == ["url", "day", "__url", "__best", "decision", "matched_list", "matched_key", "matched_since"]
+    same([(r["__url"], r["decision"]) for r in got.collect()], [(f"{k}{m}", w) for k, m, w in rows])
+    since = {r["__url"]: r["matched_since"].month for r in got.where("matched_since is not null").collect()}
+    assert since["b.com3"] == 2 and since["b.com4"] == 4 and since["b.com6"] == 6
+
+
 def test_warc(spark):
     rows = [(1, "u1", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u3", None), (4, "u4\r\nX: y", ""), (5, "u5", "other"), (None, "u6", "<p>é</p>"), (None, "u7", "alone"), (2, "u8", "<p>é</p>")]
     pages = spark.createDataFrame([(*r, b"p", "h") for r in rows], "page_id long, url string, html string, payload binary, header string")
@@ -120,6 +134,12 @@ def test_warc(spark):
         assert rest[length:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\nWARC-Type: ")
         body = rest[:length].partition(b"\r\n\r\n")[2]
         assert body == (b"" if r["page_id"] == 1 else b"other") and bytes(r["payload"]) == ("<p>é</p>".encode() if r["page_id"] == 1 else b"other")
+    # parsed from the records' bytes alone; line ends of a url cannot become header lines
+    told = {r["page_id"]: (r["target_uri"], r["payload_digest"]) for r in warc.parsed(warc.records(spark, folder).select("record")).where("page_id <> 2").collect()}
+    import base64
+    import hashlib
+    digest = lambda html: base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+    assert told == {i: ((u or "").replace("\r", "%0D").replace("\n", "%0A"), digest(h)) for i, u, h in rows if i not in (2, None)}
     small = scratch_path(spark, "warc-test")
     warc.write_archive(pages, small, min_bytes=6)
     assert {r["page_id"] for r in warc.read_archive(spark, small).where("record_type = 'revisit'").collect()} == {1, None}
@@ -274,6 +294,10 @@ def test_hilbert(spark, odd, none):
     sizes = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(8)]
     assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
     assert hilbert.assign(none).collect() == []
+    # a cell of very many rows is cut into more slices; ranks stay gapless and go along the curve
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("source"), F.lit("en").alias("lang"))
+    cut = sorted((r["shard"], r["slot"], r["h"]) for r in hilbert.assign(many, slice_rows=50).collect())
+    assert [(s, k) for s, k, _ in cut] == [(s, k) for s in range(8) for k in range(375)] and [h for *_, h in cut] == sorted(h for *_, h in cut)
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 1), (2, 4), (3, 3), (3, 4)])
@@ -287,8 +311,11 @@ def test_hilbert_curve_visits_neighbours(spark, dims, bits):
 def test_write_shards(spark, odd):
     _, df = odd
     path = scratch_path(spark, "shards")
-    hilbert.write_shards(df.where("doc_id is not null").dropDuplicates(["doc_id"]).drop("shard"), path)
-    assert spark.read.parquet(path).groupBy("shard").count().count() == 8
+    docs = df.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({"shard": F.lit("x"), "__id": F.lit("y"), "slot": F.lit(-1)})
+    hilbert.write_shards(docs, path)
+    got = spark.read.parquet(path)
+    assert got.groupBy("shard").count().count() == 8 and set(got.columns) == set(docs.columns)
+    assert got.where("`__id` = 'y' and slot = -1").count() == docs.count()
 
 
 def test_pipeline(spark, tmp_path):
