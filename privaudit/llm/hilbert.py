@@ -2,7 +2,7 @@
 that every shard is a compact region of all dimensions and its file statistics prune by each of them.
 
 The law held is ``rows``: shard sizes are at most one row apart. Ranks are global but no task orders everything: rows are
-counted per cell of the curve (at most 4,096 counts), a cell is cut into as many slices as keep each at about ``SLICE_ROWS``
+counted per cell of the curve (at most 4,096 counts), a cell is cut into 64 slices or as many as keep each at ``SLICE_ROWS``
 rows whatever the cell holds, the slices' counts are summed up along the curve, and rows are numbered inside their slice.
 
 Null texts have no bytes (size 1, CRC of the empty string); a null source or language is quantised as 0; null ids sort
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from privaudit.llm.tables import written
 
 BITS = 4
-#: Rows that one task numbers.
-SLICE_ROWS = 1 << 18
+#: Rows that one task numbers, and the least number of slices, so that a cell of fewer rows is dealt to several tasks too.
+SLICE_ROWS, LEAST_SLICES = 1 << 18, 64
 
 
 def hilbert_index(coordinates: str, dims: int, bits: int) -> Column:
@@ -55,7 +55,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     facts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
                                 (hashed(categories[0]) * 256 + hashed(categories[1]) * 16 + scale).alias("cell"))
                     .withColumn("dealt", F.xxhash64("doc_id", "text_crc32")), "hilbert")
-    held = facts.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    held = facts.groupBy("cell").agg(F.greatest(F.lit(LEAST_SLICES), F.ceil(F.count("*") / slice_rows)).alias("slices"))
     rows = facts.join(F.broadcast(held.join(F.broadcast(curve(spark)), "cell")), "cell").withColumn("slice", F.pmod("dealt", "slices"))  # 4,096 rows
     counts = rows.groupBy("h", "slice").agg(F.count("*").alias("n"))
     along = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
