@@ -132,6 +132,18 @@ def find_reports(apps: DataFrame, reports: DataFrame) -> DataFrame:
         .select("app_id", "b.name", "b.report_id")
 
 
+def runtime_evidence(apps: DataFrame, reports: DataFrame, summaries: DataFrame, calls: DataFrame) -> DataFrame:
+    """Report of each app with the API summary that lies beside it, if any, and the distinct APIs the app triggered.
+
+    ``apps``, ``reports``: as in :func:`find_reports`; ``summaries``: report_id and its facts; ``calls``: app_id, api.
+    The list of an app is bounded by the monitored APIs.
+    """
+    seen = calls.filter(~blank("api")).select("app_id", "api").distinct().groupBy("app_id").agg(F.array_sort(F.collect_list("api")).alias("triggered_apis"))
+    found = find_reports(apps, reports).join(summaries, "report_id", "left")
+    return apps.select("app_id").distinct().join(found, "app_id", "left").join(seen, "app_id", "left") \
+        .withColumn("triggered_apis", F.coalesce("triggered_apis", F.array().cast("array<string>")))
+
+
 def top_per_package(counts: DataFrame, key: str, n: int = 10, count: str = "n") -> DataFrame:
     """The ``n`` largest counts of every package, ties by key."""
     w = W.partitionBy("package").orderBy(F.desc(count), key)

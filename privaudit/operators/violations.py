@@ -158,3 +158,17 @@ def violation_report(violations: DataFrame) -> DataFrame:
     """One JSON document per package. Violations of a package are bounded by its data items and SDKs."""
     row = F.struct(*[c for c in violations.columns if c != "package"])
     return violations.groupBy("package").agg(F.count("*").alias("n_violations"), F.to_json(F.array_sort(F.collect_list(row))).alias("report"))
+
+
+def report_lines(violations: DataFrame) -> DataFrame:
+    """Text report of every package as rows: package, section, ord, line. Section 0 is the head, 1 the counts per type, 2 the violations.
+
+    A report stays a set of rows until it is written, so none is gathered in memory.
+    """
+    none = F.lit("")
+    per_type = violations.groupBy("package", "violation_type").agg(F.count("*").alias("n"), F.countDistinct("data_field").alias("k"))
+    head = per_type.groupBy("package").agg(F.sum("n").alias("n")).select("package", F.lit(0).alias("section"), none.alias("ord"), F.concat(F.lit("violations: "), F.col("n").cast("string")).alias("line"))
+    types = per_type.select("package", F.lit(1).alias("section"), F.col("violation_type").alias("ord"),
+                            F.concat(F.lit("  "), "violation_type", F.lit(": "), F.col("n").cast("string"), F.lit(" in "), F.col("k").cast("string"), F.lit(" fields")).alias("line"))
+    text = F.concat_ws(" | ", F.concat(F.lit("["), "severity", F.lit("] "), "violation_type"), "data_field", "category", "source", F.nullif("sdk_name", none), F.nullif("details", none))
+    return head.unionByName(types).unionByName(violations.select("package", F.lit(2).alias("section"), F.concat_ws("\x01", "violation_type", "data_field", "category", "source").alias("ord"), text.alias("line")))

@@ -2,6 +2,6 @@
 
 from privaudit.plans.registry import ORACLES, QUERIES
 
-from privaudit.plans import apis, crypto, explore, fleet, labels, leaks, rules, streams, text, widgets  # noqa: F401,E402
+from privaudit.plans import apis, crypto, explore, files, fleet, labels, leaks, rules, streams, text, widgets  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]

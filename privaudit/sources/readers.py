@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
 from privaudit import schemas
@@ -27,6 +28,27 @@ def read_strict(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(mode="FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of text files as (file, line_no, value); ``line_no`` counts from 1 and is exact however the file is split.
+
+    Splits are counted first (a row per file and split); a line's number is its place in its split plus the lines of
+    the splits before, so no file is read by one task as a whole.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("_id"), "value")
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    shift = splits.select("file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lines.join(shift, ["file", "_start"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "value")
+
+
+def bad_lines(spark: SparkSession, path, schema: str) -> DataFrame:
+    """File, number and text of the lines that do not parse: what :func:`read_strict` would fail on. Blank lines are no rows."""
+    parsed = numbered_lines(spark, path).filter(~blank("value")).withColumn(
+        "_bad", F.from_json("value", f"{schema}, {BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})[BAD])
+    return parsed.filter("_bad is not null").select("file", "line_no", "value")
+
+
 def split_rejects(df: DataFrame, bad: str = BAD) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the raw text of rows that did not parse."""
     return df.filter(F.col(bad).isNull()).drop(bad), df.filter(F.col(bad).isNotNull()).select(bad)
@@ -41,8 +63,8 @@ def parse_json_lines(lines: DataFrame, line: str, schema: str) -> DataFrame:
 
 
 def _with_origin(df: DataFrame) -> DataFrame:
-    """File facts: stage from the ``-N.txt`` suffix and package from the parent folder."""
-    f = F.col("_metadata.file_path")
+    """File facts: stage from the ``-N.txt`` suffix and package from the parent folder; a log may be a folder of part files."""
+    f = F.regexp_replace("_metadata.file_path", r"/part-[^/]*$", "")
     return (df.withColumn("source_file", F.col("_metadata.file_name"))
             .withColumn("package", F.regexp_extract(f, r"/([^/]+)/[^/]+$", 1))
             .withColumn("stage", F.regexp_extract(f, r"-([0-9]+)\.[a-z]+$", 1).try_cast("int")))
@@ -81,11 +103,11 @@ def read_fs_events(spark: SparkSession, root: str) -> DataFrame:
     return parse_json_lines(text_lines(spark, f"{root}/*/fs-*.txt"), "value", one).filter(F.col(BAD).isNull()).drop(BAD)
 
 
-def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """All ``leak.json`` reports below ``root``; unparsable files are skipped."""
+def read_reports(spark: SparkSession, root: str, pattern: str = "leak.json") -> DataFrame:
+    """All reports below ``root``, files named by ``pattern``; unparsable files are skipped."""
     df = (spark.read.schema(f"{schemas.LEAK_REPORT}, {BAD} STRING").option("multiLine", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "leak.json").json(root))
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+          .option("pathGlobFilter", pattern).json(root))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:package=)?([^/]+)/[^/]+$", 1)
     return df.withColumn("file", F.col("_metadata.file_path")).withColumn("package", F.coalesce("package", folder)).filter(F.col(BAD).isNull()).drop(BAD)
 
 
@@ -164,22 +186,38 @@ def policy_result_labels(items: DataFrame) -> DataFrame:
     return items.select("package", F.explode("label").alias("label")).distinct()
 
 
+def policy_documents(raw: DataFrame) -> DataFrame:
+    """Items of result documents: rows of an array as they are, an object with ``keywords_found`` as its names and its entities."""
+    other = [c for c in raw.columns if c not in ("keywords_found", "llm_entities", "text", "id", "label", "entities")]
+    direct = raw.filter("keywords_found is null").select(*other, "text", "id", "label", "entities")
+    whole = raw.filter("keywords_found is not null")
+    names = whole.select(*other, F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("id"), F.col("keywords_found").alias("label"),
+                         F.lit(None).cast("array<struct<text:string,label:string>>").alias("entities"))
+    inner = whole.select(*other, F.explode("llm_entities").alias("e")).select(*other, "e.*")
+    return direct.unionByName(names).unionByName(inner.select(*other, "text", "id", "label", "entities"))
+
+
+POLICY_OBJECT = "keywords_found ARRAY<STRING>, llm_entities ARRAY<STRUCT<text: STRING, id: ARRAY<INT>, label: ARRAY<STRING>, entities: ARRAY<STRUCT<text: STRING, label: STRING>>>>"
+
+
 def read_policy_result(spark: SparkSession, path: str, package: str) -> DataFrame:
     """JSONL, JSON array or JSON object with ``keywords_found``."""
     if path.endswith(".jsonl"):
         items = read_strict(spark, path, schemas.PREDICTED_LINE)
     else:
-        obj = "keywords_found ARRAY<STRING>, llm_entities ARRAY<STRUCT<text: STRING, id: ARRAY<INT>, label: ARRAY<STRING>, entities: ARRAY<STRUCT<text: STRING, label: STRING>>>>"
-        raw = spark.read.schema(f"{schemas.PREDICTED_LINE}, {obj}").option("multiLine", True).json(path)
-        direct = raw.filter("keywords_found is null").select("text", "id", "label", "entities")
-        whole = raw.filter("keywords_found is not null")
-        names = whole.select(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("id"), F.col("keywords_found").alias("label"),
-                             F.lit(None).cast("array<struct<text:string,label:string>>").alias("entities"))
-        inner = whole.select(F.explode("llm_entities").alias("e")).select("e.*")
-        items = direct.unionByName(names).unionByName(inner.select("text", "id", "label", "entities"))
+        items = policy_documents(spark.read.schema(f"{schemas.PREDICTED_LINE}, {POLICY_OBJECT}").option("multiLine", True).json(path))
     return items.withColumn("package", F.lit(package))
 
 
+def read_policy_results(spark: SparkSession, root: str, lines: bool) -> DataFrame:
+    """Results of a fleet in one scan, ``root/package=…``: files of JSON lines, or files that hold one array or object each."""
+    folder = F.regexp_extract("_metadata.file_path", r"/package=([^/]+)/[^/]+$", 1)
+    if lines:
+        return read_strict(spark, f"{root}/package=*", schemas.PREDICTED_LINE).select("text", "id", "label", "entities", folder.alias("package"))
+    raw = spark.read.schema(f"{schemas.PREDICTED_LINE}, {POLICY_OBJECT}").option("multiLine", True).json(f"{root}/package=*")
+    return policy_documents(raw.select("*", folder.alias("package")))
+
+
 def behaviour_result(records: DataFrame, api_summary: DataFrame) -> DataFrame:
     """Reports with their optional API summary: package, report, api_summary."""
     return records.join(api_summary, "package", "left")

@@ -96,3 +96,35 @@ def test_ui_dumps_and_files(spark, tmp_path):
     assert [(r.name, r.pre_click_apis) for r in readers.read_gate_dumps(spark, str(tmp_path / "d")).collect()] == [("com.a", ["getImei"])]
     put(tmp_path / "w" / "com.a" / "files-1" / "sub" / "x.txt", "hello")
     assert [(r.package, r.path, bytes(r.content)) for r in readers.read_whole_files(spark, str(tmp_path / "w")).collect()] == [("com.a", "/files-1/sub/x.txt", b"hello")]
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    for name, n in (("a.txt", 4000), ("b.txt", 3)):
+        put(tmp_path / "l" / name, "".join(f'{{"a": {i}}}\n' if i % 1000 else f"bad {i}\n" for i in range(1, n + 1)))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = readers.numbered_lines(spark, str(tmp_path / "l"))
+        assert spark.read.text(str(tmp_path / "l")).rdd.getNumPartitions() > 10
+        got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.value) for r in lines.collect())
+        assert [g[:2] for g in got] == [("a.txt", i) for i in range(1, 4001)] + [("b.txt", i) for i in (1, 2, 3)]
+        assert all(v in (f"bad {n}", f'{{"a": {n}}}') for _, n, v in got)
+        assert sorted(r.line_no for r in readers.bad_lines(spark, str(tmp_path / "l"), "a INT").collect()) == [1000, 2000, 3000, 4000]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_repeated_batch_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "idx")
+    for batch, hi in (("x", 3), ("y", 2), ("x", 3), ("y", 4)):
+        sinks.append_index(spark.range(hi), path, batch)
+    assert sorted((r.batch, r.id) for r in spark.read.json(path).collect()) == [("x", i) for i in range(3)] + [("y", i) for i in range(4)]
+
+
+def test_long_report_keeps_its_order(spark, tmp_path):
+    df = spark.range(5000).selectExpr("'p' package", "id ord", "concat('line ', id) line").repartition(7)
+    sinks.write_lines(df, str(tmp_path / "t"), "ord")
+    parts = sorted((tmp_path / "t" / "package=p").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "".join(f"line {i}\n" for i in range(5000))
