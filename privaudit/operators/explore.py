@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from privaudit import dictionaries as D
 from privaudit.functions.scalars import _col
 from privaudit.operators.scans import HOT_ROWS, Running, numbered, prepare, run_lengths, running
+from privaudit.session import stored
 
 
 def _first_seen(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -102,24 +103,37 @@ def sample_every(df: DataFrame, keys: list[str], order: list[str], mod: int, hot
 
 
 CHUNK_MS = 3_600_000
+#: Chunks that one task composes to a chunk of the next level, and the time a chunk of the last level covers at least.
+FAN = 64
+TOP_MS = 10 * 24 * 3_600_000
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, window_ms: int = 1500, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Keep a row only if ``window_ms`` have passed since the last kept row of its key.
+    """Keep a row only if ``window_ms`` have passed since the last kept row of its key; rows without a key or time go.
 
     The anchor is the last *kept* row, so the rule is sequential, but only one number is carried: the time of that
-    row. Rows are reduced to one per key and millisecond (later ones are never kept) and cut into time chunks. Each
-    chunk first reports where it would end for every possible first kept row, the chunks of a key are then chained
-    over that small table, and each chunk finally marks its kept rows. A busy key is spread over its chunks.
+    row. Rows are reduced to one per key and millisecond (later ones are never kept) and cut into time chunks. A chunk
+    is a function from its possible first kept rows to its last kept one. ``FAN`` chunks compose to one of the next
+    level, up to chunks of ``TOP_MS``; entries are then handed down the same tree and each chunk marks its kept rows.
+    A busy key is spread over its chunks on every level, and no task sees them all.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
     rest = [c for c in df.columns if c != key]
-    slim = (df.groupBy(key, ms.alias("_ms")).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_row"))
+    slim = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ms.alias("_ms")).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_row"))
             .withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms)))
     ktype = f"`{key}` {df.schema[key].dataType.simpleString()}"
+    exit_type, entry_type = f"{ktype}, _chunk long, _first long, _last long", f"{ktype}, _chunk long, _first long"
     times = slim.select(key, "_chunk", "_ms")
-    exits = times.groupBy(key, "_chunk").applyInPandas(_chunk_exits(key, window_ms, chunk_ms), f"{ktype}, _chunk long, _first long, _last long")
-    entry = exits.groupBy(key).applyInPandas(_chain_chunks(key, window_ms), f"{ktype}, _chunk long, _first long")
+    parent = F.floor(F.col("_chunk") / FAN).alias("_parent")
+    # small tables that both ways through the tree read
+    levels, width = [stored(times.groupBy(key, "_chunk").applyInPandas(_chunk_exits(key, window_ms, chunk_ms), exit_type), "exits")], chunk_ms
+    while width < TOP_MS:
+        width *= FAN
+        levels.append(stored(levels[-1].groupBy(key, parent).applyInPandas(_compose_exits(key, window_ms, width), exit_type), "exits"))
+    entry = levels[-1].withColumn("_entry", F.lit(None).cast("long")).groupBy(key).applyInPandas(_follow_chunks(key, window_ms), entry_type)
+    for below in reversed(levels[:-1]):
+        inside = below.withColumn("_parent", parent).join(entry.select(key, F.col("_chunk").alias("_parent"), F.col("_first").alias("_entry")), [key, "_parent"])
+        entry = inside.groupBy(key, "_parent").applyInPandas(_follow_chunks(key, window_ms), entry_type)
     kept = times.join(entry, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(_mark_kept(key, window_ms), f"{ktype}, _ms long")
     return slim.join(kept, [key, "_ms"], "left_semi").select(key, "_row.*").select(*df.columns)
 
@@ -139,17 +153,35 @@ def _chunk_exits(key: str, window_ms: int, chunk_ms: int):
     return run
 
 
-def _chain_chunks(key: str, window_ms: int):
+def _next_exits(pdf: pd.DataFrame, window_ms: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Possible first kept rows of several chunks in time order, and for each the place of the one that follows its last kept row."""
+    pdf = pdf.sort_values("_first", ignore_index=True)
+    return pdf, np.searchsorted(pdf["_first"].to_numpy(), pdf["_last"].to_numpy() + window_ms)
+
+
+def _compose_exits(key: str, window_ms: int, width_ms: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, nxt = _next_exits(pdf, window_ms)
+        first, last = pdf["_first"].to_numpy(), pdf["_last"].to_numpy().copy()
+        for i in range(len(last) - 1, -1, -1):
+            if nxt[i] < len(last):
+                last[i] = last[nxt[i]]
+        chunk = int(first[0] // width_ms)
+        n = min(len(first), int(np.searchsorted(first, chunk * width_ms + window_ms)) + 1)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": chunk, "_first": first[:n], "_last": last[:n]})
+    return run
+
+
+def _follow_chunks(key: str, window_ms: int):
+    """The first kept row of every chunk that has one, from the entry of their parent or, on top, the key's first row."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_first"])
-        free_at, rows = None, []
-        for chunk, part in pdf.groupby("_chunk", sort=True):
-            first = part["_first"].to_numpy()
-            i = 0 if free_at is None else int(np.searchsorted(first, free_at))
-            if i < len(first):
-                rows.append((pdf[key].iloc[0], chunk, first[i]))
-                free_at = part["_last"].to_numpy()[i] + window_ms
-        return pd.DataFrame(rows, columns=[key, "_chunk", "_first"])
+        pdf, nxt = _next_exits(pdf, window_ms)
+        entry = pdf["_entry"].iloc[0]
+        i, path = 0 if pd.isna(entry) else int(np.searchsorted(pdf["_first"].to_numpy(), int(entry))), []
+        while i < len(pdf):
+            path.append(i)
+            i = int(nxt[i])
+        return pdf.loc[path, [key, "_chunk", "_first"]]
     return run
 
 

@@ -68,6 +68,19 @@ def test_rate_limit_is_independent_of_chunks(spark, hot, chunk_ms):
     assert {r.event_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("window", [1500, 700, 5300])
+def test_rate_limit_over_many_chunks(spark, window):
+    """One key in some 1,700 chunks, gaps of many chunks and a window longer than a chunk included."""
+    ms = [i * 700 + (i * i) % 613 + (i // 100) * 300_000 for i in range(2_500)]
+    df = spark.createDataFrame([("k", m) for m in ms] + [(None, 5), ("n", None)], "key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    want, free = [], -1
+    for m in sorted(set(ms)):
+        if m >= free:
+            want.append(m)
+            free = m + window
+    assert sorted(r.ms for r in explore.rate_limited(df, "key", "ts", window, 1000).collect()) == want
+
+
 def test_same_answer_for_any_shuffle_width(spark, hot):
     s = hot.select(F.col("key").alias("run_id"), "ts", "event_id", F.col("value").alias("reward"), F.array("event_type").alias("api_list"), F.col("event_type").alias("activity"))
     before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
