@@ -48,6 +48,19 @@ def novelty_decay(spark, sf):
     return r.select("run_id", "event_id", "new_pairs", F.round("api_score", 6).alias("api_score"))
 
 
+@query("novelty_modes", STEPS_SQL + """
+, a AS (SELECT run_id, ts, event_id, state_id, unnest(api_list) AS api FROM s),
+n AS (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id, state_id, api ORDER BY ts, event_id) = 1 AS fresh FROM a),
+g AS (SELECT run_id, event_id, count(*) FILTER (fresh) AS new_pairs FROM n GROUP BY 1, 2)
+SELECT s.run_id, s.event_id, 0.0::DOUBLE AS off, CASE WHEN coalesce(new_pairs, 0) > 0 THEN 10.0 ELSE 0.0 END::DOUBLE AS once, CASE WHEN len(api_list) > 0 THEN 10.0 ELSE 0.0 END::DOUBLE AS any_api
+FROM s LEFT JOIN g ON g.run_id = s.run_id AND g.event_id = s.event_id""")
+def novelty_modes(spark, sf):
+    """Score of every step when novelty is off, paid once per new pair, and paid for any API."""
+    s = steps(spark, sf)
+    off, once, any_api = (explore.novelty_scores(s, KEYS, ORDER, mode).select(*KEYS, "event_id", F.col("api_score").alias(name)) for mode, name in ((0, "off"), (1, "once"), (3, "any_api")))
+    return off.join(once, [*KEYS, "event_id"]).join(any_api, [*KEYS, "event_id"]).select("run_id", "event_id", "off", "once", "any_api")
+
+
 STUCK_SQL = STEPS_SQL + """
 , v AS (SELECT *, ((coalesce(state_id = lag(state_id) OVER w, false))::INT + (xml_score > 0.97)::INT + img_same::INT) >= 2 AND NOT recovered AS is_stuck FROM s WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),
 l AS (SELECT *, lag(is_stuck) OVER w AS was FROM v WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),

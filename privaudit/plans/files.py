@@ -363,6 +363,14 @@ def violation_documents(spark, sf):
     return violations.violation_report(three_types(spark, sf)).select(F.col("package"), "n_violations", "report")
 
 
+@query("violation_overview", THREE_SQL + """
+SELECT package, dim, value, count(*) AS n, count(DISTINCT data_field) AS n_fields FROM (
+  SELECT package, data_field, unnest(['type', 'severity', 'category', 'sdk']) AS dim, unnest([violation_type, severity, category, sdk_name]) AS value FROM allv) WHERE value <> '' GROUP BY 1, 2, 3""")
+def violation_overview(spark, sf):
+    """Counts per type, severity, category and SDK over violations of all three types."""
+    return violations.violation_summary(three_types(spark, sf))
+
+
 @query("violation_csv", THREE_SQL + "SELECT package, " + ", ".join(FIELDS) + " FROM allv")
 def violation_csv(spark, sf):
     """All columns of all violations, through CSV."""
