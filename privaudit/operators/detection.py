@@ -40,8 +40,10 @@ def probes(flows: DataFrame | None = None, buffers: DataFrame | None = None, fil
 
 
 def expand(contents: DataFrame) -> DataFrame:
-    """One step for contents (digest, payload): rows (parent, step, digest, payload); a leaf yields itself without a step."""
-    opened = open_containers(decode_layers(contents), "digest")
+    """One step for contents (digest, payload): rows (parent, step, digest, payload); a leaf yields itself without a step.
+
+    What decoding gives is a table of its own: every later use of a payload would decode it again."""
+    opened = open_containers(stored(decode_layers(contents), "decoded"), "digest")
     text = flatten_payload(opened, "payload", "member").filter(F.col("leaf_path").isNull() | leaf_is_plausible("leaf"))
     raw = opened.filter(F.try_validate_utf8(F.col("payload").cast("string")).isNull() & F.col("payload").isNotNull())
     out = text.select(F.col("digest").alias("parent"), F.col("leaf_path").alias("step"), F.encode("leaf", "UTF-8").alias("payload")) \

@@ -13,6 +13,14 @@ def words(rng, n, alphabet="abcde"):
     return ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) for _ in range(n)]
 
 
+def test_text_contains_scans_once_for_values_of_many_scopes(spark):
+    docs = spark.createDataFrame([(i, i % 40, f"x value number {i % 7} y") for i in range(80)], "doc int, pkg int, text string")
+    vals = spark.createDataFrame([(v, p, f"value number {v}") for v in range(5) for p in range(40) if (v + p) % 3], "vid int, pkg int, val string")
+    got = joins.text_contains(docs, "doc", "text", vals, "vid", "val", ["pkg"], dictionary_bytes=1000)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(i % 40, i, i % 7) for i in range(80) if i % 7 < 5 and (i % 7 + i % 40) % 3}
+
+
 def test_text_contains_equals_plain_contains(spark):
     rng = random.Random(1)
     sep = [" ", ", ", "-", "\n", "é", "隐"]
