@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from privaudit.operators import joins
@@ -117,3 +118,19 @@ def test_window_ranks_with_a_hot_key(spark):
         assert {r.lid: r.hi - r.lo for r in ranges.collect()} == {i: sum(k == q and p - 5 <= x <= p + 20 for _, q, x in right) for i, k, p in left}
         order = {k: [i for i, _, _ in sorted((r for r in right if r[1] == k), key=lambda r: (r[2], r[0]))] for k in "ab"}
         assert {(r.k, r["rank"]): r["match"].rid for r in ranked.collect()} == {(k, n + 1): i for k, ids in order.items() for n, i in enumerate(ids)}
+
+
+def test_blocks_of_vectors_grow_with_their_number():
+    copies = [n * 2 * joins.block_count(n, 2048) / n for n in (100_000, 600_000, 4_000_000)]
+    assert max(copies) == 2 * joins.BLOCKS  # each vector goes to as many blocks, however many there are
+    assert [joins.block_count(n, 2048) for n in (0, 1, 2048, 2049)] == [1, 1, 1, 2]
+
+
+def test_tiles_of_a_block_give_the_same_rows():
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(-2, 3, (50, 4)).astype("float64")  # many ties and copies, some zero vectors
+    q = pd.DataFrame({"query_id": np.arange(50), "vec": list(vecs)})
+    b = pd.DataFrame({"match_id": np.arange(50), "vec": list(vecs)})
+    whole, tiled = (joins._block_top_k(3, 6, True, n)(q, b).reset_index(drop=True) for n in (50, 7))
+    assert len(whole) == 150
+    pd.testing.assert_frame_equal(whole, tiled)
