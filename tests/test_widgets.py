@@ -42,3 +42,11 @@ def test_exported_components(spark):
 def test_tls_history_needs_an_earlier_failure(spark):
     df = spark.createDataFrame([(1, "a.com", 1, False), (2, "a.com", 2, True), (3, "a.com", 3, False), (4, "x.qq.com", 1, False)], "id int, sni string, ts int, failed boolean")
     assert {r.id: r.passthrough for r in statics.tls_passthrough(df).select("id", F.col("passthrough")).collect()} == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_siblings_of_a_large_parent_are_dealt_to_chunks(spark):
+    rows = [node(0, None, "Frame", "top")] + [node(i, 0, "x", f"t{i}") for i in range(1, 31)] + [node(40, 30, "x", "a"), node(40, 30, "x", "a"), node(41, 30, "x", "b")]
+    nodes = spark.createDataFrame(rows, COLS)
+    want = sorted([(0, "", "top")] + [(i, " ".join(f"t{j}" for j in range(1, 31)) + "  ", f"t{i}") for i in range(1, 31)] + [(40, "a a b  ", "a")] * 2 + [(41, "a a b  ", "b")])
+    for crowd in (7, widgets.CROWD):
+        assert sorted((r.node_id, r.context, r.own_text) for r in widgets.sibling_context(nodes, crowd=crowd).collect()) == want
