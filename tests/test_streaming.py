@@ -110,3 +110,12 @@ def test_router_precedence(spark):
     got = live.route_messages(spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "id int, message string"))
     assert {(r.id, r.kind) for r in got.collect()} == {(0, "crypto"), (1, "api"), (2, "fs"), (4, "deviceid")}
     assert {r.id: r.body for r in got.collect()}[2] == '{"function":"write"}'
+
+
+def test_rows_of_a_null_key_leave_other_keys_alone(spark):
+    keys = [None, 3, 5, 149]
+    rows = [(keys[i % 4], f"2024-01-01 00:{i:02d}:00", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, ts string, event_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = live.replayed(df.coalesce(1), F.unix_micros("ts"), {"user_id": -1, "event_id": -1}, batches=2)
+    got = {(r["user_id"], r["event_id"]) for r in live.drain(live.sampled_stream(stream, "user_id", 3, "1 hour"), "null-key").collect()}
+    assert got == {(keys[i % 4], i) for i in range(40) if i // 4 % 3 == 0}
