@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard of 5-word shingles 0.8 or more) stays, the one with the smallest
-    id. SimHash's trie walk names the pairs to verify first, prefixes of shingles the rest, so that no pair is lost."""
+    """One document of each group of near duplicates stays, the one with the smallest id. SimHash's trie walk links texts whose
+    fingerprints differ in 3 bits or less, Jaccard (0.8 or more on 5-word shingles) those that SimHash alone would lose."""
     small_batches(spark)
     return jaccard.keep_one(docs)
 

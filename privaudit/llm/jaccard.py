@@ -1,4 +1,9 @@
-"""Near duplicates by the Jaccard similarity of word shingles, complete: every pair at or above the bound is found.
+"""Near duplicates by SimHash and by the Jaccard similarity of word shingles: every pair that either of them links is found.
+
+SimHash links texts whose fingerprints (``simhash``: shingles with their repeats) differ in at most BITS bits, by its trie
+walk over all distinct fingerprints. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, so SimHash alone would
+lose pairs; the sets of shingles alone would lose texts that are made of one repeated passage but for a few words. Groups are
+the components of both kinds of links. Jaccard finds its links as follows.
 
 Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any fixed order of all shingles (prefix
 filter), whatever n each has. The order takes rare shingles first: all texts are counted into a sketch of fixed size (one
@@ -9,11 +14,10 @@ hardly any candidates; collisions in the sketch change the work and not the resu
    there allow the similarity, are candidates; a shingle of more than CROWD nodes links them all to its first instead,
    n - 1 edges. The components of these edges hold every similar pair.
 2. The texts of a component come together in blocks of a few megabytes; every pair of blocks of one component is a task.
-   Only rows that pass a bitmap of the candidates are shuffled for that. A task verifies pairs on the sets themselves:
-   first those whose SimHash fingerprints are near (the trie walk of ``simhash``), then, the most central set first, each
-   set against all sets that share its prefix and are not connected to it yet. It returns a spanning forest of the similar
-   pairs, whose components are the groups. SimHash alone would lose pairs: at similarity 0.8 two fingerprints differ in
-   about 10 of 64 bits; here it connects the bulk of a crowd of near copies before any of its pairs are enumerated.
+   Only rows that pass a bitmap of the candidates are shuffled for that. A task verifies pairs on the sets themselves: the
+   most central set first, each set against all sets that share its prefix and are not connected to it yet, by SimHash or by
+   pairs found before; so the bulk of a crowd of near copies is connected before any of its pairs are enumerated. It returns
+   a forest of similar pairs.
 
 Shingles and sets are 64-bit digests. A text of fewer words is one shingle; null texts and texts without words are one set.
 An empty table gives an empty result; a very long text is a block of its own; columns of any name are carried along.
@@ -40,7 +44,7 @@ BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 COUNTERS, PART = 1 << 20, 1 << 14
 #: Rows of one shingle up to which its pairs are looked at one by one.
 CROWD = 64
-#: Bits of two fingerprints that may differ for a pair to be verified first.
+#: Bits in which two fingerprints that SimHash links may differ.
 BITS = 3
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -151,10 +155,11 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(bytes(r["count"]), dtype=np.uint32) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(COUNTERS, dtype=np.uint32)
 
 
-def similar_pairs(flat: np.ndarray, offsets: np.ndarray, side: np.ndarray, similarity: float):
+def similar_pairs(flat: np.ndarray, offsets: np.ndarray, side: np.ndarray, similarity: float, near: np.ndarray | None = None):
     """Spanning forest (i, j) of the pairs of similar sets; where ``side`` has two values, of pairs between the two.
 
-    Sets are compared in full: shared shingles are counted for one set against many at once.
+    Sets are compared in full: shared shingles are counted for one set against many at once. Sets of one number in ``near``
+    are connected already: together with those links the forest connects what all similar pairs connect.
     """
     n, size = len(offsets) - 1, np.diff(offsets)
     if n < 2:
@@ -162,7 +167,8 @@ def similar_pairs(flat: np.ndarray, offsets: np.ndarray, side: np.ndarray, simil
     _, local = np.unique(flat, return_inverse=True)
     local = local.reshape(-1)
     often = np.bincount(local)
-    root, here = np.arange(n), np.zeros(len(often), dtype=bool)
+    root = np.arange(n) if near is None else np.unique(near, return_inverse=True)[1].reshape(-1)
+    here = np.zeros(len(often), dtype=bool)
     two = len(np.unique(side)) > 1
 
     def verified(i: int, others: np.ndarray) -> np.ndarray:
@@ -184,14 +190,7 @@ def similar_pairs(flat: np.ndarray, offsets: np.ndarray, side: np.ndarray, simil
         ok = (root[others] != root[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9)
         return others[ok & (side[others] != side[i])] if two else others[ok]
 
-    # near fingerprints first
-    fp = np.array([simhash.majority(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint64)
-    sorted_fp, owner = np.unique(fp, return_index=True)
-    for a, b in simhash.trie_links(sorted_fp, None, BITS):
-        for i, j in zip(owner[a].tolist(), owner[b].tolist()):
-            if len(found := usable(i, np.array([j]))):
-                yield from join(i, verified(i, found))
-    # then every set against all that share its prefix and are not connected to it, sets with the most common shingles first
+    # every set against all that share its prefix and are not connected to it, sets with the most common shingles first
     h, doc, _ = prefixes(local, offsets, similarity)
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
@@ -255,7 +254,7 @@ def candidate_pairs(similarity: float, crowd: int = CROWD):
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, key (digest of the text) and group, the same for documents that similar pairs connect."""
+    """One row per row of ``docs``: doc_id, key (digest of the text) and group, the same for documents that near fingerprints or similar sets connect."""
     docs = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(sketch(docs, words))  # COUNTERS numbers
@@ -264,7 +263,8 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         for b in pieces(batches, 4):
             texts = b.column(1).to_pylist()
             node, keys = nodes_of(*shingle_sets(texts, words)), [digest_of(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.string()), pa.array(node)], names=["doc_id", "key", "node"])
+            fp = np.array([simhash.fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.string()), pa.array(node), pa.array(fp)], names=["doc_id", "key", "node", "fp"])
 
     def heads(batches):
         seen: set[int] = set()
@@ -284,27 +284,32 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     def compare(rows):
         flat, offsets = shingle_sets(rows.column("text").to_pylist(), words)
         node = rows.column("node").to_pylist()
-        pairs = list(similar_pairs(flat, offsets, rows.column("side").to_numpy(), similarity))
+        pairs = list(similar_pairs(flat, offsets, rows.column("side").to_numpy(), similarity, rows.column("near").to_numpy()))
         del flat, offsets
         give_back()
         return pa.table({"u": pa.array([node[i] for i, _ in pairs], type=pa.int64()), "v": pa.array([node[j] for _, j in pairs], type=pa.int64())})
 
-    marks = written(docs.mapInArrow(released(mark), "doc_id long, key string, node long"), "jaccard-marks")
+    marks = written(docs.mapInArrow(released(mark), "doc_id long, key string, node long, fp long"), "jaccard-marks")
+    # SimHash: every node with the component of its fingerprint; a node whose texts differ in repeats may have several
+    near = components(simhash.links(written(marks.select("fp").distinct(), "simhash-distinct"), BITS)).select(F.col("node").alias("fp"), "root")
+    nodes = written(marks.groupBy("node", "fp").agg(F.min("key").alias("key")).join(near, "fp", "left").select("node", "key", F.coalesce("root", "fp").alias("near")), "simhash-nodes")
+    shared = nodes.groupBy("near").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("near", "v")
+    alike = nodes.join(shared, "near").select(F.col("node").alias("u"), "v")
     first = docs.select("text").mapInArrow(released(heads), "h long, node long, n int, pos int").repartition("h").sortWithinPartitions("h")
     edges = components(first.mapInArrow(released(candidate_pairs(similarity)), "u long, v long"))
     candidates = edges.unionAll(edges.select(F.col("root").alias("node"), "root").distinct())  # a root has no row of its own
     # one text of each node that has a candidate, in blocks; a component of several blocks is compared block by block
-    picked = written(marks.groupBy("node").agg(F.min("key").alias("key")).join(candidates, "node"), "jaccard-picked")
+    picked = written(nodes.groupBy("node").agg(F.min("key").alias("key"), F.min("near").alias("near")).join(candidates, "node"), "jaccard-picked")
     near = docs.select("text", text_key("text").alias("key")).where(maybe_in(picked.select(F.xxhash64("key").alias("h")), "h", F.xxhash64("key")))
-    texts = written(near.join(picked, "key").dropDuplicates(["node"]).select("node", "root", "text"), "jaccard-texts")
+    texts = written(near.join(picked, "key").dropDuplicates(["node"]).select("node", "root", "near", "text"), "jaccard-texts")
     total = texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text").cast("long")) / BLOCK_BYTES).cast("int").alias("blocks"))
     tasks = max(1, -(-bytes_of(texts) // BLOCK_BYTES))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (texts.join(total, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
-             .select("node", "text", F.coalesce("own", F.lit(0)).alias("side"), F.when(F.col("blocks") > 1, F.col("root")).alias("hot"),
+             .select("node", "near", "text", F.coalesce("own", F.lit(0)).alias("side"), F.when(F.col("blocks") > 1, F.col("root")).alias("hot"),
                      F.when(F.col("blocks") > 1, F.least("own", "other")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).cast("long").alias("x"),
                      F.when(F.col("blocks") > 1, F.greatest("own", "other")).cast("long").alias("y")))
-    linked = components(dealt.groupBy("hot", "x", "y").applyInArrow(compare, "u long, v long"))
+    linked = components(dealt.groupBy("hot", "x", "y").applyInArrow(compare, "u long, v long").unionAll(alike))
     return marks.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("group"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from privaudit.llm import jaccard
+from privaudit.llm import jaccard, simhash
 
 
 def runs(text):
@@ -87,3 +87,21 @@ def test_rows_with_columns_of_the_stage_and_an_empty_table(spark):
     twice = jaccard.keep_one(df.where("doc_id = 2"))
     assert [r["row"] for r in twice.collect()] == [4]
     assert jaccard.keep_one(df.limit(0)).collect() == []
+
+
+def test_near_fingerprints_decide_too(spark):
+    passage, rest = "terms of use apply here " * 100, [" ".join(f"{c}{i}" for i in range(9)) for c in "abc"]
+    rows = [(3, passage + rest[0]), (1, passage + rest[1]), (2, rest[2]), (4, passage.upper() + rest[0]), (5, rest[2] + " x")]
+    assert len(runs(rows[0][1]) & runs(rows[1][1])) < 0.4 * len(runs(rows[0][1]) | runs(rows[1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.fingerprint(rows[0][1], 5) == simhash.fingerprint(rows[1][1], 5)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 2]
+
+
+def test_pairs_of_sets_that_are_linked_already():
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base + ["x"]), " ".join(base + ["y"]), "two words"]
+    flat, offsets = jaccard.shingle_sets(texts)
+    assert len(list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8))) == 2
+    assert len(list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8, np.array([5, 7, 5, 9])))) == 1
+    assert list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8, np.array([5, 5, 5, 9]))) == []
