@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from privaudit.operators import policy
 from privaudit.sources import readers, sinks
@@ -128,3 +129,17 @@ def test_long_report_keeps_its_order(spark, tmp_path):
     sinks.write_lines(df, str(tmp_path / "t"), "ord")
     parts = sorted((tmp_path / "t" / "package=p").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == "".join(f"line {i}\n" for i in range(5000))
+
+
+def test_leak_records_are_compressed_and_written_without_a_sort(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    recs = spark.range(2000).select(F.concat(F.lit("com.a"), (F.col("id") % 70).cast("string")).alias("package"), F.col("id"), F.repeat(F.lit("field"), 40).alias("text"))
+    sinks.write_leak_reports(recs.groupBy("package").count(), recs, str(tmp_path / "lr"))
+    files = [p for p in (tmp_path / "lr" / "records").glob("*/part-*")]
+    assert files and all(p.name.endswith(".json.gz") for p in files) and sum(p.stat().st_size for p in files) < 2000 * 200 / 3
+    back = spark.read.json(str(tmp_path / "lr" / "records"))
+    assert sorted(map(tuple, back.select("package", "id", "text").collect())) == sorted(map(tuple, recs.collect()))
+    assert spark.conf.get(name) == before
+    with sinks.open_writers(spark):
+        assert int(spark.conf.get(name)) >= sinks.WRITERS
