@@ -280,14 +280,13 @@ def adaptive_examples(queries: DataFrame, positives: DataFrame, negatives: DataF
                       low: float = D.EXAMPLE_LOW, n_pos: int = D.EXAMPLE_POSITIVES, n_neg: int = D.EXAMPLE_NEGATIVES,
                       same_id_excluded: bool = False) -> DataFrame:
     """Examples per query: the surer the best positive match, the more positives and the fewer negatives."""
-    pos = nearest(queries, positives, n_pos, same_id_excluded=same_id_excluded)
-    neg = nearest(queries, negatives, n_neg, same_id_excluded=same_id_excluded)
-    best = pos.filter("rank = 1").select("query_id", F.col("sim").alias("best"))
+    base = positives.select("match_id", "vec", F.lit(True).alias("is_positive")).unionByName(negatives.select("match_id", "vec", F.lit(False).alias("is_positive")))
+    near = nearest(queries.filter("query_id is not null"), base, max(n_pos, n_neg), same_id_excluded=same_id_excluded, kind="is_positive")
+    best = F.max(F.when(F.col("is_positive") & (F.col("rank") == 1), F.col("sim"))).over(W.partitionBy("query_id"))
     want_pos = F.when(F.col("best") > high, n_pos).when(F.col("best") > low, n_pos - 1).otherwise(1)
     want_neg = F.when(F.col("best") > high, 0).otherwise(n_neg)
-    p = pos.join(best, "query_id").filter(F.col("rank") <= want_pos).withColumn("is_positive", F.lit(True))
-    n = neg.join(best, "query_id").filter(F.col("rank") <= want_neg).withColumn("is_positive", F.lit(False))
-    return p.unionByName(n).drop("best")
+    return near.withColumn("best", best).filter("best is not null").filter(F.col("rank") <= F.when(F.col("is_positive"), want_pos).otherwise(want_neg)) \
+        .select("query_id", "match_id", "sim", "rank", "is_positive")
 
 
 # --- data items -----------------------------------------------------------------------------------

@@ -134,3 +134,39 @@ def test_tiles_of_a_block_give_the_same_rows():
     whole, tiled = (joins._block_top_k(3, 6, True, n)(q, b).reset_index(drop=True) for n in (50, 7))
     assert len(whole) == 150
     pd.testing.assert_frame_equal(whole, tiled)
+
+
+def shuffled_vectors(spark, n):
+    """Rows that enter the pairs of blocks, by the plan's own operators up to the cogroup."""
+    v = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("vec"))
+    sent = []
+    real = joins._block_top_k
+    def counted(*a):
+        run = real(*a)
+        def one(q, b):
+            out = run(q, b)
+            return out.iloc[:0].reset_index(drop=True).reindex([0]).fillna({"query_id": len(q) + len(b), "match_id": 0, "sim": 0.0}).astype({"query_id": "int64", "match_id": "int64"})
+        return one
+    joins._block_top_k = counted
+    try:
+        for r in joins.nearest(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "match_id"), 10**6).collect():
+            sent.append(r.query_id)
+    finally:
+        joins._block_top_k = real
+    return sum(sent)
+
+
+def test_vectors_sent_to_blocks_grow_no_faster_than_the_table(spark):
+    few, many = shuffled_vectors(spark, 600), shuffled_vectors(spark, 6000)
+    assert few == 600 * 2 * joins.BLOCKS and many == 10 * few
+
+
+def test_nearest_of_each_kind(spark):
+    rng = np.random.default_rng(6)
+    v, kinds = rng.normal(size=(90, 5)), rng.random(90) < 0.3
+    qf = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "query_id long, vec array<double>")
+    bf = spark.createDataFrame([(i, x.tolist(), bool(k)) for i, (x, k) in enumerate(zip(v, kinds))], "match_id long, vec array<double>, good boolean")
+    got = joins.nearest(qf, bf, 3, same_id_excluded=True, kind="good")
+    apart = [joins.nearest(qf, bf.filter(F.col("good") == k).drop("good"), 3, same_id_excluded=True).withColumn("good", F.lit(k)) for k in (True, False)]
+    assert sorted(map(tuple, got.select("query_id", "match_id", "sim", "rank", "good").collect())) == sorted(
+        tuple(r) for a in apart for r in a.select("query_id", "match_id", "sim", "rank", "good").collect())
