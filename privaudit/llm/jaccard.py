@@ -12,9 +12,12 @@ hardly any candidates; collisions in the sketch change the work and not the resu
 
 1. Texts of one set of shingles are one node. Nodes that share a shingle in their prefixes, and whose sizes and positions
    there allow the similarity, are candidates; a shingle of more than CROWD nodes links them all to its first instead,
-   n - 1 edges. The components of these edges hold every similar pair.
+   n - 1 edges. Chance alone makes candidates too, and in a large table enough of them to link most texts to each other. So
+   a pair that shares fewer than SHARED shingles of the prefixes stays only if signatures allow the similarity: counts of
+   the shingles by ranges of their hash, whose smaller values add up to no less than what two sets share. The components of
+   the edges that are left hold every similar pair.
 2. The texts of a component come together in blocks of a few megabytes; every pair of blocks of one component is a task.
-   Only rows that pass a bitmap of the candidates are shuffled for that. A task verifies pairs on the sets themselves: the
+   One text per node is shuffled for that, found by a bitmap of ids and texts. A task verifies pairs on the sets themselves: the
    most central set first, each set against all sets that share its prefix and are not connected to it yet, by SimHash or by
    pairs found before; so the bulk of a crowd of near copies is connected before any of its pairs are enumerated. It returns
    a forest of similar pairs.
@@ -29,13 +32,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privaudit.llm import simhash
 from privaudit.llm.bpe import pieces
-from privaudit.llm.tables import bytes_of, components, digest_of, give_back, keyed, maybe_in, released, text_key, written
+from privaudit.llm.tables import components, digest_of, give_back, keyed, maybe_in, released, text_key, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bytes of text in a block, and of texts shingled at once.
@@ -44,6 +48,9 @@ BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 COUNTERS, PART = 1 << 20, 1 << 14
 #: Rows of one shingle up to which its pairs are looked at one by one.
 CROWD = 64
+#: Shared shingles of the prefixes from which a pair is a candidate without a look at the signatures; least counters of a
+#: signature, and shingles per counter.
+SHARED, LEAST, LOAD = 8, 32, 6
 #: Bits in which two fingerprints that SimHash links may differ.
 BITS = 3
 
@@ -137,6 +144,34 @@ def nodes_of(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[8 * a: 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint64).view(np.int64)
 
 
+def signatures(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Per set its shingles counted by ranges of their hash, a byte each: a power of two of ranges, about LOAD shingles in one.
+
+    Null where a count does not fit a byte.
+    """
+    size = np.diff(offsets)
+    bits = np.ceil(np.log2(np.maximum(LEAST, size / LOAD))).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(1 << bits)))
+    doc = np.repeat(np.arange(len(size)), size)
+    count = np.bincount(start[doc] + (flat >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64), minlength=start[-1])
+    fits = np.maximum.reduceat(count, start[:-1]) < 256 if len(size) else np.zeros(0, dtype=bool)
+    held = np.minimum(count, 255).astype(np.uint8).tobytes()
+    return pa.array([held[a:b] if ok else None for a, b, ok in zip(start[:-1].tolist(), start[1:].tolist(), fits.tolist())], type=pa.binary())
+
+
+def may_be_similar(a: pa.Array, b: pa.Array, similarity: float) -> np.ndarray:
+    """Whether the signatures allow sets that are similar; true wherever one is missing."""
+    sizes = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    ok = (sizes[0] == 0) | (sizes[1] == 0)
+    for m, n in set(zip(sizes[0][~ok].tolist(), sizes[1][~ok].tolist())):
+        at = np.flatnonzero((sizes[0] == m) & (sizes[1] == n))
+        least = min(m, n)  # a range of the coarser signature is several of the finer one
+        x, y = (np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), least, -1).sum(axis=2, dtype=np.int64) for side in (a, b))
+        both = np.minimum(x, y).sum(axis=1)
+        ok[at] = both >= similarity * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9
+    return ok
+
+
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
     """In how many texts each hash value of shingles is found, over the whole table; COUNTERS numbers."""
     def run(batches):
@@ -213,7 +248,7 @@ def similar_pairs(flat: np.ndarray, offsets: np.ndarray, side: np.ndarray, simil
 
 
 def candidate_pairs(similarity: float, crowd: int = CROWD):
-    """Arrow batches of (h, node, n, pos), sorted by h, to edges (u, v)."""
+    """Arrow batches of (h, node, n, pos), sorted by h, to edges (u, v, star); a node counts once per shingle."""
     def edges(h, node, n, pos):
         for k in range(1, crowd):
             i = np.flatnonzero(h[k:] == h[:-k])
@@ -231,6 +266,11 @@ def candidate_pairs(similarity: float, crowd: int = CROWD):
             if not b.num_rows:
                 continue
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            order = np.lexsort((rows[1], rows[0]))
+            rows = [x[order] for x in rows]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            rows = [x[new] for x in rows]
             h = rows[0]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             size = np.diff(np.append(starts, len(h)))
@@ -240,19 +280,25 @@ def candidate_pairs(similarity: float, crowd: int = CROWD):
             crowded = np.repeat(full, size)
             done = np.arange(len(h)) < starts[-1]
             found = [(rows[1][crowded], first[crowded]), *edges(*(x[~crowded & done] for x in rows))]
+            star_of = np.arange(sum(len(x) for x, _ in found)) < crowded.sum()
             if full[-1]:
                 star, held = True, [x[starts[-1]: starts[-1] + 1] for x in rows]
             else:
                 star, held = None, [x[starts[-1]:] for x in rows]
             u, v = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v]), pa.array(star_of[u != v])], names=["u", "v", "star"])
         if held is not None and star is None:
             for u, v in edges(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), dtype=bool))], names=["u", "v", "star"])
 
     return run
 
 
+def pick(key, doc_id) -> Column:
+    """A row by its text's digest and its id."""
+    return F.concat_ws("|", key, F.col(doc_id).cast("string"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, key (digest of the text) and group, the same for documents that near fingerprints or similar sets connect."""
     docs = keyed(docs, id_col, text_col)
@@ -262,9 +308,10 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     def mark(batches):
         for b in pieces(batches, 4):
             texts = b.column(1).to_pylist()
-            node, keys = nodes_of(*shingle_sets(texts, words)), [digest_of(t) for t in texts]
+            sets = shingle_sets(texts, words)
             fp = np.array([simhash.fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.string()), pa.array(node), pa.array(fp)], names=["doc_id", "key", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(t) for t in texts], type=pa.string()), pa.array(nodes_of(*sets)), pa.array(fp), pc.cast(pc.fill_null(pc.binary_length(b.column(1)), 0), pa.int64()),
+                                              signatures(*sets)], names=["doc_id", "key", "node", "fp", "size", "sig"])
 
     def heads(batches):
         seen: set[int] = set()
@@ -289,23 +336,37 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         give_back()
         return pa.table({"u": pa.array([node[i] for i, _ in pairs], type=pa.int64()), "v": pa.array([node[j] for _, j in pairs], type=pa.int64())})
 
-    marks = written(docs.mapInArrow(released(mark), "doc_id long, key string, node long, fp long"), "jaccard-marks")
+    def allowed(batches):
+        for b in batches:
+            yield b.select(["u", "v"]).filter(pa.array(may_be_similar(b.column(2), b.column(3), similarity)))
+
+    marks = written(docs.mapInArrow(released(mark), "doc_id long, key string, node long, fp long, size long, sig binary"), "jaccard-marks")
     # SimHash: every node with the component of its fingerprint; a node whose texts differ in repeats may have several
     near = components(simhash.links(written(marks.select("fp").distinct(), "simhash-distinct"), BITS)).select(F.col("node").alias("fp"), "root")
-    nodes = written(marks.groupBy("node", "fp").agg(F.min("key").alias("key")).join(near, "fp", "left").select("node", "key", F.coalesce("root", "fp").alias("near")), "simhash-nodes")
+    one_text = F.min(F.struct("key", "doc_id", "size")).alias("t")  # of each node
+    nodes = written(marks.groupBy("node", "fp").agg(one_text).join(near, "fp", "left").select("node", "t.*", F.coalesce("root", "fp").alias("near")), "simhash-nodes")
     shared = nodes.groupBy("near").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("near", "v")
     alike = nodes.join(shared, "near").select(F.col("node").alias("u"), "v")
     first = docs.select("text").mapInArrow(released(heads), "h long, node long, n int, pos int").repartition("h").sortWithinPartitions("h")
-    edges = components(first.mapInArrow(released(candidate_pairs(similarity)), "u long, v long"))
+    pairs = written(first.mapInArrow(released(candidate_pairs(similarity)), "u long, v long, star boolean").groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                    .agg(F.count("*").alias("n"), F.max("star").alias("star")), "jaccard-pairs")
+    sure = F.col("star") | (F.col("n") >= SHARED)
+    weak = pairs.where(~sure).select("u", "v")
+    asked = weak.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sigs = marks.select("node", "sig").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    told = weak.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v").select("u", "v", "a", "b")
+    edges = components(pairs.where(sure).select("u", "v").unionAll(told.mapInArrow(released(allowed), "u long, v long")))
     candidates = edges.unionAll(edges.select(F.col("root").alias("node"), "root").distinct())  # a root has no row of its own
     # one text of each node that has a candidate, in blocks; a component of several blocks is compared block by block
-    picked = written(nodes.groupBy("node").agg(F.min("key").alias("key"), F.min("near").alias("near")).join(candidates, "node"), "jaccard-picked")
-    near = docs.select("text", text_key("text").alias("key")).where(maybe_in(picked.select(F.xxhash64("key").alias("h")), "h", F.xxhash64("key")))
-    texts = written(near.join(picked, "key").dropDuplicates(["node"]).select("node", "root", "near", "text"), "jaccard-texts")
-    total = texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text").cast("long")) / BLOCK_BYTES).cast("int").alias("blocks"))
-    tasks = max(1, -(-bytes_of(texts) // BLOCK_BYTES))
+    picked = nodes.groupBy("node").agg(one_text, F.min("near").alias("near")).select("node", pick("t.key", "t.doc_id").alias("pick"), "t.size", "near")
+    picked = written(picked.join(candidates, "node"), "jaccard-picked")
+    total = picked.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    tasks = max(1, -(-picked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // BLOCK_BYTES))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (texts.join(total, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    sides = picked.join(total, "root").select("pick", "node", "root", "near", "blocks", own.alias("own"))
+    held_texts = docs.select("text", pick(text_key("text"), "doc_id").alias("pick"))
+    texts = held_texts.where(maybe_in(picked.select(F.xxhash64("pick").alias("h")), "h", F.xxhash64("pick"))).join(sides, "pick").dropDuplicates(["pick"])
+    dealt = (texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
              .select("node", "near", "text", F.coalesce("own", F.lit(0)).alias("side"), F.when(F.col("blocks") > 1, F.col("root")).alias("hot"),
                      F.when(F.col("blocks") > 1, F.least("own", "other")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).cast("long").alias("x"),
                      F.when(F.col("blocks") > 1, F.greatest("own", "other")).cast("long").alias("y")))
@@ -317,17 +378,23 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """``docs`` with one row of each group of near duplicates, one with the smallest id; all columns stay.
 
     Ids need not be unique: a row is known by its id and text, and of rows that share both one stays. A row without an id
-    stays only if its whole group has none. Only rows that may go are shuffled with their texts.
+    stays only if its whole group has none. Only rows whose verdict two bitmaps leave open are shuffled with their texts.
     """
     found = written(groups(docs, words, similarity, id_col, text_col), "jaccard-groups")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
     rows = found.groupBy("doc_id", "key", "group").agg(F.count("*").alias("n")).join(best, "group")
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("key") == F.col("k.key"))
-    touched = written(rows.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), "key", stays.alias("stays")).distinct(), "jaccard-touched")
+    told = written(rows.select(F.col("doc_id").alias("id"), "key", stays.alias("stays"), (F.col("n") > 1).alias("many")), "jaccard-verdicts")
     named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), text_key(text_col).alias("own_key"))
-    suspect = maybe_in(touched.select(F.xxhash64("id", "key").alias("h")), "h", F.xxhash64("own_id", "own_key"))
+
+    def maybe(verdicts):
+        return maybe_in(verdicts.select(F.xxhash64("id", "key").alias("h")), "h", F.xxhash64("own_id", "own_key"))
+
+    # every row goes, stays or is one of several alike; only what two bitmaps leave open is shuffled with its text
+    touched = told.where(~F.col("stays") | F.col("many"))
+    goes, kept = maybe(touched), maybe(told.where("stays"))
     same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
-    told = named.where(suspect).join(touched, same, "left")
-    alone = told.where("stays is null").select("row")
-    one = told.where("stays").dropDuplicates(["own_id", "own_key"]).select("row")
-    return named.where(~suspect).select("row").unionAll(alone).unionAll(one).select("row.*")
+    open_ = named.where(goes & kept).join(touched, same, "left")
+    alone = open_.where("stays is null").select("row")
+    one = open_.where("stays").dropDuplicates(["own_id", "own_key"]).select("row")
+    return named.where(~goes).select("row").unionAll(alone).unionAll(one).select("row.*")

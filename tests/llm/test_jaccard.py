@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from privaudit.llm import jaccard, simhash
+from privaudit.llm import jaccard, simhash, tables
 
 
 def runs(text):
@@ -105,3 +105,41 @@ def test_pairs_of_sets_that_are_linked_already():
     assert len(list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8))) == 2
     assert len(list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8, np.array([5, 7, 5, 9])))) == 1
     assert list(jaccard.similar_pairs(flat, offsets, np.zeros(4), 0.8, np.array([5, 5, 5, 9]))) == []
+
+
+def test_signatures_allow_all_similar_sets():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (0, 1, 3, 30, 190, 200, 390, 800, 2500):
+        base = r.choices(words, k=n)
+        for edits in (0, 1, n // 100, n // 40, n // 25):
+            text = base[: n - r.randrange(1 + n // 9)]
+            for _ in range(edits if text else 0):
+                text[r.randrange(len(text))] = r.choice(words)
+            texts.append(" ".join(text))
+    texts.append("one word again " * 30_000 + " ".join(words))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    sigs = jaccard.signatures(*jaccard.shingle_sets(texts))
+    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    ok = jaccard.may_be_similar(sigs.take(i), sigs.take(j), 0.8)
+    near = np.array([len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 for a, b in zip(i, j)])
+    assert ok[near].all() and near.sum() > 2 * len(texts) and ok.sum() < 1.5 * near.sum()
+
+
+def test_texts_that_share_a_few_words_by_chance_are_no_candidates(spark, monkeypatch):
+    picked = []
+
+    def spied(df, name):
+        out = tables.written(df, name)
+        picked.extend(out.collect() if name == "jaccard-picked" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    texts = [[f"t{k}x{i}" for i in range(80)] for k in range(120)]
+    for a, b in zip(texts, texts[1:]):  # a chain: each text shares one run of words with the next
+        a[60:66] = b[10:16]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(500, " ".join(texts[7] + ["more"])), (501, " ".join(texts[7])), (501, " ".join(texts[7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == list(range(120))
+    assert len(picked) == 2 and sum(r["size"] for r in picked) == len(rows[7][1]) + len(rows[120][1])
