@@ -1,5 +1,8 @@
 """Widget trees with deep nesting and static facts."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from privaudit.operators import statics, widgets
@@ -50,3 +53,21 @@ def test_siblings_of_a_large_parent_are_dealt_to_chunks(spark):
     want = sorted([(0, "", "top")] + [(i, " ".join(f"t{j}" for j in range(1, 31)) + "  ", f"t{i}") for i in range(1, 31)] + [(40, "a a b  ", "a")] * 2 + [(41, "a a b  ", "b")])
     for crowd in (7, widgets.CROWD):
         assert sorted((r.node_id, r.context, r.own_text) for r in widgets.sibling_context(nodes, crowd=crowd).collect()) == want
+
+
+def test_texts_of_siblings_are_gathered_in_runs(spark):
+    r = random.Random(2)
+    rows = [node(r.choice([None, *range(50)]), r.choice([None, 1, 2]), "x", r.choice(["", " ", "a", "b c", None]), dump=r.choice(["d", "e", None])) for _ in range(300)]
+    rows = [(*x[:4], r.choice(["", None, "id/btn_1", "q"]), x[5], r.choice(["", "Close", None]), *x[7:]) for x in rows]
+    words = lambda x: " ".join(re.findall("[A-Za-z]+", x or ""))
+    first = lambda x: (x[1] is not None, x[1] or 0, x[5] or "", words(x[4]), x[6] or "")
+    want = []
+    for x in rows:
+        kids = [first(y)[2:] for y in sorted((y for y in rows if y[0] == x[0] and y[2] == x[2]), key=first)]
+        context = " ".join(" ".join(k[i] for k in kids if k[i].strip(" ")) for i in range(3)) if x[0] is not None and x[2] is not None else ""
+        want.append((x[0], x[1], context, " ".join([x[5] or "", *(v for v in (words(x[4]), (x[6] or "").strip()) if v)])))
+    key = lambda t: tuple((v is not None, v or 0 if i == 1 else v or "") for i, v in enumerate(t))
+    nodes = spark.createDataFrame(rows, COLS).repartition(5)
+    for run in (3, 1024):
+        got = [(x.dump_id, x.node_id, x.context, x.own_text) for x in widgets.sibling_context(nodes, crowd=9, run=run).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
