@@ -89,6 +89,8 @@ def is_container(data) -> Column:
 #: Bytes of a container's content in one row; what is longer comes in pieces that overlap, so that no value is cut twice.
 PIECE_BYTES, OVERLAP = 16 << 20, 1 << 12
 _READ = 1 << 20
+#: Content of containers in one Arrow batch, unless one piece is longer.
+BATCH_BYTES = 4 << 20
 
 
 def _inflated(data: bytes):
@@ -128,6 +130,11 @@ def _members(data: bytes):
     try:
         if data[:2] == b"PK":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
+                if sum(i.file_size for i in z.infolist()) <= PIECE_BYTES:  # read once, which checks them too
+                    for name, held in [(n, z.read(n)) for n in z.namelist()]:
+                        if not name.endswith("/"):
+                            yield f"zip>{name}", held
+                    return
                 bad = z.testzip()
                 if bad is not None:
                     raise zipfile.BadZipFile(bad)
@@ -136,8 +143,13 @@ def _members(data: bytes):
                     for i, piece in enumerate(_pieces(chunks())):
                         yield (name if i == 0 else f"{name}[part {i}]"), piece
             return
-        for _ in _inflated(data):  # whole and sound?
-            pass
+        held: bytearray | None = bytearray()  # all of it, as long as it fits one piece
+        for c in _inflated(data):  # whole and sound?
+            if held is not None:
+                held = held + c if len(held) + len(c) <= PIECE_BYTES else None
+        if held is not None:
+            yield None, bytes(held)
+            return
         for i, piece in enumerate(_pieces(_inflated(data))):
             yield (None if i == 0 else f"[part {i}]"), piece
     except (OSError, EOFError, ValueError, NotImplementedError, RuntimeError, zlib.error, zipfile.BadZipFile):
@@ -151,9 +163,22 @@ def open_containers(df: DataFrame, key: str, payload: str = "payload") -> DataFr
 
     def run(batches):
         for b in batches:
+            found: list[tuple] = []
+            size = 0
+
+            def batch():
+                keys, members, held = zip(*found)
+                return pa.RecordBatch.from_arrays([pa.array(keys, type=b.schema.field(0).type), pa.array(members, type=pa.string()), pa.array(held, type=pa.binary())], names=[key, "member", "payload"])
+
             for k, data in zip(b.column(0), b.column(1)):
                 for member, piece in _members(data.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], type=b.schema.field(0).type), pa.array([member], type=pa.string()), pa.array([piece], type=pa.binary())], names=[key, "member", "payload"])
+                    if found and size + len(piece) > BATCH_BYTES:
+                        yield batch()
+                        found, size = [], 0
+                    found.append((k.as_py(), member, piece))
+                    size += len(piece)
+            if found:
+                yield batch()
 
     rows = df.select(key, F.col(payload).alias("payload"))
     schema = T.StructType([T.StructField(key, kind), T.StructField("member", T.StringType()), T.StructField("payload", T.BinaryType())])

@@ -77,3 +77,22 @@ def test_values_of_all_encodings_and_keywords(spark):
     assert {("p", "https", "imei", "normal", "j>raw"), ("p", "https", "imei", "hexLower", "j>hex"), ("p", "https", "token-word", "normal", "H->auth"), ("p", "whole_file", "imei", "sha256", None)} <= got
     assert not any(g[0] == "q" for g in got)
     assert detection.detect(detection.probes(None, None, files.limit(0)), values).collect() == []
+
+
+def test_containers_are_opened_in_batches(spark, monkeypatch):
+    payloads = [gzip.compress(f"text {i}".encode()) for i in range(40)] + [zipped(a=b"x", b=b"y"), zipped(a=b"x")[:-3], b"plain"]
+    df = contents(spark, payloads).coalesce(1)
+    opened = P.open_containers(df, "id")
+    got = sorted((r["id"], r["member"] or "", bytes(r["payload"])) for r in opened.collect())
+    assert got == [*((i, "", f"text {i}".encode()) for i in range(40)), (40, "zip>a", b"x"), (40, "zip>b", b"y"), (41, "", payloads[41]), (42, "", b"plain")]
+    passes, inflated = [], P._inflated
+    monkeypatch.setattr(P, "_inflated", lambda data: passes.append(1) or inflated(data))
+    assert list(P._members(payloads[3])) == [(None, b"text 3")] and len(passes) == 1
+
+
+def test_an_empty_dictionary_reads_no_text(spark):
+    from privaudit.operators.joins import text_contains
+    docs = spark.createDataFrame([("p", "d1", "some text")], "package string, digest string, body string").withColumn("body", F.expr("raise_error('read')").cast("string"))
+    values = spark.createDataFrame([("p", 1, "")], "package string, needle_id long, needle string")
+    found = text_contains(docs, "digest", "body", values, "needle_id", "needle", on=["package"])
+    assert found.collect() == [] and [(f.name, f.dataType.simpleString()) for f in found.schema] == [("package", "string"), ("digest", "string"), ("needle_id", "bigint")]
